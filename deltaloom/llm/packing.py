@@ -29,7 +29,7 @@ END_ID = 0
 TOKENIZER = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
 #: Pieces ranked together by one task; lengths with more are split by a salt.
-PER_SALT = 20_000
+PER_SALT = 1_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
@@ -186,11 +186,17 @@ def place(cut_pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
         for r in cut_pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()
     }  # at most ``limit`` rows
     runs = plan_best_fit(by_length, limit)
-    salts = max(1, -(-max(by_length.values(), default=0) // PER_SALT))
-    salted = cut_pieces.withColumn(
-        "_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int")
+    salts = spark.createDataFrame(
+        [(n, -(-c // PER_SALT)) for n, c in by_length.items()] or [(0, 1)], "length long, _salts long"
     )
-    # one row for each length and salt: limit x (pieces / PER_SALT) at most
+    salted = (
+        cut_pieces.join(F.broadcast(salts), "length")  # bounded by the limit, not by the corpus
+        .withColumn(
+            "_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "_salts").cast("int")
+        )
+        .drop("_salts")
+    )
+    # one row for each length and salt: limit + pieces / PER_SALT at most
     sizes = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select(
         "length",
