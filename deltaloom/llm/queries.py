@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from deltaloom.llm.packing import op3_best_fit_packing
+from deltaloom.llm.quality_rules import op6_quality_rules
 from deltaloom.llm.simhash import op9_simhash_near_dedup
 from deltaloom.llm.substrings import op5_substring_dedup
 
 QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_quality_rules": op6_quality_rules,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
