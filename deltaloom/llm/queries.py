@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from deltaloom.llm.decontaminate import op10_benchmark_decontamination
 from deltaloom.llm.packing import op3_best_fit_packing
+from deltaloom.llm.pii import op2_pii
 from deltaloom.llm.quality_rules import op6_quality_rules
 from deltaloom.llm.simhash import op9_simhash_near_dedup
 from deltaloom.llm.substrings import op5_substring_dedup
 
 QUERIES = {
+    "op2_pii": op2_pii,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }

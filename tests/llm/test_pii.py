@@ -1,0 +1,113 @@
+import hashlib
+import random
+import re
+
+import pytest
+
+from deltaloom.llm import pii
+
+STATED = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(ds):
+    total = 0
+    for i, c in enumerate(reversed(ds)):
+        d = int(c) * (1 + i % 2)
+        total += d - 9 * (d > 9)
+    return total % 10 == 0
+
+
+def brute(text):
+    out = []
+    for kind, pattern in STATED.items():
+        for m in re.finditer(pattern, text or ""):
+            ds = re.sub("[^0-9]", "", m.group())
+            ok = {
+                "email": True,
+                "ip": all(int(p) <= 255 for p in m.group().split(".")) if kind == "ip" else False,
+                "card": 16 <= len(ds) <= 19 and luhn(ds),
+                "phone": 8 <= len(ds) <= 15,
+            }[kind]
+            if ok:
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+def card(rng, n=16):
+    ds = [str(rng.randint(0, 9)) for _ in range(n - 1)]
+    return next("".join(ds) + str(c) for c in range(10) if luhn("".join(ds) + str(c)))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = random.Random(5)
+    out = [
+        None, "", "no data here", "@ 1 + .", "a@b.c.d@e.f_g@h.i", "x@y z@w.q..r a.b@c-d.e-f.", "é😀 und.34@mail7.example.com,ñ",
+        "1.2.3.4.5.6.7.8.9 300.1.1.1 0000255.001.2.3 1.2.3", "+1 (017) 555-7713, +12 +1(2)3.4-5 6 7 8 9", "+" * 50 + "1234567890",
+        "4111 1111-1111 1111 4111111111111112 " + "1 " * 4000, "5" * 5000, "a" * 3000 + "@" + "b" * 3000, "@" * 2000 + "1@2.3",
+        "4111111111111111\n4111111111111111", "1.1.1.1" * 30, "٣٤٥ a@é.com x@a.b\x85", "+1 " + "(" * 500 + "2" + ")" * 500 + "3456789",
+    ]
+    alphabet = "0123456789" * 2 + " -.()+@ab_%é\n"
+    out += ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 200))) for _ in range(300)]
+    out += [" ".join(rng.choice([card(rng), card(rng, 19), "10.0.0.%d" % rng.randint(0, 300), "x"]) for _ in range(6)) for _ in range(40)]
+    return [(i, t) for i, t in enumerate(out)] + [(0, None), (6, out[6]), (None, out[8])]
+
+
+def test_base_matches_the_stated_patterns(spark, rows):
+    docs = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], "doc_id long, text string, base int, _text string")
+    got = pii.report(docs).collect()
+    want = []
+    for d, t in rows:
+        spans = brute(t)
+        spelled = ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
+        n = [sum(k == kind for k, *_ in spans) for kind in pii.KINDS]
+        want.append((d, *n, hashlib.sha256(spelled.encode()).hexdigest()))
+    key = lambda r: tuple((x is None, str(x)) for x in r)
+    assert sorted((tuple(r)[:6] for r in got), key=key) == sorted(want, key=key)
+    by = {r.doc_id: r.spans for r in got}
+    for d, t in rows:
+        assert {f"{k}:{s}:{e}" for k, s, e in brute(t)} <= set(by[d].split(","))
+
+
+def test_bootstrapping_finds_unseen_identifiers(spark):
+    rng = random.Random(8)
+    words = ["alpha", "beta", "gamma", "delta"]
+    text = lambda v: f"{rng.choice(words)} {rng.choice(words)} {v} {rng.choice(words)}"
+    rows = [text(f"write to me: user{i}@host{i}.example.org") for i in range(12)]
+    rows += [text(f"hotline number: +49 30 1234{i:04d}") for i in range(12)]
+    rows += [text(f"{rng.choice(words)} {i}") for i in range(30)]  # numbers that are no identifiers
+    rows += [text("write to me: root@localhost"), text("hotline number: (030) 555-1234."), text("write to me: 17")]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    by = {r.doc_id: r for r in pii.report(docs).collect()}
+
+    def found(i):
+        return [rows[i][int(s) : int(e)] for _, s, e in (x.split(":") for x in by[i].spans.split(",") if x)]
+
+    assert found(len(rows) - 3) == ["root@localhost"] and by[len(rows) - 3].n_found == 1
+    assert by[len(rows) - 2].n_found >= 1 and "555-1234" in " ".join(found(len(rows) - 2))
+    assert found(len(rows) - 1) == []
+    assert all(by[i].n_found == 0 for i in range(len(rows) - 3))
+    out = {r.doc_id: r.text for r in pii.mask(docs).collect()}
+    assert "[EMAIL]" in out[0] and "@" not in out[0] and out[30] == rows[30]
+    assert "root@localhost" not in out[len(rows) - 3]
+
+
+def test_mask_keeps_columns_and_length(spark):
+    docs = spark.createDataFrame(
+        [(1, "é a@b.c and +1 (017) 555-7713 end", 34, "k"), (2, None, 0, "k"), (3, "4111111111111111", 16, "k")],
+        "doc_id long, text string, n_chars long, _tkey string",
+    )
+    out = sorted(pii.mask(docs).collect())
+    assert out[0].text == "é [EMAIL] and [PHONE] end" and out[0].n_chars == len(out[0].text)
+    assert out[1].text is None and out[1].n_chars == 0 and out[2].text == "[CARD]"
+    assert out[0]._fields == ("doc_id", "text", "n_chars", "_tkey") if hasattr(out[0], "_fields") else True
+
+
+def test_empty(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert pii.report(docs).count() == 0 and pii.mask(docs).count() == 0
