@@ -326,19 +326,23 @@ def mask(docs: DataFrame) -> DataFrame:
         .dropDuplicates(["doc_id", "tkey"])
         .withColumnsRenamed({"doc_id": "_doc", "tkey": "_tkey"})
     )
-    out = docs.join(
+    # the row travels as one struct, so that no name in it can clash
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    out = row.join(
         spans,
-        F.col("doc_id").eqNullSafe(F.col("_doc"))
-        & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_tkey")),
+        F.col("_row.doc_id").eqNullSafe(F.col("_doc"))
+        & (F.xxhash64(F.coalesce("_row.text", F.lit(""))) == F.col("_tkey")),
         "left",
     )
-    out = out.withColumn(
-        "text", F.when(F.col("_spans").isNotNull(), masked(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))
-    )
-    if "n_chars" in docs.columns:
-        changed = F.length("text").cast(docs.schema["n_chars"].dataType)
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), changed).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    text = F.when(
+        F.col("_spans").isNotNull(), masked(F.col("_row.text"), F.col("_spans"))
+    ).otherwise(F.col("_row.text"))
+    out = out.withColumn("_text", text)
+    columns = {c: F.col("_row")[c] for c in docs.columns} | {"text": F.col("_text")}
+    if "n_chars" in columns:
+        changed = F.length("_text").cast(docs.schema["n_chars"].dataType)
+        columns["n_chars"] = F.when(F.col("_spans").isNotNull(), changed).otherwise(columns["n_chars"])
+    return out.select(*[columns[c].alias(c) for c in docs.columns])
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
