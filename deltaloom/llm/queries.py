@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from deltaloom.llm.decontaminate import op10_benchmark_decontamination
+from deltaloom.llm.html_text import op7_html_extraction
 from deltaloom.llm.packing import op3_best_fit_packing
 from deltaloom.llm.pii import op2_pii
 from deltaloom.llm.quality_rules import op6_quality_rules
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_quality_rules": op6_quality_rules,
+    "op7_html_extraction": op7_html_extraction,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
