@@ -1,8 +1,58 @@
-"""Corpus pipeline: stages over documents, each written and read again."""
+"""Corpus pipeline: five stages over documents, each written as Parquet and read again.
 
-STAGES: list = []
+Language ID drops documents whose language is unknown, SimHash near-dedup keeps one document of
+each group, decontamination drops documents that contain a benchmark item, PII masks personal
+data, and packing deals the rest into sequences. All but the last return the columns of
+documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from deltaloom.llm import decontaminate, language, packing, pii, simhash
+from deltaloom.llm._common import materialise, table
+
+#: A document is rejected whose best language is hardly likelier than chance.
+OVER_CHANCE = 1.2
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = language.fit(docs)
+    chance = 1 / len(model.labels) if model else 0.0
+    return language.accepted(docs, model, OVER_CHANCE * chance)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.representatives(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.mask(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("simhash_near_dedup", near_dedup),
+    ("benchmark_decontamination", decontamination),
+    ("pii", mask_pii),
+    ("best_fit_packing", pack),
+]
+
+#: Trained, tokenised and iterative stages have no SQL; tests hold them against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,18 +4,24 @@ from __future__ import annotations
 
 from deltaloom.llm.decontaminate import op10_benchmark_decontamination
 from deltaloom.llm.html_text import op7_html_extraction
+from deltaloom.llm.language import op8_language_id
 from deltaloom.llm.packing import op3_best_fit_packing
 from deltaloom.llm.pii import op2_pii
+from deltaloom.llm.quality import op1_quality_classifier
 from deltaloom.llm.quality_rules import op6_quality_rules
 from deltaloom.llm.simhash import op9_simhash_near_dedup
 from deltaloom.llm.substrings import op5_substring_dedup
+from deltaloom.llm.toxicity import op4_toxicity
 
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_pii": op2_pii,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_toxicity": op4_toxicity,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_html_extraction": op7_html_extraction,
+    "op8_language_id": op8_language_id,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }

@@ -91,15 +91,19 @@ def text_fingerprint(raw: bytes) -> int:
 def _fingerprints(batches):
     for batch, texts in text_slices(batches):
         found = np.array([text_fingerprint(t) for t in texts], _U).view(np.int64)
+        own = np.array([xxhash.xxh64_intdigest(t, SEED) for t in texts], _U).view(np.int64)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(found)], ["doc_id", "fp"]
+            [batch.column(0), pa.array(own), pa.array(found)], ["doc_id", "tkey", "fp"]
         )
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) for every row; fp holds the unsigned fingerprint's bits as a long."""
+    """(doc_id, tkey, fp) for every row: tkey hashes the raw text, as ``xxhash64`` does; fp holds
+    the unsigned fingerprint's bits as a long."""
     bounded_batches(docs.sparkSession)
-    return narrow(docs, "doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fp long")
+    return narrow(docs, "doc_id", "text").mapInArrow(
+        _fingerprints, "doc_id long, tkey long, fp long"
+    )
 
 
 def fuzzy_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -227,7 +231,8 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row for each document: doc_id, fp (long) and component_id."""
+    """One row for each document: doc_id, tkey, fp, root (the component's least fingerprint) and
+    component_id."""
     rows = materialise(fingerprints(docs), "fingerprints")
     distinct = materialise(
         rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints"
@@ -238,10 +243,39 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ).withColumn("root", F.coalesce("root", "fp"))
     named = materialise(named, "roots")
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = named.join(least, "root").select("fp", "component_id")
+    by_fp = named.join(least, "root").select("fp", "root", "component_id")
     return rows.join(by_fp, "fp")
 
 
+def representatives(docs: DataFrame) -> DataFrame:
+    """The rows, all columns kept, of one document of each component: that of the least doc_id
+    (of several rows with that id, the one with the least hash; repeated rows once)."""
+    found = near_duplicates(docs)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "tkey")).alias("_best")
+    kept = materialise(
+        found.groupBy("root")
+        .agg(best)
+        .select(F.col("_best.doc_id").alias("_doc"), F.col("_best.tkey").alias("_tkey"))
+        .distinct(),
+        "representatives",
+    )
+    own_text = F.xxhash64(F.coalesce("_row.text", F.lit("")))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    out = row.join(
+        kept, F.col("_row.doc_id").eqNullSafe(F.col("_doc")) & (own_text == F.col("_tkey")), "left_semi"
+    )
+    repeated = (
+        found.groupBy("doc_id", "tkey").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1)
+    )
+    if repeated.count():
+        out = (
+            out.select("_row", F.col("_row.doc_id").alias("_d"), own_text.alias("_t"))
+            .dropDuplicates(["_d", "_t"])
+            .select("_row")
+        )
+    return out.select("_row.*")
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(
