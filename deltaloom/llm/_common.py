@@ -45,6 +45,14 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 20_000) -> DataFrame:
+    """``df``, which must be cheap to count, marked for broadcast if it has few rows.
+
+    A larger one is left to a shuffled join, whose skewed partitions adaptive execution splits.
+    """
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def bounded_batches(spark: SparkSession, rows: int = 256) -> None:
     """Few rows in each Arrow batch, so that very long texts cannot fill a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltaloom.llm._common import materialise, narrow, table
+from deltaloom.llm._common import broadcast_if_small, materialise, narrow, table
 
 HALF = 0.75
 STEPS = 3
@@ -228,11 +228,11 @@ def estimates(stats: DataFrame) -> DataFrame:
     scale = HALF / gamma_p(DIMS / 2 + 1, cut / 2)  # makes the estimate consistent
     for _ in range(STEPS):
         # distances in bins of one hundredth of their logarithm: exact to the bin, mergeable
-        far = rows.join(now, KEY).withColumn("_bin", F.round(F.log1p(_distance()), 2))
+        far = rows.join(broadcast_if_small(now), KEY).withColumn("_bin", F.round(F.log1p(_distance()), 2))
         limit = materialise(
             far.groupBy(*KEY).agg(F.percentile("_bin", F.lit(HALF)).alias("_limit")), "mcd-limit"
         )
-        near = far.join(limit, KEY).filter(F.col("_bin") <= F.col("_limit"))
+        near = far.join(broadcast_if_small(limit), KEY).filter(F.col("_bin") <= F.col("_limit"))
         moments = near.groupBy(*KEY, "n").agg(
             *[F.avg(x).alias(f"m_{i}") for i, x in enumerate(XS)],
             *[F.covar_pop(XS[i], XS[j]).alias(f"c_{i}{j}") for i, j in PAIRS],
@@ -255,7 +255,8 @@ def assess(docs: DataFrame) -> DataFrame:
     out = out.withColumn("_all", F.lit(""))
     for level, on in ((2, ["_lang", "_source"]), (1, ["_lang"]), (0, ["_all"])):
         part = found.filter(F.col("_level") == level).withColumn("_all", F.lit(""))
-        out = out.join(part.select(*on, F.struct(*cols).alias(f"_p{level}")), on, "left")
+        part = part.select(*on, F.struct(*cols).alias(f"_p{level}"))
+        out = out.join(broadcast_if_small(part), on, "left")
     out = out.withColumn("_p", F.coalesce("_p2", "_p1", "_p0")).select("*", *[f"_p.{c}" for c in cols])
     limit = chi_square_quantile(DIMS, 1 - ALPHA)
     return out.withColumn("distance", F.sqrt(_distance())).select(
