@@ -41,6 +41,11 @@ def longs(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("long") for n in names})
 
 
+def unset(df: DataFrame) -> DataFrame:
+    """A plan with -1 for counts and ids that a side lacks."""
+    return df.na.fill(-1)
+
+
 # --- signatures ---------------------------------------------------------------------------
 
 
@@ -132,19 +137,20 @@ def events_plan(spark, sf) -> DataFrame:
     return diff.diff(src, dst, ["event_id"], ["event_type"])
 
 
-@query(PLAN_SQL + """select event_type, method, src_cnt, dst_cnt, src_min, src_max, dst_min, dst_max,
-case when method = 'inSync' then src_max when method = 'insert' and dst_cnt > 0 then dst_max end in_sync_id from plan""")
+@query(PLAN_SQL + """select event_type, method, coalesce(src_cnt, -1) src_cnt, coalesce(dst_cnt, -1) dst_cnt,
+coalesce(src_min, -1) src_min, coalesce(src_max, -1) src_max, coalesce(dst_min, -1) dst_min, coalesce(dst_max, -1) dst_max,
+coalesce(case when method = 'inSync' then src_max when method = 'insert' and dst_cnt > 0 then dst_max end, -1) in_sync_id from plan""")
 def diff_partition_methods(spark, sf):
-    return events_plan(spark, sf)
+    return unset(events_plan(spark, sf))
 
 
 @query(f"""{O_DST}, s as (select count(*) n, min(o_orderkey) lo, max(o_orderkey) hi from orders),
 d as (select count(*) n, min(o_orderkey) lo, max(o_orderkey) hi from dst)
 select 'merge' as method, s.n src_cnt, d.n dst_cnt, s.lo src_min, s.hi src_max, d.lo dst_min, d.hi dst_max,
-cast(null as bigint) in_sync_id from s, d""")
+cast(-1 as bigint) in_sync_id from s, d""")
 def diff_whole_table(spark, sf):
     src, dst = orders(spark, sf)
-    return diff.diff(src, dst, ["o_orderkey"])
+    return unset(diff.diff(src, dst, ["o_orderkey"]))
 
 
 @query("""select l_returnflag, count(*) cnt, count(distinct l_orderkey) unique_cnt_l_orderkey,
@@ -250,9 +256,9 @@ b as (select chunk, min(o_orderkey) lo, count(*) cnt from r group by 1),
 c as (select chunk, lo, lead(lo) over (order by chunk) hi, cnt from b)"""
 
 
-@query(f"with {CHUNKS_SQL} select chunk::bigint chunk, lo, hi, cnt from c")
+@query(f"with {CHUNKS_SQL} select chunk::bigint chunk, lo, coalesce(hi, -1) hi, cnt from c")
 def chunk_boundaries(spark, sf):
-    return chunking.with_ranges(chunking.boundaries(load(spark, sf, "orders"), "o_orderkey", 1000))
+    return unset(chunking.with_ranges(chunking.boundaries(load(spark, sf, "orders"), "o_orderkey", 1000)))
 
 
 @query("select count(*) cnt, min(o_orderkey) min_id, max(o_orderkey) max_id from (select o_orderkey from orders where o_orderkey >= 37 order by 1 limit 256)")
@@ -425,10 +431,11 @@ def nested_projection(spark, sf):
     return load(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
 
 
-@query("""select event_id, nullif(user_id, 0) user_id, nullif(event_type, '') event_type, nullif(value, 0) as value from events""")
+@query("""select event_id, coalesce(nullif(user_id, 0)::varchar, 'none') user_id, coalesce(nullif(event_type, ''), 'none') event_type from events""")
 def omit_empty(spark, sf):
-    df = load(spark, sf, "events").select("event_id", "user_id", "event_type", "value")
-    return projection.omit_empty(df, keep=["event_id"])
+    df = load(spark, sf, "events").select("event_id", "user_id", "event_type")
+    out = projection.omit_empty(df, keep=["event_id"])
+    return out.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("none")) for c in ("user_id", "event_type")})
 
 
 @query("select EVENT_TYPE as event_type, count(*) n from events group by 1")
