@@ -1 +1,49 @@
-ORACLE_SQL: dict[str, str] = {}
+"""DuckDB SQL for the queries that SQL can express on whole tables."""
+
+from __future__ import annotations
+
+
+_WORDS = r"list_filter(regexp_split_to_array(coalesce({text}, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+_LOWER = "translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Exact containment of every item's shingles in every text.
+CONTAINMENT = f"""
+with items as (
+  select item_id, {_WORDS.format(text=_LOWER.format(text='text'))} w from benchmark),
+sized as (select item_id, w, least(5, len(w)) k from items where len(w) > 0),
+wanted as (
+  select distinct item_id, k, array_to_string(w[i:i + k - 1], ' ') s
+  from (select *, unnest(range(1, len(w) - k + 2)) i from sized)),
+total as (select item_id, k, count(*) n from wanted group by all),
+docs as (select doc_id, row_number() over () r, {_WORDS.format(text=_LOWER.format(text='text'))} w from documents),
+grams as (
+  select distinct r, doc_id, k, array_to_string(w[i:i + k - 1], ' ') s
+  from (select *, unnest(range(1, len(w) - k + 2)) i from docs, (select distinct k from sized) where len(w) >= k)),
+found as (
+  select r, doc_id, item_id, count(*) m from grams join wanted using (k, s) group by all)
+select doc_id, item_id, n as n_shingles, m as n_found, m / n as containment
+from found join total using (item_id) where 5 * m >= 4 * n
+"""
+
+#: Every window of 20 words with the first place it starts; words of later ones go.
+SUBSTRINGS = f"""
+with docs as (
+  select row_number() over () r, coalesce(doc_id, -9223372036854775808) d, doc_id, {_WORDS.format(text='text')} w from documents),
+windows as (
+  select r, d, i, sha256(array_to_string(w[i:i + 19], ' ')) s
+  from (select *, unnest(range(1, len(w) - 18)) i from docs where len(w) >= 20)),
+late as (
+  select r, i from (select *, min((d, i)) over (partition by s) first from windows) where (d, i) <> first),
+gone as (select distinct r, i + k as i from late, range(20) t(k)),
+kept as (
+  select r, list(w[i] order by i) kw from (select r, w, unnest(range(1, len(w) + 1)) i from docs) p
+  where not exists (select 1 from gone g where g.r = p.r and g.i = p.i) group by r)
+select doc_id, len(w) as n_words, len(w) - coalesce(len(kw), 0) as n_removed,
+  sha256(coalesce(array_to_string(kw, ' '), '')) as kept_sha256
+from docs left join kept using (r)
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_substring_dedup": SUBSTRINGS,
+    "op10_benchmark_decontamination": CONTAINMENT,
+}
