@@ -50,7 +50,7 @@ def walk(src: DataFrame, dst: DataFrame, id_: str, size: int, start: int | None
 
 
 def boundaries(df: DataFrame, id_: str, size: int) -> DataFrame:
-    """(chunk, lo, hi, cnt): half-open ranges [lo, hi) of ``size`` source ids each, in one pass.
+    """(chunk, lo, cnt): where ranges of ``size`` source ids each begin, in one pass.
 
     Ids are dealt by range; a row's rank is its rank in its range plus the rows of the ranges
     before, so no task sorts the whole table. The first range is open below, the last above.
@@ -67,10 +67,8 @@ def boundaries(df: DataFrame, id_: str, size: int) -> DataFrame:
     before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     rank = F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy("id")) - 1
     ranked = dealt.join(F.broadcast(before), "part").select("id", F.floor(rank / size).cast("long").alias("chunk"))
-    found = ranked.groupBy("chunk").agg(
-        F.min("id").alias("lo"), F.max("id").alias("last"), F.count(F.lit(1)).alias("cnt")
-    )
-    return found
+    found = ranked.groupBy("chunk").agg(F.min("id").alias("lo"), F.count(F.lit(1)).alias("cnt"))
+    return stage(found, "chunks")  # read several times, and small
 
 
 def with_ranges(bounds: DataFrame) -> DataFrame:

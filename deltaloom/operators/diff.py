@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from deltaloom.functions.compare import in_sync
 from deltaloom.functions.types import DiffColumn
 from deltaloom.operators.signature import aggregates, plan_columns, signature
+from deltaloom.sources.staging import stage
 
 IN_SYNC, INSERT, MERGE = "inSync", "insert", "merge"
 DELETE_MERGE, DELETE_INSERT, REMOVED = "deleteMerge", "deleteInsert", "removed"
@@ -61,6 +62,24 @@ def decide(columns: Sequence[DiffColumn], ids: Sequence[str], upto: Column | Non
     return out.otherwise(MERGE)
 
 
+def _below(
+    src: DataFrame, tail: DataFrame, id_: str, parts: Sequence[str], cols: Sequence[DiffColumn], small: bool
+) -> DataFrame:
+    """Signatures of the source rows up to the destination's greatest id, for partitions of ``tail``."""
+    keys = list(parts) or ["_all"]
+    if not parts:
+        src, tail = src.withColumn("_all", F.lit(1)), tail.withColumn("_all", F.lit(1))
+    tops = tail.select(*[F.col(f"`{k}`").alias(f"_t_{k}") for k in keys], F.col(f"dst_max_{id_}").alias("_top"))
+    on = [F.col(f"`{k}`").eqNullSafe(F.col(f"_t_{k}")) for k in keys]
+    below = src.join(F.broadcast(tops) if small else tops, on).filter(F.col(id_) <= F.col("_top"))
+    made = aggregates(below, cols)
+    low = below.groupBy(*[F.col(f"`{p}`") for p in parts]).agg(*made) if parts else below.agg(*made)
+    return low.select(
+        *[F.col(f"`{p}`").alias(f"_l_{p}") for p in parts],
+        *[F.col(f"`{c.label}`").alias(f"low_{c.label}") for c in cols],
+    )
+
+
 def diff(
     src: DataFrame,
     dst: DataFrame,
@@ -75,39 +94,32 @@ def diff(
     """The plan: one row for each partition of either side.
 
     Columns: the partition columns, method, src_cnt, dst_cnt, src_min, src_max, dst_min, dst_max
-    (of a single id), in_sync_id (rows up to it need not move). Two scans of the source's
-    partial aggregates and one of the destination's; only aggregates are shuffled.
+    (of a single id), in_sync_id (rows up to it need not move). One scan of each side; partitions
+    that may lack just a tail are scanned once more on the source side. Only aggregates are
+    shuffled.
     """
     cols = plan_columns(dst, ids, parts, columns, count_only, precision, date_format)
     if not any(c.label == "cnt" for c in cols):
         cols = [DiffColumn("COUNT", "1", alias="cnt"), *cols]
     a = _side(signature(src, cols, parts), cols, parts, "src_")
     b = _side(signature(dst, cols, parts), cols, parts, "dst_")
-    joined = _match(a, b, parts)
+    joined = stage(_match(a, b, parts), "signatures")  # one row for each partition
     single = len(ids) == 1
     upto = None
     if single and probe:
         i = ids[0]
-        tops = dst.groupBy(*parts).agg(F.max(i).alias("_top")) if parts else dst.agg(F.max(i).alias("_top"))
-        keys = list(parts) or ["_all"]
-        if not parts:
-            tops, below = tops.withColumn("_all", F.lit(1)), src.withColumn("_all", F.lit(1))
-        else:
-            below = src
-        tops = tops.withColumnsRenamed({k: f"_t_{k}" for k in keys})
-        on = [F.col(f"`{k}`").eqNullSafe(F.col(f"_t_{k}")) for k in keys]
-        below = below.join(tops, on).filter(F.col(i) <= F.col("_top"))
-        made = aggregates(below, cols)
-        low = below.groupBy(*parts).agg(*made) if parts else below.agg(*made)
-        low = low.select(
-            *[F.col(f"`{p}`").alias(f"_l_{p}") for p in parts],
-            *[F.col(f"`{c.label}`").alias(f"low_{c.label}") for c in cols],
+        # only partitions that no earlier rule decides, and whose source goes on, need the third look
+        tail = joined.filter(
+            decide(cols, ids, F.lit(None).cast("boolean")).isin(MERGE) & (F.col(f"src_max_{i}") > F.col(f"dst_max_{i}"))
         )
-        if parts:
-            joined = joined.join(low, [F.col(f"`{p}`").eqNullSafe(F.col(f"_l_{p}")) for p in parts], "left")
-        else:
-            joined = joined.withColumn("_one", F.lit(1)).join(low.withColumn("_one", F.lit(1)), "_one", "left")
-        upto = F.coalesce(F.col("low_cnt") > 0, F.lit(False)) & in_sync(list(cols), "low_", "dst_")
+        n = tail.count()
+        if n:
+            low = _below(src, tail, i, parts, cols, n <= SMALL_PLAN)
+            if parts:
+                joined = joined.join(low, [F.col(f"`{p}`").eqNullSafe(F.col(f"_l_{p}")) for p in parts], "left")
+            else:
+                joined = joined.withColumn("_one", F.lit(1)).join(low.withColumn("_one", F.lit(1)), "_one", "left")
+            upto = F.coalesce(F.col("low_cnt") > 0, F.lit(False)) & in_sync(list(cols), "low_", "dst_")
     out = joined.withColumn("method", decide(cols, ids, upto))
     stat = lambda side, name: (
         F.col(f"{side}_{name}_{ids[0]}") if single and f"{side}_{name}_{ids[0]}" in joined.columns else F.lit(None).cast("long")
