@@ -6,8 +6,9 @@ import threading
 import time
 import uuid
 from collections import defaultdict
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from concurrent.futures import Future, ThreadPoolExecutor
+from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,7 +21,7 @@ from deltaloom.operators import chunking, diff, merge, narrow
 from deltaloom.operators.projection import explicit, sync_projection, with_pseudo
 from deltaloom.operators.signature import id_consistency, plan_columns
 from deltaloom.plans.control import History, Jobs
-from deltaloom.sources.loaders import load
+from deltaloom.sources.loaders import load, partition_values
 from deltaloom.sources.staging import stage
 from deltaloom.sources.store import SnapshotTable
 
@@ -227,6 +228,23 @@ def _applied(staged, dst, gone, slices, ids, names, append_only, append_update_o
     return merge.insert_new(merge.upsert(kept, rest, ids), new, ids)
 
 
+@contextmanager
+def deadline(spark: SparkSession, seconds: float) -> Iterator[None]:
+    """Cancels the jobs started inside after ``seconds`` (0: never)."""
+    if not seconds:
+        yield
+        return
+    tag = f"deltaloom-{uuid.uuid4().hex}"
+    spark.addTag(tag)
+    timer = threading.Timer(seconds, lambda: spark.interruptTag(tag))
+    timer.start()
+    try:
+        yield
+    finally:
+        timer.cancel()
+        spark.removeTag(tag)
+
+
 class Engine:
     """Runs requests: one running job for each id, asynchronously if asked; keeps a history."""
 
@@ -282,6 +300,15 @@ class Engine:
                 where = conjunction(resource.criteria)
                 sides.append((df, df.filter(where) if where is not None else df, where))
             (_, src, _), (whole, dst, where) = sides
+            others = None
+            if request.source.partition_sql:
+                asked = stage(partition_values(self.spark, request.source, src, s.partition.columns), "asked")
+                if request.dest.partition_sql:
+                    own = partition_values(self.spark, request.dest, dst, s.partition.columns)
+                    asked = stage(asked.union(own).distinct(), "asked")
+                src = src.join(asked, s.partition.columns, "left_semi").select(*src.columns)
+                others = dst.join(asked, s.partition.columns, "left_anti")
+                dst = dst.join(asked, s.partition.columns, "left_semi").select(*dst.columns)
             if s.columns:
                 names = explicit(dst, [*s.columns, *s.ids, *s.partition.columns])
                 src, dst = (sync_projection(x, s.ids, names) for x in (src, dst))
@@ -299,6 +326,8 @@ class Engine:
             response.transferred = made.moved.count()
             if made.in_sync:
                 return
+            if s.direct_append and set(made.methods) <= {diff.IN_SYNC, diff.INSERT}:
+                made.result = merge.append(dst, made.moved.drop("method"))  # no deduplication, no look at ids
             real = [c for c in whole.columns if c not in request.dest.pseudo]
             result = made.result
             if s.columns:
@@ -307,8 +336,11 @@ class Engine:
                 result = result.select(*real)
                 if where is not None:  # rows outside the criteria are not the sync's to touch
                     result = result.unionByName(whole.filter(~F.coalesce(where, F.lit(False))).select(*real))
+                if others is not None:  # nor are partitions that were not asked for
+                    result = result.unionByName(others.select(*real))
             if target:
-                target.commit(result, expect=version)
+                with deadline(self.spark, request.dml_timeout):
+                    target.commit(result, expect=version)
             else:
                 from deltaloom.sources.loaders import save
 
