@@ -1,7 +1,7 @@
 """Toxicity: a convolutional classifier over hashed word embeddings.
 
-A word's embedding is the sum of rows of four hashed tables: the word, its first four bytes, its
-first six bytes and its last four. Filters of widths 1, 2 and 3 slide over the words of the whole
+A word's embedding is the sum of rows of six hashed tables: the word, its first four, six and
+eight bytes, its last four, and its first six with its length (up to ten). Filters of widths 1, 2 and 3 slide over the words of the whole
 text; each filter's greatest response (at least zero) goes to a logistic output. It is trained in
 numpy with Adam on at most ``SAMPLE`` labelled documents of at most ``LONGEST`` words; gradients
 flow through the positions of the maxima. The first coordinate of every table row starts from how
@@ -32,7 +32,7 @@ SAMPLE = 9_000
 LONGEST = 1_500
 THRESHOLD = 0.7
 BUCKETS = 1 << 16
-TABLES = 4
+TABLES = 6
 DIM = 8
 WIDTHS = (1, 2, 3)
 FILTERS = 6
@@ -69,6 +69,8 @@ def rows_of(words: Words) -> np.ndarray:
         mix(four + _U(1)),
         mix(six + _U(2)),
         mix(last + _U(3)),
+        mix(head8 + _U(4)),
+        mix(six * _U(11) + np.minimum(size, 10).astype(_U) + _U(5)),
     )
     return np.stack([(s % _U(BUCKETS)).astype(np.int32) for s in seen], 1)
 
@@ -226,7 +228,8 @@ def train(rows: list[np.ndarray], y: np.ndarray, lang: list[str | None], seed: i
 
 
 def calibrate(net: Network, rows, first, y, lang) -> None:
-    """A logistic scale for the raw outputs, then each language's least-error threshold."""
+    """A logistic scale for the raw outputs, shifted so that its best cut is THRESHOLD; then each
+    language's least-error threshold."""
     if len(y) and y.min() != y.max():
         raw = net.raw(rows, first).astype(float)
         mid, spread = np.median(raw), raw.std() + 1e-6
@@ -236,7 +239,16 @@ def calibrate(net: Network, rows, first, y, lang) -> None:
             p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
             a -= 1.0 * (((p - y) * z).mean() + 1e-3 * a)
             b -= 1.0 * (p - y).mean()
-        net.scale = (a / spread, b - a * mid / spread)
+        a /= spread
+        # the cut that errs least (a false alarm counts twice), in the middle of its gap, is THRESHOLD
+        order = np.argsort(raw, kind="stable")
+        alarms = np.concatenate([[0], np.cumsum((1 - y[order])[::-1])])[::-1]
+        misses = np.concatenate([[0], np.cumsum(y[order])])
+        cost = 2 * alarms + misses
+        best = np.flatnonzero(cost == cost.min())
+        best = int(best[len(best) // 2])
+        low, high = raw[order[max(best - 1, 0)]], raw[order[min(best, len(raw) - 1)]]
+        net.scale = (a, float(np.log(THRESHOLD / (1 - THRESHOLD)) - a * (low + high) / 2))
     score = net.scores(rows, first)
     lang = np.array([x or "" for x in lang])
     for name in set(lang.tolist()) - {""}:
