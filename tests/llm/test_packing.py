@@ -57,6 +57,21 @@ def test_ids_and_cuts(packed):
     check(out)
 
 
+def test_encoder_equals_tokenizer_on_odd_text():
+    own = P.Encoder(public_tokenizers.path(P.TOKENIZER), public_tokenizers.path(P.RANKS))
+    tok = Tokenizer.from_file(public_tokenizers.path(P.TOKENIZER))
+    rng = random.Random(1)
+    pools = ["abc dE's 'll\n\t  ", "éüñßÇ ½²³ʼ", "0123456789 ٣५Ⅷ", "中文かナ ", "😀👍🏽\u200d\ufe0f", "\x00\x7f\x85\xa0\u2003\u3000 ", "\u0301ä", ".,!?'#$%"]
+    for _ in range(1500):
+        pool = "".join(rng.sample(pools, rng.randint(1, 4))) + " " * rng.randint(0, 5)
+        text = "".join(
+            rng.choice(pool) if rng.random() < 0.8 else chr(rng.choice([rng.randrange(32, 0xD7FF), rng.randrange(0xE000, 0x1FFFF)]))
+            for _ in range(rng.randint(0, 40))
+        )
+        ids = tok.encode(text, add_special_tokens=False).ids
+        assert own.ids(text) == struct.pack(f"<{len(ids)}I", *ids)
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert P.pack_documents(docs).count() == 0
