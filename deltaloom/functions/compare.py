@@ -65,3 +65,8 @@ def record_similarity(a: DataFrame, b: DataFrame, ids: list[str], precision: int
         *[c.alias(n) for n, c in flags.items()],
         reduce(and_, flags.values(), F.lit(True)).alias("equal"),
     )
+
+
+def layout_for(layout: str, value: str) -> str:
+    """The part of a date layout that a partition's text spells: cut to the text's length."""
+    return layout[: len(value)]

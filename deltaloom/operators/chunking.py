@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from deltaloom.sources.staging import stage
@@ -19,6 +19,23 @@ def window(df: DataFrame, id_: str, size: int, offset: int | None = None) -> Dat
     )
 
 
+def window_sql(spark: SparkSession, template: str, low: int, size: int, where: str = "", hint: str = "") -> DataFrame:
+    """A window by the user's own query, with $max, $limit, $where, $whereClause and $hint filled in.
+
+    ``low`` and ``size`` are numbers; ``where`` is the request's text, as trusted as the template.
+    """
+    values = {
+        "$whereClause": f" WHERE {where}" if where else "",
+        "$where": f" AND {where}" if where else "",
+        "$limit": str(int(size)),
+        "$hint": hint,
+        "$max": str(int(low)),
+    }
+    for name, value in values.items():
+        template = template.replace(name, value)
+    return spark.sql(template)
+
+
 @dataclass(frozen=True)
 class Chunk:
     low: int

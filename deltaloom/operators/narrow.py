@@ -72,3 +72,12 @@ def new_ids(src: DataFrame, dst: DataFrame, id_: str, parts: Sequence[str] = ())
     else:
         joined = src.withColumn("_one", F.lit(1)).join(F.broadcast(top.withColumn("_one", F.lit(1))), "_one")
     return joined.filter(F.col("_top").isNull() | (F.col(id_) > F.col("_top"))).select(*src.columns)
+
+
+def dense_remaining(src_cnt: int, dst_cnt: int, dst_max: int, at: int) -> tuple[int, int]:
+    """Rows of each side beyond id ``at``, if ids are dense: both counts less what lies below.
+
+    The engine counts exactly instead; this is for comparing plans without a further scan.
+    """
+    below = dst_cnt - (dst_max - at)
+    return src_cnt - below, dst_cnt - below

@@ -176,3 +176,16 @@ def test_plan_roll_up(spark):
     plan = spark.createDataFrame([("inSync", 4, 4), ("insert", 3, 1), ("removed", None, 2)], "method string, src_cnt long, dst_cnt long")
     assert tuple(diff.roll_up(plan).first()) == (7, 7, 3, 42)
     assert {r.method: r.slices for r in diff.method_histogram(plan).collect()} == {"inSync": 1, "insert": 1, "removed": 1}
+
+
+def test_chunk_template(spark):
+    table(spark, range(1, 20)).createOrReplaceTempView("chunk_src")
+    text = "select $hint count(*) n, min(id) lo, max(id) hi from (select id from chunk_src where id >= $max $where order by id limit $limit)"
+    assert tuple(chunking.window_sql(spark, text, 5, 4, "id % 2 = 0").first()) == (4, 6, 12)
+
+
+def test_dense_counts_and_layouts():
+    from deltaloom.functions.compare import layout_for
+
+    assert narrow.dense_remaining(9999, 9999, 9999, 9684) == (315, 315)
+    assert layout_for("yyyy-MM-dd HH:mm:ss", "2020-01-02") == "yyyy-MM-dd"
