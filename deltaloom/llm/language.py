@@ -29,6 +29,7 @@ from deltaloom.llm._common import bounded_batches, held_out, is_letter_text, nar
 DOCS = 240
 SEGMENTS = 8
 LANGUAGES = 64
+SALTS = 32
 WINDOW = 64
 HIDDEN = 10
 EPOCHS = 7
@@ -235,10 +236,14 @@ def training_windows(docs: DataFrame) -> tuple[np.ndarray, list[str]]:
         F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & is_letter_text(F.col("text"))
     )
     frequent = learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    # a top-n in two levels, so that no task gets more than SALTS x DOCS rows of one language
+    salted = learn.select("doc_id", "lang", F.xxhash64("text").alias("_key"), F.xxhash64("doc_id").alias("_h"))
+    by_salt = Window.partitionBy("lang", F.pmod("_h", F.lit(SALTS))).orderBy("_h", "doc_id")
+    by_lang = Window.partitionBy("lang").orderBy("_h", "doc_id")
     chosen = (
-        learn.select("doc_id", "lang", F.xxhash64("text").alias("_key"))
-        .withColumn("_n", F.row_number().over(order))  # a top-n: limited before it is shuffled
+        salted.withColumn("_n", F.row_number().over(by_salt))
+        .filter(F.col("_n") <= DOCS)
+        .withColumn("_n", F.row_number().over(by_lang))
         .filter(F.col("_n") <= DOCS)
         .join(F.broadcast(frequent.select("lang")), "lang", "left_semi")
         .select("doc_id", F.col("lang").alias("_lang"), "_key", "_n")
