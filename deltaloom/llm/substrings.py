@@ -39,6 +39,7 @@ from deltaloom.llm._common import (
     inside,
     materialise,
     narrow,
+    release,
     single_spaced,
     sliding_min,
     table,
@@ -154,7 +155,7 @@ def _split(hot: np.ndarray, buckets: int):
 
     def run(batches):
         pack = zstandard.ZstdCompressor(level=1)
-        for batch, raw in text_slices(batches, size=8 << 20):
+        for batch, raw in text_slices(batches):
             doc, tkey = _keys(batch, raw)
             texts = [single_spaced(t) for t in raw]
             keep = [i for i, t in enumerate(texts) if t]
@@ -326,7 +327,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     docs = narrow(docs, "doc_id", "text")
     hot = hot_triples(docs)
     buckets = max(32, input_bytes(docs) // BUCKET)
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets // 4)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets)
     blocks = docs.mapInArrow(_split(hot, int(buckets)), "bucket long, block binary")
     spans = (
         blocks.repartition(int(tasks), "bucket")
@@ -334,9 +335,12 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         .mapInArrow(_bucket_spans, "doc_id long, tkey long, spans binary")
     )
     # a text's spans: one packed row at most from each bucket its windows went to
-    return materialise(
+    found = materialise(
         spans.groupBy("doc_id", "tkey").agg(F.collect_list("spans").alias("spans")), "spans"
     )
+    del blocks, spans
+    release(spark)
+    return found
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
