@@ -72,7 +72,7 @@ def rows_of(words: Words) -> np.ndarray:
         mix(head8 + _U(4)),
         mix(six * _U(11) + np.minimum(size, 10).astype(_U) + _U(5)),
     )
-    return np.stack([(s % _U(BUCKETS)).astype(np.int32) for s in seen], 1)
+    return np.stack([(s % _U(BUCKETS)).astype(np.uint16) for s in seen], 1)
 
 
 class Network:
@@ -213,6 +213,7 @@ def train(rows: list[np.ndarray], y: np.ndarray, lang: list[str | None], seed: i
 
     flat, first = batch(used)
     net.start_from_counts(flat, np.repeat(np.arange(len(used)), np.diff(first)), y[used])
+    del flat, first
     state = {"t": 0, "tables": [np.zeros((BUCKETS, DIM), _F) for _ in range(TABLES)]}
     for name in ("out", "base", "bias", "conv"):
         state[name] = (np.zeros_like(getattr(net, name)), np.zeros_like(getattr(net, name)))
@@ -267,7 +268,7 @@ def _slice(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     keep = [i for i, t in enumerate(texts) if t]
     size = np.zeros(len(texts), np.int64)
     if not keep:
-        return np.zeros((0, TABLES), np.int32), np.zeros(len(texts) + 1, np.int64)
+        return np.zeros((0, TABLES), np.uint16), np.zeros(len(texts) + 1, np.int64)
     words = Words([texts[i] for i in keep])
     size[keep] = np.diff(words.first)
     return rows_of(words), np.concatenate([[0], np.cumsum(size)])
@@ -296,7 +297,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network:
         .toArrow()
     )
     data = sorted(zip(*(found.column(c).to_pylist() for c in ("y", "rows", "lang")), strict=True), key=lambda r: (r[0], r[1]))
-    rows = [np.frombuffer(r, np.int32).reshape(-1, TABLES) for _, r, _ in data]
+    del found
+    rows = [np.frombuffer(r, np.uint16).reshape(-1, TABLES) for _, r, _ in data]
     return train(rows, np.array([y for y, *_ in data], np.int64), [x for *_, x in data])
 
 
