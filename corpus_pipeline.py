@@ -1,6 +1,7 @@
 """Corpus pipeline: five stages over documents, each written as Parquet and read again.
 
-Language ID drops documents whose language is unknown, SimHash near-dedup keeps one document of
+Language ID drops documents without a letter and those whose best language is hardly likelier than
+chance (with one learned language or none there is no such cut), SimHash near-dedup keeps one document of
 each group, decontamination drops documents that contain a benchmark item, PII masks personal
 data, and packing deals the rest into sequences. All but the last return the columns of
 documents.
@@ -13,14 +14,19 @@ from pyspark.sql import DataFrame, SparkSession
 from deltaloom.llm import decontaminate, language, packing, pii, simhash
 from deltaloom.llm._common import materialise, table
 
-#: A document is rejected whose best language is hardly likelier than chance.
-OVER_CHANCE = 1.2
+#: A document is rejected whose best language covers less than this share of the way from chance to
+#: certainty: with four languages 0.3.
+OVER_CHANCE = 1 / 15
+
+
+def least_score(labels: int) -> float:
+    """The score that a document needs: chance + ``OVER_CHANCE`` * (1 - chance); none below two languages."""
+    return 1 / labels + OVER_CHANCE * (1 - 1 / labels) if labels > 1 else 0.0
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.fit(docs)
-    chance = 1 / len(model.labels) if model else 0.0
-    return language.accepted(docs, model, OVER_CHANCE * chance)
+    return language.accepted(docs, model, least_score(len(model.labels) if model else 0))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

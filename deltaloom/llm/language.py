@@ -325,15 +325,20 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 def _accept(shared, least: float):
     def run(batches):
         for batch, raw in text_slices(batches, size=2 << 20):
-            lang, score = identify(shared.value, _decode(raw))
-            keep = [a != UNKNOWN and s >= least for a, s in zip(lang, score, strict=True)]
+            texts = _decode(raw)
+            if shared.value is None:
+                keep = [has_letter(t) for t in texts]
+            else:
+                _, score = identify(shared.value, texts)
+                keep = [has_letter(t) and s >= least for t, s in zip(texts, score, strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
 def accepted(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
-    """The rows, all columns kept, whose language is known with a score of at least ``least``."""
+    """The rows, all columns kept, that have a letter and a score of at least ``least``; without a
+    model all that have a letter."""
     spark = docs.sparkSession
     bounded_batches(spark)
     return docs.mapInArrow(_accept(spark.sparkContext.broadcast(model), least), docs.schema)

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from tests.llm.test_decontaminate import brute as brute_leaks
 from tests.llm.test_simhash import brute_components
 
@@ -78,3 +79,19 @@ def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert C.run(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("langs", [(), ("xa",), ("xa", "yb")])
+def test_few_languages_are_not_dropped(spark, sf, langs):
+    path, _, _ = sf
+    kept = F.when(F.col("lang").isin(*langs), F.col("lang")) if langs else F.lit(None).cast("string")
+    docs = spark.read.parquet(f"{path}/documents.parquet").withColumn("lang", kept)
+    out = C.language_id(spark, docs, path)
+    want = [r.doc_id for r in docs.collect() if r.doc_id not in (400, 401, 402)]
+    assert sorted(map(str, want)) == sorted(str(r.doc_id) for r in out.collect())
+
+
+def test_least_score_is_reachable():
+    assert C.least_score(0) == C.least_score(1) == 0
+    assert C.least_score(4) == pytest.approx(0.3)
+    assert all(1 / n < C.least_score(n) < 0.54 for n in range(2, 100))
