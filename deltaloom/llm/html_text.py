@@ -53,6 +53,8 @@ NEVER = frozenset("script style noscript template iframe svg math head title".sp
 ATTRIBUTE = re.compile(r"""(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 PART = re.compile(r"[a-z]+")
+#: Attributes of at most so many characters are kept with their features.
+CACHED = 2_000
 
 
 def end_of_tag(page: str, at: int) -> int:
@@ -109,14 +111,21 @@ def scan(page: str):
                 at = stop
 
 
-@lru_cache(maxsize=4096)
 def features(name: str, attributes: str) -> tuple[str, ...]:
+    """The element's name and the words of its class, id, role and itemprop, wherever they stand."""
+    return (_short_features if len(attributes) <= CACHED else _features)(name, attributes)
+
+
+def _features(name: str, attributes: str) -> tuple[str, ...]:
     out = [name]
     for m in ATTRIBUTE.finditer(attributes):
         out += ["." + p for p in PART.findall((m[1] or m[2] or m[3] or "").lower())]
     return tuple(out)
 
 
+_short_features = lru_cache(maxsize=4096)(_features)
+
+
 class Weights:
     """Log-odds of features of open elements, and costs of tags."""
 
@@ -124,7 +133,10 @@ class Weights:
         self.bias, self.feature, self.tag, self.other = bias, feature, tag, other
 
     def nodes(self, page: str):
-        """(score of a tag or of each word, text or None, breaks, open elements) in page order."""
+        """(score of a tag or of each word, text or None, breaks, open elements) in page order.
+
+        Open elements are pairs of the outer ones and the features of the last.
+        """
         stack: list[tuple[str, float, tuple]] = [("", self.bias, ())]
         for kind, name, rest in scan(page):
             if kind == "":
@@ -141,11 +153,11 @@ class Weights:
                         if stack[k][0] in SCOPE or (stack[k][0] not in INLINE and "p" in shut and len(shut) == 1):
                             break
                 if name not in VOID and not rest.endswith("/>"):
-                    own = features(name, rest[:2000])
+                    own = features(name, rest)
                     score = stack[-1][1] + sum(self.feature.get(f, 0.0) for f in own)
                     if name in NEVER:
                         score = -1e9
-                    stack.append((name, score, (*stack[-1][2], *own)))
+                    stack.append((name, score, (stack[-1][2], own)))
             else:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] == name:
@@ -182,6 +194,15 @@ class Weights:
         return " ".join(html.unescape("".join(out)).split())
 
 
+def all_features(open_: tuple) -> frozenset[str]:
+    """The features of open elements as ``nodes`` gives them."""
+    found: set[str] = set()
+    while open_:
+        open_, own = open_
+        found.update(own)
+    return frozenset(found)
+
+
 def train(pages: list[str]) -> Weights:
     """Weights from labelled pages, whose main words begin with k and others with z."""
     blank = Weights(0.0, {}, {}, -0.1)
@@ -193,7 +214,7 @@ def train(pages: list[str]) -> Weights:
             main = None
             if text and text.strip():
                 main = text.split()[0].startswith("k")
-                rows[frozenset(open_), main] += min(len(text.split()), 10)
+                rows[all_features(open_), main] += min(len(text.split()), 10)
             events.append(main)
         marks = [k for k, m in enumerate(events) if m]
         if marks:

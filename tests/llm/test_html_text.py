@@ -58,3 +58,11 @@ def test_query(spark, tmp_path):
     assert out == sorted([(1, "u", WANT, len(WANT))] * 2 + [(None, None, "", 0), (2, "v", "", 0)], key=str)
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert H.extract(empty).count() == 0
+
+
+@pytest.mark.parametrize("before", ['style="{}"', "data-x='{}'", 'src="data:image/png;base64,{}"'])
+def test_attributes_after_a_long_one(own, before):
+    long = before.format("x" * 5000)
+    page = f'<nav>x</nav><article>{ARTICLE}<div {long} class="ad">advert words here</div></article>'
+    assert own.text(page) == own.text(page.replace(long + " ", "")) == WANT
+    assert H.features("div", f' {long} id="comments" role="note">') == ("div", ".comments", ".note")
