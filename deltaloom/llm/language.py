@@ -7,7 +7,8 @@ whole slice of the corpus is one batch and no text is too long; every byte is re
 
 The network is trained on the driver, in numpy, by backpropagation through time with Adam, on
 a sample of ``DOCS`` documents of each language (by a hash of the id) and ``SEGMENTS`` windows of
-each. Languages and texts of held-out rows never enter it.
+each. Every language is learned: beyond ``LANGUAGES`` of them each has fewer documents, at least
+one, so that the sample stays as large. Languages and texts of held-out rows never enter it.
 
 Edge cases: a null text and a text without a letter are ``und`` with score 0; rows without a
 language are not learned from; without any learned language everything is ``und``; repeated rows
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 
 from deltaloom.llm._common import bounded_batches, held_out, is_letter_text, narrow, table, text_slices
 
-#: Documents of each language, windows of each document: the sample's bound.
+#: Documents of each language, windows of each document, languages that get so many documents: the
+#: sample's bound. With more languages each gets fewer documents.
 DOCS = 240
 SEGMENTS = 8
 LANGUAGES = 64
@@ -36,8 +38,10 @@ EPOCHS = 7
 BATCH = 256
 RATE = 0.02
 UNKNOWN = "und"
-#: Windows scored at once.
+#: Windows scored at once, with LANGUAGES languages or fewer.
 BLOCK = 8192
+#: Probabilities (texts x languages) held at once.
+CELLS = 1 << 24
 
 _LETTER = re.compile(r"[^\W\d_]")
 _F = np.float32
@@ -223,40 +227,44 @@ class Model:
         """The pooled label probabilities of each folded text (zeros where it is empty)."""
         x, length, text = windows(texts)
         total = np.zeros((len(texts), len(self.labels)))
-        for at in range(0, len(x), BLOCK):
-            part = self.position_sums(x[at : at + BLOCK], length[at : at + BLOCK])
-            np.add.at(total, text[at : at + BLOCK], part)
+        block = max(1, BLOCK * LANGUAGES // max(LANGUAGES, len(self.labels)))
+        for at in range(0, len(x), block):
+            part = self.position_sums(x[at : at + block], length[at : at + block])
+            np.add.at(total, text[at : at + block], part)
         n = np.array([max(1, len(t)) for t in texts])
         return total / n[:, None]
 
 
 def training_windows(docs: DataFrame) -> tuple[np.ndarray, list[str]]:
-    """At most LANGUAGES x DOCS x SEGMENTS full windows and their languages."""
+    """At most LANGUAGES x DOCS x SEGMENTS full windows (or SEGMENTS for each language, if that is
+    more) and their languages."""
     learn = docs.filter(
         F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & is_letter_text(F.col("text"))
     )
-    frequent = learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    languages = learn.select("lang").distinct().count()
+    size = max(1, min(DOCS, LANGUAGES * DOCS // max(1, languages)))
     # a top-n in two levels, so that no task gets more than SALTS x DOCS rows of one language
     salted = learn.select("doc_id", "lang", F.xxhash64("text").alias("_key"), F.xxhash64("doc_id").alias("_h"))
     by_salt = Window.partitionBy("lang", F.pmod("_h", F.lit(SALTS))).orderBy("_h", "doc_id")
     by_lang = Window.partitionBy("lang").orderBy("_h", "doc_id")
     chosen = (
         salted.withColumn("_n", F.row_number().over(by_salt))
-        .filter(F.col("_n") <= DOCS)
+        .filter(F.col("_n") <= size)
         .withColumn("_n", F.row_number().over(by_lang))
-        .filter(F.col("_n") <= DOCS)
-        .join(F.broadcast(frequent.select("lang")), "lang", "left_semi")
-        .select("doc_id", F.col("lang").alias("_lang"), "_key", "_n")
+        .filter(F.col("_n") <= size)
+        # repeated rows count once: their product would crowd out other languages
+        .groupBy("doc_id", F.col("lang").alias("_lang"), "_key")
+        .agg(F.min("_n").alias("_n"))
     )
-    size = WINDOW * 3
+    wide = WINDOW * 3
     spread = F.length("text") / float(SEGMENTS)
     pieces = (
-        docs.join(F.broadcast(chosen), "doc_id")  # at most LANGUAGES x DOCS rows
+        docs.join(F.broadcast(chosen), "doc_id")  # at most LANGUAGES x DOCS rows, or one for each language
         .filter((F.xxhash64("text") == F.col("_key")) & (F.col("lang") == F.col("_lang")))
         .withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS - 1))))
-        .select("_lang", "_n", "_k", F.substring("text", (F.col("_k") * spread).cast("int") + 1, F.lit(size)).alias("_t"))
+        .select("_lang", "_n", "_k", F.substring("text", (F.col("_k") * spread).cast("int") + 1, F.lit(wide)).alias("_t"))
+        .distinct()
         .orderBy("_lang", "_n", "_k", "_t")
-        .limit(LANGUAGES * DOCS * SEGMENTS)
     )
     x, y = [], []
     for lang, _, _, text in pieces.collect():
@@ -285,9 +293,11 @@ def identify(model: Model | None, texts: list[str | None]) -> tuple[list[str], l
     """The language and score of each text."""
     known = [i for i, t in enumerate(texts) if t and model and has_letter(t)]
     lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
-    if known:
-        p = model.probabilities([folded(texts[i]) for i in known])
-        for i, k, best in zip(known, p.argmax(1).tolist(), p.max(1).tolist(), strict=True):
+    step = max(1, CELLS // len(model.labels)) if known else 1
+    for at in range(0, len(known), step):
+        part = known[at : at + step]
+        p = model.probabilities([folded(texts[i]) for i in part])
+        for i, k, best in zip(part, p.argmax(1).tolist(), p.max(1).tolist(), strict=True):
             lang[i], score[i] = model.labels[k], min(1.0, best)
     return lang, score
 

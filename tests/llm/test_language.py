@@ -75,3 +75,34 @@ def test_nothing_to_learn(spark):
     assert [r.lang_pred for r in G.predict(docs, G.fit(docs)).collect()] == ["und"]
     none = docs.limit(0)
     assert G.predict(none, G.fit(none)).count() == 0
+
+
+def test_every_language_is_learned(spark):
+    n = G.LANGUAGES + 6
+    texts = [f"{chr(97 + k % 26)}{chr(97 + k // 26)} " * 40 for k in range(n)]
+    rows = [(i * n + k, f"{texts[k]} {i}", f"l{k:03}") for i in range(3) for k in range(n)]
+    docs = spark.createDataFrame([*rows, *[rows[0]] * 50], "doc_id long, text string, lang string")
+    x, y = G.training_windows(docs)
+    learned = {r[2] for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1}
+    assert set(y) == learned and len(learned) > G.LANGUAGES and len(x) == len(y) <= n * 3 * G.SEGMENTS
+
+
+def test_more_languages_have_fewer_documents(spark, monkeypatch):
+    monkeypatch.setattr(G, "LANGUAGES", 2)
+    monkeypatch.setattr(G, "DOCS", 6)
+    rows = [(i, f"{'abc'[i % 3] * 3} " * 40, "abc"[i % 3]) for i in range(90)]
+    _, y = G.training_windows(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {lang: y.count(lang) for lang in "abc"} == dict.fromkeys("abc", 4 * G.SEGMENTS)
+
+
+def test_blocks_shrink_with_languages(monkeypatch):
+    model = G.Model(["a", "b", "c"], seed=3)
+    texts = [b"abc xyz " * n for n in range(1, 40)]
+    whole = model.probabilities(texts)
+    monkeypatch.setattr(G, "LANGUAGES", 1)
+    monkeypatch.setattr(G, "BLOCK", 20)
+    assert np.allclose(model.probabilities(texts), whole, atol=1e-5)
+    lang, score = G.identify(model, [None, *[t.decode() for t in texts]])
+    monkeypatch.setattr(G, "CELLS", 15)
+    again, cut = G.identify(model, [None, *[t.decode() for t in texts]])
+    assert again == lang and lang[0] == "und" and np.allclose(cut, score, atol=1e-5)
