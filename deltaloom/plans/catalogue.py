@@ -172,6 +172,16 @@ def diff_numeric_precision(spark, sf):
     return flags.select("o_orderkey", F.col("o_orderstatus").alias("same_status"), F.col("o_totalprice").alias("same_price"))
 
 
+@query(f"""{O_DST} select o_orderkey, s.o_orderstatus = d.o_orderstatus same_status,
+round(s.o_totalprice, 1) = round(d.o_totalprice, 1) same_price from orders s join dst d using (o_orderkey)""")
+def diff_numeric_precision_all(spark, sf):
+    """``diff_numeric_precision`` over every order of both sides."""
+    src, dst = orders(spark, sf)
+    cols = ["o_orderkey", "o_orderstatus", "o_totalprice"]
+    flags = compare.record_similarity(src.select(cols), dst.select(cols), ["o_orderkey"], precision=1)
+    return flags.select("o_orderkey", F.col("o_orderstatus").alias("same_status"), F.col("o_totalprice").alias("same_price"))
+
+
 @query("""select event_id, true as same_day from events where event_id % 50 = 0""")
 def diff_date_format(spark, sf):
     src = load(spark, sf, "events").filter("event_id % 50 = 0").select("event_id", "ts")
