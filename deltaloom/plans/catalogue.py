@@ -190,6 +190,18 @@ def diff_date_format(spark, sf):
     return flags.select("event_id", F.col("ts").alias("same_day"))
 
 
+@query("""select event_id, strftime(ts, '%Y-%m-%d') = strftime(case when event_id % 7 = 3 then date_trunc('day', ts) + interval 1 day
+else date_trunc('day', ts) end, '%Y-%m-%d') same_day from events""")
+def diff_date_format_all(spark, sf):
+    """``diff_date_format`` over every event, some of which are a day later in the destination."""
+    src = load(spark, sf, "events").select("event_id", "ts")
+    day = F.to_date("ts")
+    day = F.when(F.col("event_id") % 7 == 3, F.date_add(day, 1)).otherwise(day)
+    dst = src.withColumn("ts", day.cast("timestamp_ntz"))
+    flags = compare.record_similarity(src, dst, ["event_id"], date_format="yyyy-MM-dd")
+    return flags.select("event_id", F.col("ts").alias("same_day"))
+
+
 @query(f"""{E_DST} select distinct event_type from dst where event_type not in (select event_type from events)""")
 def removed_partitions(spark, sf):
     return diff.removed_partitions(*events(spark, sf), ["event_type"])
