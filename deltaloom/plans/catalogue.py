@@ -11,7 +11,18 @@ from deltaloom.functions import compare, criteria
 from deltaloom.functions.types import DiffColumn
 from deltaloom.operators import chunking, diff, merge, narrow, projection, signature
 from deltaloom.plans import quality
-from deltaloom.plans.fixtures import EVENTS_DST, LINES_DST, ORDERS_DST, derived, duck, events, load, orders
+from deltaloom.plans.fixtures import (
+    EVENTS_DST,
+    LINES_ALL_DST,
+    LINES_DST,
+    ORDERS_ALL_DST,
+    ORDERS_DST,
+    derived,
+    duck,
+    events,
+    load,
+    orders,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -402,6 +413,29 @@ def upsert_explicit_columns(spark, sf):
     return merge.upsert_columns(dst, t, ["o_orderkey"])
 
 
+@query(f"""with dst as (select l_orderkey, l_linenumber, {LINE_MAX} from ({duck(LINES_ALL_DST)}) group by 1, 2),
+t as (select l_orderkey, l_linenumber, {LINE_MAX} from lineitem group by 1, 2)
+select l_orderkey, l_linenumber, {LINE} from t union all select l_orderkey, l_linenumber, {LINE} from dst d
+where not exists (select 1 from t where t.l_orderkey = d.l_orderkey and t.l_linenumber = d.l_linenumber)""")
+def multi_id_merge_all(spark, sf):
+    """``multi_id_merge`` with every line of the source."""
+    ids = ["l_orderkey", "l_linenumber"]
+    dst = merge.dedupe_max(derived(spark, sf, LINES_ALL_DST, "lineitem"), ids)
+    return merge.upsert(dst, load(spark, sf, "lineitem"), ids)
+
+
+@query(f"""with dst as ({duck(ORDERS_ALL_DST)}) select o_orderkey,
+case when s.o_orderkey is not null then s.o_orderstatus else d.o_orderstatus end o_orderstatus,
+case when s.o_orderkey is not null then s.o_totalprice else d.o_totalprice end o_totalprice, d.o_orderpriority
+from (select o_orderkey, o_orderstatus, o_totalprice from orders) s full join
+(select o_orderkey, o_orderstatus, o_totalprice, o_orderpriority from dst) d using (o_orderkey)""")
+def upsert_explicit_columns_all(spark, sf):
+    """``upsert_explicit_columns`` with every order of the source."""
+    dst = derived(spark, sf, ORDERS_ALL_DST, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    t = projection.sync_projection(load(spark, sf, "orders"), ["o_orderkey"], ["O_ORDERSTATUS", "o_totalprice"])
+    return merge.upsert_columns(dst, t, ["o_orderkey"])
+
+
 # --- whole runs ---------------------------------------------------------------------------
 
 

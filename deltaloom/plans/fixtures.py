@@ -36,6 +36,26 @@ LINES_DST = """
 select * from {lineitem} where l_orderkey % 10 <> 3
 """
 
+#: Lines without some orders, with some other quantities and with some lines that the source lacks.
+LINES_ALL_DST = """
+select l_orderkey, l_partkey, l_suppkey, l_linenumber,
+       case when l_orderkey % 7 = 2 then l_quantity + 100 else l_quantity end as l_quantity,
+       l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate
+from {lineitem} where l_orderkey % 10 <> 3
+union all
+select l_orderkey + 1000000000 as l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity,
+       l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate
+from {lineitem} where l_orderkey % 4 = 1
+"""
+
+#: The derived orders, and some that the source lacks.
+ORDERS_ALL_DST = f"""
+select * from ({ORDERS_DST}) d
+union all
+select o_orderkey + 1000000000 as o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority
+from {{orders}} where o_orderkey % 13 = 5
+"""
+
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
