@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,21 +33,47 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the session names none."""
+    """The folder all executors share; a temporary one only where the session names none and is local."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
-        named = spark.conf.get("spark.deltaloom.scratch", None)
-        if not named:
-            named = "file://" + tempfile.mkdtemp(prefix="deltaloom-")
-            spark.conf.set("spark.deltaloom.scratch", named)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = "file://" + _local_scratch()
     return named.rstrip("/")
 
 
+@lru_cache(maxsize=1)
+def _local_scratch() -> str:
+    """One folder for each driver process, removed when it ends."""
+    path = tempfile.mkdtemp(prefix="deltaloom-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends at durable files."""
-    path = f"{scratch_dir(df.sparkSession)}/deltaloom/{label}-{uuid.uuid4().hex}"
+    """Write ``df`` to the shared folder and read it back: lineage ends at durable files.
+
+    The files go when the application ends, or by ``discard``.
+    """
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/deltaloom/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    fs, where = _file_system(spark, path)
+    fs.deleteOnExit(where)
+    out._scratch = path
+    return out
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what ``materialise`` wrote for ``df``, which no plan may read again."""
+    fs, where = _file_system(df.sparkSession, df._scratch)
+    fs.delete(where, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -60,11 +90,6 @@ def broadcast_if_small(df: DataFrame, rows: int = 20_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def bounded_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Few rows in each Arrow batch, so that very long texts cannot fill a worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the bytes under ``df`` (file sizes; no job is run)."""
     plan = df._jdf.queryExecution().optimizedPlan()
@@ -79,7 +104,11 @@ def held_out(doc_id: Column) -> Column:
 def text_slices(
     batches: Iterator[pa.RecordBatch], text: str = "text", size: int = 4 << 20
 ) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Record batches of about ``size`` text bytes each, with the texts (null: empty) as bytes."""
+    """Record batches of about ``size`` text bytes each, with the texts (null: empty) as bytes.
+
+    Spark itself bounds the bytes of an Arrow batch (``spark.sql.execution.arrow.maxBytesPerBatch``,
+    64 MB by default); a text longer than ``size`` is a slice of its own.
+    """
     held: list[pa.RecordBatch] = []
     total = 0
 
@@ -98,7 +127,7 @@ def text_slices(
             yield flush()
             held, total = [], 0
         if column.nbytes > 2 * size and batch.num_rows > 1:
-            lengths = np.array([len(x or b"") for x in column.cast(pa.binary()).to_pylist()])
+            lengths = pc.binary_length(column.cast(pa.binary())).fill_null(0).to_numpy(zero_copy_only=False)
             group = np.cumsum(lengths) // size
             for cut in [*(np.flatnonzero(np.diff(group)) + 1), batch.num_rows]:
                 held = [batch.slice(at, cut - at)]

@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 from deltaloom.llm._common import (
     LOWER_TO_SPACE,
     Words,
-    bounded_batches,
     grams,
     inside,
     narrow,
@@ -161,7 +160,6 @@ def _search(shared):
 
 def contained_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_shingles, n_found, containment) for every contained item."""
-    bounded_batches(docs.sparkSession)
     texts = narrow(docs, "doc_id", "text")
     parts = [
         texts.mapInArrow(
@@ -185,7 +183,6 @@ def _clean(shared):
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns kept, whose text contains no benchmark item."""
-    bounded_batches(docs.sparkSession)
     for shared in blocks(benchmark):
         docs = docs.mapInArrow(_clean(shared), docs.schema)
     return docs

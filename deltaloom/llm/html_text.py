@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from deltaloom.llm import labelled_pages
-from deltaloom.llm._common import bounded_batches, narrow, table
+from deltaloom.llm._common import narrow, table
 
 TRAINING_PAGES = 600
 WORST = -12.0
@@ -280,7 +280,6 @@ def _extract(own: Weights):
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
-    bounded_batches(pages.sparkSession)
     return narrow(pages, "page_id", "url", "html").mapInArrow(
         _extract(weights()), "page_id long, url string, text string, n_chars long"
     )

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from deltaloom.llm._common import bounded_batches, held_out, is_letter_text, narrow, table, text_slices
+from deltaloom.llm._common import held_out, is_letter_text, narrow, table, text_slices
 
 #: Documents of each language, windows of each document, languages that get so many documents: the
 #: sample's bound. With more languages each gets fewer documents.
@@ -321,7 +321,6 @@ def _predict(shared):
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document."""
     spark = docs.sparkSession
-    bounded_batches(spark)
     return (
         narrow(docs, "doc_id", "text")
         .withColumn("held_out", held_out(F.col("doc_id")))
@@ -350,7 +349,6 @@ def accepted(docs: DataFrame, model: Model | None, least: float) -> DataFrame:
     """The rows, all columns kept, that have a letter and a score of at least ``least``; without a
     model all that have a letter."""
     spark = docs.sparkSession
-    bounded_batches(spark)
     return docs.mapInArrow(_accept(spark.sparkContext.broadcast(model), least), docs.schema)
 
 

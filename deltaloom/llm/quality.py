@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 
 from deltaloom.llm._common import (
     TO_SPACE,
-    bounded_batches,
     held_out,
     narrow,
     table,
@@ -167,7 +166,6 @@ def _vectors(batches):
 
 def fit(docs: DataFrame, labels: DataFrame) -> Trees:
     """Trees from at most ``SAMPLE`` labelled documents that are not held out."""
-    bounded_batches(docs.sparkSession)
     sample = labelled(narrow(docs, "doc_id", "text"), labels, "quality", SAMPLE)
     rows = (
         sample.select("y", "text")
@@ -196,7 +194,6 @@ def _scored(shared):
 def score(docs: DataFrame, trees: Trees) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     spark = docs.sparkSession
-    bounded_batches(spark)
     return (
         narrow(docs, "doc_id", "text")
         .withColumn("held_out", held_out(F.col("doc_id")))

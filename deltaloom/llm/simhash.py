@@ -32,7 +32,6 @@ from pyspark.sql import functions as F
 from deltaloom.llm import golay
 from deltaloom.llm._common import (
     LOWER_TO_SPACE,
-    bounded_batches,
     input_bytes,
     materialise,
     mix,
@@ -100,7 +99,6 @@ def _fingerprints(batches):
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, tkey, fp) for every row: tkey hashes the raw text, as ``xxhash64`` does; fp holds
     the unsigned fingerprint's bits as a long."""
-    bounded_batches(docs.sparkSession)
     return narrow(docs, "doc_id", "text").mapInArrow(
         _fingerprints, "doc_id long, tkey long, fp long"
     )

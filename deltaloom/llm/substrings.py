@@ -32,7 +32,6 @@ from pyspark.sql import functions as F
 
 from deltaloom.llm._common import (
     Words,
-    bounded_batches,
     concat_ranges,
     grams,
     input_bytes,
@@ -323,7 +322,6 @@ def _kept(batches):
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, tkey, spans): for each text, arrays of packed (start, end) word spans to remove."""
     spark = docs.sparkSession
-    bounded_batches(spark)
     docs = narrow(docs, "doc_id", "text")
     hot = hot_triples(docs)
     buckets = max(32, input_bytes(docs) // BUCKET)

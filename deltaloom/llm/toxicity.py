@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltaloom.llm._common import Words, bounded_batches, held_out, mix, narrow, table, text_slices
+from deltaloom.llm._common import Words, held_out, mix, narrow, table, text_slices
 from deltaloom.llm.samples import labelled
 
 SAMPLE = 9_000
@@ -287,7 +287,6 @@ def _hashed(batches):
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Network:
-    bounded_batches(docs.sparkSession)
     sample = labelled(narrow(docs, "doc_id", "text", "lang"), labels, "toxic", SAMPLE)
     found = (
         sample.select("lang", "y", "text")
@@ -326,7 +325,6 @@ def _scored(shared):
 def score(docs: DataFrame, net: Network) -> DataFrame:
     """doc_id, held_out, score, predicted, threshold and flagged of every document."""
     spark = docs.sparkSession
-    bounded_batches(spark)
     return (
         narrow(docs, "doc_id", "text", "lang")
         .withColumn("held_out", held_out(F.col("doc_id")))

@@ -111,3 +111,89 @@ def test_mask_keeps_columns_and_length(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert pii.report(docs).count() == 0 and pii.mask(docs).count() == 0
+
+
+def spans_of(docs, rows):
+    return {r.doc_id: [rows[r.doc_id][int(s) : int(e)] for _, s, e in (x.split(":") for x in r.spans.split(",") if x)] for r in pii.report(docs).collect()}
+
+
+def test_patterns_lead_to_patterns(spark):
+    """Local numbers follow "phone" (as seeds do) and "fax"; two more only "fax", which no seed ever follows."""
+    local = lambda i: f"555-{i:04d}"
+    rows = [f"w{i} phone +49 30 1234{i:04d} x" for i in range(200)]
+    rows += [f"w{i} phone {local(i)} y" for i in range(20)]
+    rows += [f"w{i} fax {local(i)} z" for i in range(20)]
+    rows += [f"w{i} fax {local(i + 500)} z" for i in range(2)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = spans_of(docs, rows)
+    assert all(got[i] == [local(i - 200)] for i in range(200, 220))  # one step from the seeds
+    assert all(got[i] == [local(i - 220)] for i in range(220, 240))
+    assert got[240] == [local(500)] and got[241] == [local(501)]  # two steps
+
+
+@pytest.mark.parametrize("template", ["{w} " + "c" * 100 + " {v} and {w}", "{w} {v} is my number"])
+def test_long_context_words_and_words_after(spark, template):
+    rows = [template.format(w=f"w{i}", v=f"+49 30 1234{i:04d}") for i in range(12)]
+    rows += [template.format(w="u", v="(030) 555-1234")]
+    # the same first 64 and last 64 characters before numbers that are none
+    rows += [template.format(w=f"q{i}", v=f"{i:07d}").replace("c" * 100, "b" + "c" * 99).replace("is my", "are no") for i in range(12)]
+    got = spans_of(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), rows)
+    assert "555-1234" in got[12][0] and not any(got[i] for i in range(13, 25))
+
+
+def test_recall_of_planted_identifiers(spark):
+    rng = random.Random(4)
+    cues = {"mobile": "+44 20 7946 {:04d}", "write": "user{}@mail{}.example.org"}
+    unseen = {"mobile": "(020) 7946-{:04d}", "write": "admin{}@intranet"}
+    word = lambda: "w" * rng.randint(1, 9) + str(rng.choice("abcdef"))
+    rows, planted = [], {}
+    for i in range(300):
+        cue = rng.choice(list(cues))
+        known = i % 8 > 0
+        v = (cues if known else unseen)[cue].format(i, i)
+        if not known:
+            planted[i] = v
+        rows.append(f"{word()} {word()} {cue} {v} {word()}")
+    rows += [f"{word()} {rng.choice(['room', 'year', 'page'])} {rng.randint(10**5, 10**7)} {word()}" for _ in range(100)]
+    got = spans_of(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), rows)
+    hit = [v.strip("()") in " ".join(got[i]) for i, v in planted.items()]
+    assert sum(hit) >= 0.9 * len(hit) and not any(got[i] for i in range(300, 400))
+
+
+def test_time_grows_with_the_text(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    def seconds(n):
+        text = " ".join(f"{i * 7919 % 1000003} a@b{i}.cd" for i in range(n))
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string").coalesce(1)
+        base = pii.base_spans(docs)
+        began = time.time()
+        masked = pii.with_masked(base.join(docs, "doc_id"), "text", "base", "m").select("m", F.size("tokens").alias("n"))
+        r = masked.first()
+        assert r["n"] == n and "".join(c for c in r["m"] if c == "[") == "[" * n and "@" not in r["m"]
+        return time.time() - began
+
+    seconds(1000)
+    one, two = seconds(30_000), seconds(60_000)  # 0.6 and 1.2 MB
+    assert two < 3 * one + 2
+
+
+def test_mask_cuts_blocks_anywhere(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(60):
+        text = "".join(rng.choice("ab é😀\n") for _ in range(rng.choice([3, 1023, 1024, 1025, 5000])))
+        cuts = sorted(rng.sample(range(len(text) + 1), 4))
+        spans = [(0, cuts[0], cuts[1]), (1, cuts[2], cuts[3])] + ([(3, cuts[0], cuts[2])] if i % 2 else [])
+        rows.append((i, text, spans))
+    df = spark.createDataFrame(rows, f"doc_id long, text string, base {pii.SPANS}")
+    got = {r.doc_id: r.m for r in pii.with_masked(df, "text", "base", "m").collect()}
+    for i, text, spans in rows:
+        out, at = "", 0
+        for s, e, k in sorted((s, e, k) for k, s, e in spans):
+            if s >= at:
+                out += text[at:s] + f"[{pii.KINDS[k].upper()}]"
+            at = max(at, e)
+        assert got[i] == out + text[at:], i
