@@ -2,8 +2,8 @@
 
 Base spans of four kinds (email, ip, card, phone) come from regular expressions with checks. They
 are the seeds. Every identifier-shaped token (one with a digit or an @) is an instance; the one
-and the two words before it, those after it, and the words on both sides are its lexical
-patterns. Patterns and instances form a graph whose edges count occurrences. Spark scores it
+and the two words before it, the two after it, and the words on both sides are its lexical
+patterns (one word after it says too little). Patterns and instances form a graph whose edges count occurrences. Spark scores it
 iteratively: a pattern's score for a kind is how much of what it surrounds, and what has the
 kind's shape, is believed to be of that kind (smoothed); a pattern with ``SEEDS`` different
 believed instances and a score of ``TRUST`` is trusted; what trusted patterns surround is
@@ -146,10 +146,10 @@ def _words(gap: Column, pattern: str) -> Column:
 
 
 def _patterns(t: Column) -> Column:
-    """Hashes of the patterns around a token: a word or two before, after, and one on both sides."""
+    """Hashes of the patterns around a token: a word or two before, two after, one on both sides."""
     made = [
         F.when(reduce(lambda x, y: x & y, [t[w].isNotNull() for w in words]), F.xxhash64(F.lit(tag), *[t[w] for w in words]))
-        for tag, words in enumerate((["y1"], ["y2", "y1"], ["z1"], ["z1", "z2"], ["y1", "z1"]))
+        for tag, words in enumerate((["y1"], ["y2", "y1"], ["z1", "z2"], ["y1", "z1"]))
     ]
     return F.filter(F.array(*made), lambda p: p.isNotNull())
 
