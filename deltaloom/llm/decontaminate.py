@@ -2,11 +2,11 @@
 
 A text contains a benchmark item when at least ``CONTAINED`` of the item's distinct word
 shingles (five words; a shorter item is one shingle) occur in the text. Items are partitioned
-by how many shingles they have, in classes that double. In each class an item's sketch is the k
-shingles with the least hashes, k just over the share of the class's largest size that may be
-missing: whatever shingles a containing text lacks, it has one of the k. So the search over a
-text, however long, is one look-up of each of its shingles among the sketches of the classes
-that its own size admits, and loses nothing. Candidates are verified by exact containment of
+by how many shingles they have, in classes that double, and each class has its own index. In each
+class an item's sketch is the k shingles with the least hashes, k just over the share of the
+class's largest size that may be missing: whatever shingles a containing text lacks, it has one of
+the k. A text, however long, looks up its shingles only in the classes that its own size admits
+(those whose smallest item needs no more shingles than it has), and loses nothing. Candidates are verified by exact containment of
 the shingles' bytes.
 
 The benchmark is the stated query set. It is searched in blocks of at most ``BLOCK`` bytes of
@@ -14,7 +14,10 @@ text, each broadcast and run against all documents, which are never shuffled; it
 first. Rows are one for each containing (document, item).
 
 Edge cases: null or empty items match nothing; texts with too few words match nothing; null ids
-stay null; repeated rows give repeated results; empty tables give no rows.
+stay null; of several contained items each is a row, so there are no ties; a very long text is one
+row, searched whole; repeated rows give repeated results; empty tables give no rows. Only doc_id
+and text, and of the benchmark item_id and text, are read, so other columns may have any names;
+``without_contaminated`` carries those of the documents along.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ from pyspark.sql import functions as F
 from deltaloom.llm._common import (
     LOWER_TO_SPACE,
     Words,
+    concat_ranges,
     grams,
     inside,
     narrow,
@@ -51,11 +55,11 @@ def shingle_bytes(words: list[bytes], width: int) -> set[bytes]:
 
 
 class Benchmark:
-    """The sketches of one block of items, by shingle width."""
+    """The sketches of one block of items: an index for each shingle width and size class."""
 
     def __init__(self, items: list[tuple[int | None, str | None]]):
-        self.ids, self.shingles, width_of = [], [], []
-        sketches: dict[int, list[tuple[np.ndarray, int]]] = defaultdict(list)
+        self.ids, self.shingles = [], []
+        sketches: dict[tuple[int, int], list[tuple[np.ndarray, int]]] = defaultdict(list)
         hit, of = CONTAINED
         for item_id, text in items:
             flat = single_spaced((text or "").encode(), LOWER_TO_SPACE)
@@ -67,40 +71,50 @@ class Benchmark:
             hashes = np.unique(grams(Words([flat]).hashes(), width))
             size_class = 1 << (len(shingles) - 1).bit_length()  # sizes up to the next power of 2
             k = size_class * (of - hit) // of + 1
-            sketches[width].append((hashes[:k], len(self.ids)))
+            sketches[width, size_class].append((hashes[:k], len(self.ids)))
             self.ids.append(item_id)
             self.shingles.append(shingles)
-            width_of.append(width)
         #: least number of distinct shingles a containing text has
         self.needed = np.array([-(-len(s) * hit // of) for s in self.shingles], np.int64)
-        self.index = {}
-        for width, parts in sketches.items():
+        #: (width, least needed, hashes, item of each hash, which low bits occur), smallest texts first
+        self.index = []
+        for (width, _), parts in sorted(sketches.items()):
             hashes = np.concatenate([h for h, _ in parts])
             item = np.repeat([i for _, i in parts], [len(h) for h, _ in parts])
             order = np.argsort(hashes, kind="stable")
             hashes, item = hashes[order], item[order]
-            maybe = np.zeros(1 << 20, bool)
-            maybe[(hashes & _U((1 << 20) - 1)).astype(np.int64)] = True
-            self.index[width] = (hashes, item, maybe)
+            maybe = np.zeros(1 << 16, bool)
+            maybe[(hashes & _U(0xFFFF)).astype(np.int64)] = True
+            self.index.append((width, int(self.needed[item].min()), hashes, item, maybe))
 
     def candidates(self, words: Words) -> set[tuple[int, int]]:
-        """(text, item) pairs that share a sketch shingle and whose sizes allow containment."""
+        """(text, item) pairs that share a sketch shingle and whose sizes allow containment.
+
+        A class is looked up only in texts with as many shingles as its smallest item needs.
+        """
         h = words.hashes()
         sizes = np.diff(words.first)
         out: set[tuple[int, int]] = set()
-        for width, (hashes, item, maybe) in self.index.items():
-            if len(h) < width:
+        made: dict[int, np.ndarray] = {}
+        for width, least, hashes, item, maybe in self.index:
+            admitted = np.flatnonzero(sizes - width + 1 >= max(1, least))
+            if not len(admitted):
                 continue
-            g = grams(h, width)
-            at = np.flatnonzero(maybe[(g & _U((1 << 20) - 1)).astype(np.int64)])
+            if width not in made:
+                made[width] = grams(h, width)
+            g = made[width]
+            if len(admitted) == len(sizes):
+                at = np.flatnonzero(maybe[(g & _U(0xFFFF)).astype(np.int64)])
+                at = at[inside(words.first, width, len(h))[at]]
+            else:  # the windows of the admitted texts only
+                own = concat_ranges(words.first[:-1][admitted], sizes[admitted] - width + 1)
+                at = own[maybe[(g[own] & _U(0xFFFF)).astype(np.int64)]]
             lo = np.searchsorted(hashes, g[at])
             known = lo < len(hashes)
             known[known] = hashes[lo[known]] == g[at[known]]
             at, lo = at[known], lo[known]
             if not len(at):
                 continue
-            ok = inside(words.first, width, len(h))[at]
-            at, lo = at[ok], lo[ok]
             text = np.searchsorted(words.first, at, side="right") - 1
             hi = np.searchsorted(hashes, g[at], side="right")
             for t, a, b in zip(text.tolist(), lo.tolist(), hi.tolist(), strict=True):

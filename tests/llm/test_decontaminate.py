@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from deltaloom.llm import decontaminate as D
@@ -77,3 +78,26 @@ def test_empty(spark):
     some = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
     assert D.contained_items(some, items).count() == 0
     assert D.without_contaminated(some, items).count() == 1
+
+
+def test_each_size_class_has_an_index():
+    items = [(1, " ".join(f"a{i}" for i in range(12))), (2, " ".join(f"b{i}" for i in range(200))), (3, "tiny item")]
+    own = D.Benchmark(items)
+    assert len(own.index) == 3
+    looked = []
+
+    class Watched(np.ndarray):
+        def __getitem__(self, key):
+            looked.append(self.least)
+            return np.asarray(self)[key]
+
+    def watched(entry):
+        width, least, hashes, item, maybe = entry
+        w = maybe.view(Watched)
+        w.least = least
+        return width, least, hashes, item, w
+
+    own.index = [watched(e) for e in own.index]
+    small = " ".join(f"a{i}" for i in range(12)).encode()
+    assert [(t, own.ids[i]) for t, i, *_ in own.matches([small, b"x y"])] == [(0, 1)]
+    assert max(looked) < 100  # the class of 200 words is never searched for texts of 12
