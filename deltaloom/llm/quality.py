@@ -8,7 +8,9 @@ a sample of at most ``SAMPLE`` labelled documents on the driver, and flattened i
 Edge cases: null text is empty and is scored like any other; unlabelled documents are scored;
 an id with conflicting labels counts by their mean; without labels, or with one class only, every
 score is the smoothed share of label 1; repeated rows give repeated results; null ids stay null
-(not held out); an empty table gives no rows.
+(not held out); equal scores need no order; a very long text is read whole, one at a time; an
+empty table gives no rows. Only doc_id and text, and of labels doc_id and quality, are read, so
+other columns may have any names.
 """
 
 from __future__ import annotations

@@ -1,10 +1,11 @@
 """Toxicity: a convolutional classifier over hashed word embeddings.
 
-A word's embedding is the sum of rows of six hashed tables: the word, its first four, six and
+A word's embedding is the sum of rows of six hashed tables: the whole word, its first four, six and
 eight bytes, its last four, and its first six with its length (up to ten). Filters of widths 1, 2 and 3 slide over the words of the whole
 text; each filter's greatest response (at least zero) goes to a logistic output. It is trained in
-numpy with Adam on at most ``SAMPLE`` labelled documents of at most ``LONGEST`` words; gradients
-flow through the positions of the maxima. The first coordinate of every table row starts from how
+numpy with Adam on at most ``SAMPLE`` labelled documents, by a hash of the id, that together have
+at most ``SAMPLE_WORDS`` words (the first document always); each is read whole, however long.
+Gradients flow through the positions of the maxima. The first coordinate of every table row starts from how
 much more often the row occurs in toxic training texts. A fifth of the sample is set aside to fit
 the probability scale, and for each language the threshold that errs least on it.
 
@@ -14,8 +15,10 @@ threshold) are the language-calibrated verdict.
 Edge cases: null text is empty and scored like any other; letters A-Z are lower-cased and bytes
 that are no letters part words; an id with conflicting labels counts by their mean; without
 labels, or with one class only, every score is the smoothed share of toxic labels; languages
-unseen in calibration, and null, use ``THRESHOLD``; repeated rows give repeated results; null ids
-stay null; an empty table gives no rows.
+unseen in calibration, and null, use ``THRESHOLD``; a very long text is scored whole, and so is a
+very long word; repeated rows give repeated results; null ids stay null; an empty table gives no
+rows. Only doc_id, text and lang, and of labels doc_id and toxic, are read, so other columns may
+have any names.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from deltaloom.llm._common import Words, held_out, mix, narrow, table, text_slic
 from deltaloom.llm.samples import labelled
 
 SAMPLE = 9_000
-LONGEST = 1_500
+SAMPLE_WORDS = 6_000_000
 THRESHOLD = 0.7
 BUCKETS = 1 << 16
 TABLES = 6
@@ -58,14 +61,10 @@ def rows_of(words: Words) -> np.ndarray:
     """For each word, its row in each table: (words, TABLES)."""
     size = words.end - words.start
     head8 = words.heads(8)
-    tail_at = np.maximum(words.end - 8, words.start)
-    tail = words.block[tail_at]
-    short = size < 8
-    tail[short] = head8[short]
     four, six = head8 & _U(0xFFFFFFFF), head8 & _U(0xFFFFFFFFFFFF)
     last = np.where(size >= 4, words.block[np.maximum(words.end - 4, 0)] & _U(0xFFFFFFFF), four)
     seen = (
-        mix(head8 ^ (tail * _U(3)) ^ (size.astype(_U) << _U(56))),
+        words.hashes(),
         mix(four + _U(1)),
         mix(six + _U(2)),
         mix(last + _U(3)),
@@ -277,24 +276,46 @@ def _slice(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def _hashed(batches):
     for batch, raw in text_slices(batches):
         rows, first = _slice(raw)
-        ids = [
-            rows[a:b].tobytes() if b - a <= LONGEST else None
-            for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)
-        ]
+        ids = [rows[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(ids, pa.binary())], ["lang", "y", "rows"]
         )
 
 
+def _counted(batches):
+    for batch, raw in text_slices(batches):
+        n = [tokens(t).count(b" ") + 1 for t in raw]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], ["doc_id", "tkey", "n"])
+
+
+def within(sizes: list[tuple[int, int, int, int]], bound: int) -> list[tuple[int, int]]:
+    """(id, text key) of (order, id, text key, words) in order, as far as their words together stay
+    within ``bound``."""
+    total, out = 0, []
+    for _, id_, key, n in sorted(sizes):
+        total += n
+        if total > bound and out:
+            break
+        out.append((id_, key))
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Network:
     sample = labelled(narrow(docs, "doc_id", "text", "lang"), labels, "toxic", SAMPLE)
-    found = (
-        sample.select("lang", "y", "text")
-        .mapInArrow(_hashed, "lang string, y int, rows binary")
-        .filter(F.col("rows").isNotNull())
-        .limit(SAMPLE)  # only repeated ids could exceed the sample
-        .toArrow()
+    sample = sample.withColumn("tkey", F.xxhash64(F.coalesce("text", F.lit(""))))
+    counted = sample.select("doc_id", "tkey", "text").mapInArrow(_counted, "doc_id long, tkey long, n long")
+    sizes = (
+        counted.groupBy("doc_id", "tkey")  # repeated rows count once
+        .agg(F.max("n").alias("n"))
+        .select(F.xxhash64("doc_id").alias("h"), "doc_id", "tkey", "n")
+        .orderBy("h", "doc_id", "tkey")
+        .limit(SAMPLE)
+        .collect()
     )
+    chosen = within([tuple(r) for r in sizes], SAMPLE_WORDS)
+    few = docs.sparkSession.createDataFrame(chosen, "doc_id long, tkey long")
+    sample = sample.join(F.broadcast(few), ["doc_id", "tkey"], "left_semi").dropDuplicates(["doc_id", "tkey"])
+    found = sample.select("lang", "y", "text").mapInArrow(_hashed, "lang string, y int, rows binary").toArrow()
     data = sorted(zip(*(found.column(c).to_pylist() for c in ("y", "rows", "lang")), strict=True), key=lambda r: (r[0], r[1]))
     del found
     rows = [np.frombuffer(r, np.uint16).reshape(-1, TABLES) for _, r, _ in data]

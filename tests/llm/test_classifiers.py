@@ -105,3 +105,54 @@ def test_one_class_and_none(spark):
         assert len({r.score for r in module.score(docs, module.fit(docs, ones)).collect()}) == 1
         assert {r.score for r in module.score(docs, module.fit(docs, ones.limit(0))).collect()} == {0.5}
         assert module.score(docs.limit(0), module.fit(docs.limit(0), ones)).count() == 0
+
+
+def test_whole_words_tell_texts_apart():
+    a, b = (T._slice([b"abcdefgh" + middle + b"stuvwxyz"])[0] for middle in (b"iiii", b"jjjj"))
+    assert a[0, 0] != b[0, 0] and (a[0, 1:] == b[0, 1:]).all()  # only the whole word differs
+    assert T._slice([b"x" * 300])[0].shape == (1, T.TABLES)
+
+
+def test_sample_is_bounded_by_words_and_keeps_long_texts(spark):
+    assert T.within([(3, 30, 0, 10), (1, 10, 0, 50), (2, 20, 0, 40)], 95) == [(10, 0), (20, 0)]
+    assert T.within([(1, 10, 0, 500)], 95) == [(10, 0)]
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("bcdaeiou") for _ in range(rng.randint(2, 7)))
+    rows, labels = [], []
+    for d in range(240):
+        words = [word() for _ in range(5000 if d % 4 == 0 else 40)]
+        if toxic := d % 3 == 0:
+            words[rng.randrange(len(words))] = "zzvequ"
+        rows.append((d, " ".join(words), "en"))
+        labels.append((d, 1, int(toxic)))
+    rows += [rows[0]] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    net = T.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    out = {r.doc_id: r for r in T.score(docs, net).collect()}
+    long = [d for d in range(0, 240, 4) if out[d].held_out]
+    assert np.mean([out[d].predicted == int(d % 3 == 0) for d in long]) > 0.85
+
+
+@pytest.mark.parametrize("module", [Q, T])
+def test_scores_equal_one_text_at_a_time(spark, module, corpus):
+    """The query's rows against the model applied to each text alone (a brute-force walk for the trees)."""
+    docs, labels = corpus
+    df = spark.createDataFrame([r[:3] for r in docs], "doc_id long, text string, lang string")
+    model = module.fit(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = {(r.doc_id): r.score for r in module.score(df, model).collect()}
+    for d, text, *_ in docs[::97] + docs[-5:]:
+        raw = (text or "").encode()
+        want = model.scores(np.array([Q.statistics(raw)])) if module is Q else model.scores(*T._slice([raw]))
+        assert abs(got[d] - float(want[0])) < 1e-5
+
+
+def test_statistics_of_a_long_and_of_odd_texts():
+    import time
+
+    began = time.time()
+    long = Q.statistics(b"some words in a line\n" * 100_000)
+    assert time.time() - began < 30 and all(np.isfinite(long)) and len(long) == len(Q.NAMES)
+    for raw in (b"", b" ", b"\n\n", b"x", b"###", "é".encode() * 1000, b"a" * 100_000):
+        assert all(np.isfinite(Q.statistics(raw)))
+    by = dict(zip(Q.NAMES, Q.statistics(b"aa bb aa bb\naa bb aa bb"), strict=True))
+    assert by["distinct_words"] == pytest.approx(2 / 8, abs=0.2) and by["repeated_lines"] > 0 and by["upper"] == 0
