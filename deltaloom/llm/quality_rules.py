@@ -2,32 +2,41 @@
 
 Each text's statistics become a vector of five: log mean word length and arcsine-transformed
 shares of symbols, repeated words, repeated lines and capitals. For each (language, source), for
-each language and for all rows, a minimum-covariance-determinant estimate is made by
-concentration steps: start from medians and quartile widths, keep the ``HALF`` of the rows with
-the least Mahalanobis distances, take their mean and covariance, repeat. A text is rejected when
-its distance to its group's estimate exceeds a chi-square quantile.
-
-All estimates are mergeable aggregates (exact percentiles of values rounded to bins, means and
-covariances), so a source with a third of all rows is summed in its map tasks first. The
-Cholesky factor of a covariance is an expression over its columns. Groups with fewer than
-``LEAST`` rows use their language's estimate, then that of all rows, then none.
-
-Edge cases: null text is empty; a null language or source is a group of its own; repeated rows
-count as often as they occur; with fewer than ``LEAST`` rows in all only the fixed limits apply;
-an empty table gives no rows.
+each language and for all rows, a minimum-covariance-determinant estimate is made: concentration
+steps from several deterministic starts (medians and quartile widths; all rows; signs of the
+rows about their medians; their hyperbolic tangents), in each of which the ``HALF`` of the rows
+with the least Mahalanobis distances give the next mean and covariance. After ``TRIAL`` steps the
+start with the least determinant goes on, until no group's determinant falls any more; the least
+that was seen is kept. A text is rejected when its distance to its group's estimate exceeds a
+chi-square quantile.
+
+All estimates are mergeable aggregates (percentiles of values rounded to bins of a hundredth,
+means and covariances), so a source with a third of all rows is summed in its map tasks first.
+The Cholesky factor of a covariance, with the floors on its diagonal, is an expression over its
+columns; determinants are those of that regularised covariance. Groups with fewer than ``LEAST``
+rows use their language's estimate, then that of all rows, then none.
+
+Edge cases: null text is empty; a null language or source is a group of its own; a very long text
+is one row, and its windows are compared by sorting; rows tied at the limit of a concentration
+step all take part; repeated rows count as often as they occur; with fewer than ``LEAST`` rows in
+all only the fixed limits apply; an empty table gives no rows. Only doc_id, text, lang and source
+are read, so other columns may have any names.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from deltaloom.llm._common import broadcast_if_small, materialise, narrow, table
+from deltaloom.llm._common import broadcast_if_small, discard, materialise, narrow, table
 
 HALF = 0.75
-STEPS = 3
+#: Steps of every start before the best goes on.
+TRIAL = 2
+#: A determinant falls if its logarithm falls by more.
+FALL = 1e-3
 LEAST = 60
 #: Probability that a clean, normally distributed vector is rejected.
 ALPHA = 1e-9
@@ -179,6 +188,7 @@ def with_factor(moments: DataFrame, scale: float) -> DataFrame:
 
 
 KEY = ["_level", "_lang", "_source"]
+STARTS = ("quartiles", "all", "signs", "tanh")
 XS = [f"x_{i}" for i in range(DIMS)]
 PAIRS = [(i, j) for i in range(DIMS) for j in range(i + 1)]
 
@@ -207,38 +217,108 @@ def _by_level(stats: DataFrame) -> DataFrame:
     return stats.select(*XS, F.explode(levels).alias("_g")).select(*XS, "_g.*")
 
 
-def estimates(stats: DataFrame) -> DataFrame:
-    """One row for each group: its key, n, means m_i and Cholesky factor l_ij."""
-    rows = _by_level(stats)
-    first = rows.groupBy(*KEY).agg(
+def log_determinant() -> Column:
+    return 2 * sum((F.log(f"l_{i}{i}") for i in range(1, DIMS)), F.log("l_00"))
+
+
+def _moments(xs: list[Column]) -> list[Column]:
+    return [
+        *[F.avg(x).alias(f"m_{i}") for i, x in enumerate(xs)],
+        *[F.covar_pop(xs[i], xs[j]).alias(f"c_{i}{j}") for i, j in PAIRS],
+    ]
+
+
+def starts(rows: DataFrame) -> DataFrame:
+    """For each group and start: its key, n, start, m_i and c_ij."""
+    quartiles = rows.groupBy(*KEY).agg(
         F.count(F.lit(1)).alias("n"),
         *[
             F.percentile(F.round(x, 2), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q_{i}")
             for i, x in enumerate(XS)
         ],
     )
-    now = first.select(*KEY, "n", *[F.col(f"q_{i}")[1].alias(f"m_{i}") for i in range(DIMS)], *[
-        (
-            F.pow((F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / 1.349, 2) if i == j else F.lit(0.0)
-        ).alias(f"c_{i}{j}")
-        for i, j in PAIRS
-    ])
-    now = materialise(with_factor(now, 1.0), "mcd")
+    mid = [F.col(f"q_{i}")[1] for i in range(DIMS)]
+    wide = [F.greatest((F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / 1.349, F.lit(FLOOR[i])) for i in range(DIMS)]
+    quartiles = materialise(
+        quartiles.select(*KEY, "n", *[m.alias(f"m_{i}") for i, m in enumerate(mid)], *[w.alias(f"w_{i}") for i, w in enumerate(wide)]),
+        "mcd-quartiles",
+    )
+    first = quartiles.select(
+        *KEY, "n", F.lit(STARTS[0]).alias("start"), *[f"m_{i}" for i in range(DIMS)],
+        *[(F.col(f"w_{i}") ** 2 if i == j else F.lit(0.0)).alias(f"c_{i}{j}") for i, j in PAIRS],
+    )
+    near = rows.join(broadcast_if_small(quartiles), KEY)
+    z = [(F.col(XS[i]) - F.col(f"m_{i}")) / F.col(f"w_{i}") for i in range(DIMS)]
+    size = F.sqrt(sum((c * c for c in z[1:]), z[0] * z[0]))
+    signs = [F.when(size > 0, c / size).otherwise(0.0) for c in z]
+    bounded = [F.tanh(c) for c in z]
+    kept = near.select(*KEY, "n", *XS, *[f"m_{i}" for i in range(DIMS)], *[f"w_{i}" for i in range(DIMS)],
+                       *[c.alias(f"s_{i}") for i, c in enumerate(signs)], *[c.alias(f"t_{i}") for i, c in enumerate(bounded)])
+    widths = [f"w_{i}" for i in range(DIMS)]
+    made = kept.groupBy(*KEY, "n", *[f"m_{i}" for i in range(DIMS)], *widths).agg(
+        F.struct(*_moments([F.col(x) for x in XS])).alias("_all"),
+        F.struct(*_moments([F.col(f"s_{i}") for i in range(DIMS)])).alias("_signs"),
+        F.struct(*_moments([F.col(f"t_{i}") for i in range(DIMS)])).alias("_tanh"),
+    )
+    others = made.select(*KEY, "n", F.lit("all").alias("start"), "_all.*")
+    for name in STARTS[2:]:  # about the medians, in the units of the quartile widths
+        others = others.union(
+            made.select(
+                *KEY, "n", F.lit(name).alias("start"), *[f"m_{i}" for i in range(DIMS)],
+                *[(F.col(f"_{name}.c_{i}{j}") * DIMS * F.col(f"w_{i}") * F.col(f"w_{j}")).alias(f"c_{i}{j}") for i, j in PAIRS],
+            )
+        )
+    return first.union(others)
+
+
+def _concentrated(rows: DataFrame, now: DataFrame, scale: float) -> DataFrame:
+    """One concentration step of every estimate of ``now``: its group's nearest rows give the next."""
+    # distances in bins of one hundredth of their logarithm: exact to the bin, mergeable
+    far = rows.join(broadcast_if_small(now), KEY).withColumn("_bin", F.round(F.log1p(_distance()), 2))
+    bins = far.groupBy(*KEY, "start", "_bin").agg(F.count(F.lit(1)).alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(*KEY, "start").orderBy("_bin"))
+    whole = F.sum("c").over(Window.partitionBy(*KEY, "start"))
+    # a few hundred bins a group: the least that holds HALF of the group's rows
+    limit = (
+        bins.withColumns({"_upto": upto, "_whole": whole})
+        .filter(F.col("_upto") >= HALF * F.col("_whole"))
+        .groupBy(*KEY, "start")
+        .agg(F.min("_bin").alias("_limit"))
+    )
+    limit = materialise(limit, "mcd-limit")
+    near = far.join(broadcast_if_small(limit), [*KEY, "start"]).filter(F.col("_bin") <= F.col("_limit"))
+    moments = near.groupBy(*KEY, "n", "start").agg(*_moments([F.col(x) for x in XS]))
+    made = materialise(with_factor(moments, scale).withColumn("det", log_determinant()), "mcd")
+    discard(limit)
+    return made
+
+
+def _least(estimates: DataFrame, by: list[str]) -> DataFrame:
+    """Of the estimates with the same ``by``, that with the least determinant (ties: the first start)."""
+    rest = [c for c in estimates.columns if c not in by]
+    row = F.struct("det", "start", *[c for c in rest if c not in ("det", "start")])
+    return estimates.groupBy(*by).agg(F.min(row).alias("_r")).select(*by, "_r.*")
+
+
+def estimates(stats: DataFrame) -> DataFrame:
+    """One row for each group: its key, n, start, log determinant det, means m_i and factor l_ij."""
+    rows = _by_level(stats)
     cut = chi_square_quantile(DIMS, HALF)
     scale = HALF / gamma_p(DIMS / 2 + 1, cut / 2)  # makes the estimate consistent
-    for _ in range(STEPS):
-        # distances in bins of one hundredth of their logarithm: exact to the bin, mergeable
-        far = rows.join(broadcast_if_small(now), KEY).withColumn("_bin", F.round(F.log1p(_distance()), 2))
-        limit = materialise(
-            far.groupBy(*KEY).agg(F.percentile("_bin", F.lit(HALF)).alias("_limit")), "mcd-limit"
-        )
-        near = far.join(broadcast_if_small(limit), KEY).filter(F.col("_bin") <= F.col("_limit"))
-        moments = near.groupBy(*KEY, "n").agg(
-            *[F.avg(x).alias(f"m_{i}") for i, x in enumerate(XS)],
-            *[F.covar_pop(XS[i], XS[j]).alias(f"c_{i}{j}") for i, j in PAIRS],
-        )
-        now = materialise(with_factor(moments, scale), "mcd")
-    return now.select(*KEY, "n", *[f"m_{i}" for i in range(DIMS)], *[f"l_{i}{j}" for i, j in PAIRS])
+    now = materialise(with_factor(starts(rows), 1.0).withColumn("det", log_determinant()), "mcd")
+    for _ in range(TRIAL):
+        now = _concentrated(rows, now, scale)
+    cols = [*KEY, "n", "start", "det", *[f"m_{i}" for i in range(DIMS)], *[f"l_{i}{j}" for i, j in PAIRS]]
+    best = materialise(_least(now.select(*cols), [*KEY, "n"]), "mcd-best")
+    going = best
+    while True:
+        new = _concentrated(rows, going, scale).select(*cols)
+        both = new.join(best.select(*KEY, F.col("det").alias("_old")), KEY)
+        # groups whose determinant fell take further steps; each keeps its least
+        going = materialise(both.filter(F.col("det") < F.col("_old") - FALL).drop("_old"), "mcd-going")
+        if not going.take(1):
+            return best.select(*cols)
+        best = materialise(_least(best.select(*cols).union(going.select(*cols)), [*KEY, "n"]).select(*cols), "mcd-best")
 
 
 def assess(docs: DataFrame) -> DataFrame:

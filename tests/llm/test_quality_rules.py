@@ -88,3 +88,52 @@ def test_factor_is_cholesky(spark):
     got = Q.with_factor(spark.createDataFrame([row]), 2.0).first()
     want = np.linalg.cholesky(2 * cov + np.diag(np.array(Q.FLOOR) ** 2))
     assert all(abs(got[f"l_{i}{j}"] - want[i, j]) < 1e-8 for i, j in Q.PAIRS)
+
+
+def mcd_by_numpy(x, half, floor, starts=200, seed=0):
+    """Least log determinant of the regularised covariance over many random starts, to convergence."""
+    rng = np.random.default_rng(seed)
+    scale = half / Q.gamma_p(Q.DIMS / 2 + 1, Q.chi_square_quantile(Q.DIMS, half) / 2)
+    best, h = np.inf, int(np.ceil(half * len(x)))
+    for _ in range(starts):
+        own = x[rng.choice(len(x), Q.DIMS + 1, replace=False)]
+        last = np.inf
+        while True:
+            cov = scale * np.cov(own.T, bias=True) + np.diag(floor**2)
+            det = np.linalg.slogdet(cov)[1]
+            if det >= last - 1e-9 and len(own) == h:
+                break
+            last = det if len(own) == h else np.inf
+            d = x - own.mean(0)
+            own = x[np.argsort(np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d), kind="stable")[:h]]
+        best = min(best, det)
+    return best
+
+
+@pytest.mark.parametrize("share", [0.0, 0.2])
+def test_determinant_is_near_the_least(spark, share):
+    """Against numpy's exhaustive search, with and without a tight cluster of outliers off the axes."""
+    rng = np.random.default_rng(7)
+    a = rng.normal(size=(Q.DIMS, Q.DIMS)) * 0.4
+    x = rng.normal(size=(400, Q.DIMS)) @ a
+    bad = int(share * len(x))
+    x[:bad] = rng.normal(size=(bad, Q.DIMS)) * 0.02 + np.array([1.5, -1.5, 1.5, -1.5, 1.5])
+    rows = [(i, "en", "s", *map(float, r)) for i, r in enumerate(x)]
+    stats = spark.createDataFrame(rows, "doc_id long, lang string, source string, " + ", ".join(f"{c} double" for c in Q.XS))
+    got = Q.estimates(stats).collect()
+    assert len(got) == 3  # one group at each level, the same rows in each
+    want = mcd_by_numpy(x, Q.HALF, np.array(Q.FLOOR))
+    assert all(r["det"] <= want + 0.1 for r in got), ([r["det"] for r in got], want)
+    if bad:  # the mean is that of the others
+        for r in got:
+            assert all(abs(r[f"m_{i}"] - x[bad:, i].mean()) < 0.2 for i in range(Q.DIMS))
+
+
+def test_a_long_text(spark):
+    import time
+
+    text = " ".join(f"w{i % 5000}" for i in range(150_000))
+    docs = spark.createDataFrame([(1, text, "en", "s"), (1, text, "en", "s")], "doc_id long, text string, lang string, source string")
+    began = time.time()
+    out = Q.assess(docs).collect()
+    assert [tuple(r)[:7] for r in out] == [(1, *brute(text))] * 2 and time.time() - began < 60
