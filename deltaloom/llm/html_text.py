@@ -1,16 +1,19 @@
 """Main text of web pages by maximum-scoring subsequence.
 
 A page is a sequence of tags and words. Words score positive and tags negative; the contiguous
-region with the greatest sum, found in one linear scan, is the content. Weights come from
-labelled pages: a word's is the log-odds that words under its open elements (names, classes,
-ids and roles) are main text, fitted by logistic regression; a tag's is a cost that grows with
-how much more often it occurs outside main text. Words under elements whose log-odds are
-negative are left out of the region's text, and a run of them and of tags counts against it only
-up to ``WORST``, so an advert inside an article neither shows nor splits it.
-
-Edge cases: null or empty html, and pages without words, give an empty text; unclosed tags and
-comments end with the page; repeated rows give repeated results; null ids stay null; an empty
-table gives no rows. Time and memory are linear in the page.
+region with the greatest sum, found in one linear scan, is the content, and all its words are the
+text. Weights come from labelled pages: a word's is the log-odds that words under its open
+elements (names, classes, ids and roles) are main text, fitted by logistic regression; a tag's is
+a cost that grows with how much more often it occurs outside main text. An element whose words
+have negative log-odds is no part of the sequence that is scanned: only its own two tags are, at
+``CUT`` each, so that an advert inside an article neither shows nor splits it, and what is left
+has one best region.
+
+Edge cases: null or empty html, and pages without words, give an empty text; of equally good
+regions the first is taken; unclosed tags and comments end with the page; end tags that nothing
+opened count as tags only; repeated rows give repeated results; null ids stay null; an empty table
+gives no rows. Time and memory are linear in the page, however its tags are nested. Only page_id,
+url and html are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -25,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from deltaloom.llm import labelled_pages
-from deltaloom.llm._common import narrow, table
+from deltaloom.llm._common import narrow, table, text_slices
 
 TRAINING_PAGES = 600
-WORST = -12.0
-#: A word's score is clipped to this range.
-WORD = (-3.0, 2.0)
+#: The cost of each of the two tags of an element that is left out, and the most that a word scores.
+CUT = -1.5
+WORD = 2.0
 
 # Elements by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -126,6 +129,51 @@ def _features(name: str, attributes: str) -> tuple[str, ...]:
 _short_features = lru_cache(maxsize=4096)(_features)
 
 
+class Stack:
+    """The open elements, with where each name, block and scope is open last: every step is O(1) amortised."""
+
+    def __init__(self, bias: float):
+        self.items: list[tuple[str, float, tuple]] = [("", bias, ())]
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.scopes: list[int] = []
+
+    def push(self, name: str, score: float, open_: tuple) -> None:
+        k = len(self.items)
+        self.items.append((name, score, open_))
+        self.at.setdefault(name, []).append(k)
+        if name not in INLINE:
+            self.blocks.append(k)
+        if name in SCOPE:
+            self.scopes.append(k)
+
+    def shut(self, k: int) -> None:
+        """Closes the k-th element and those inside it."""
+        while len(self.items) > k:
+            last = len(self.items) - 1
+            self.at[self.items.pop()[0]].pop()
+            for marks in (self.blocks, self.scopes):
+                if marks and marks[-1] == last:
+                    marks.pop()
+
+    def last(self, names) -> int:
+        """Where one of the names is open last (0: nowhere)."""
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=0)
+
+    def begin(self, name: str) -> None:
+        """Closes what the start tag ``name`` ends: an open paragraph, or an item of its own list."""
+        if own := CLOSES_SELF.get(name):
+            k = self.last(own)
+            if k > (self.scopes[-1] if self.scopes else 0):
+                self.shut(k)
+        if name in CLOSES_P and (k := self.last(("p",))) and k == self.blocks[-1]:
+            self.shut(k)
+
+    def end(self, name: str) -> None:
+        if k := self.last((name,)):
+            self.shut(k)
+
+
 class Weights:
     """Log-odds of features of open elements, and costs of tags."""
 
@@ -133,64 +181,57 @@ class Weights:
         self.bias, self.feature, self.tag, self.other = bias, feature, tag, other
 
     def nodes(self, page: str):
-        """(score of a tag or of each word, text or None, breaks, open elements) in page order.
+        """(score of a tag or of each word, text or None, breaks, open elements, score of words under
+        the innermost open element after it) in page order.
 
         Open elements are pairs of the outer ones and the features of the last.
         """
-        stack: list[tuple[str, float, tuple]] = [("", self.bias, ())]
+        stack = Stack(self.bias)
         for kind, name, rest in scan(page):
             if kind == "":
-                yield stack[-1][1], rest, False, stack[-1][2]
+                top = stack.items[-1]
+                yield top[1], rest, False, top[2], top[1]
                 continue
-            breaks = name not in INLINE
             if kind == "<":
-                shut = CLOSES_SELF.get(name, ()) + (("p",) if name in CLOSES_P else ())
-                if shut:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k][0] in shut:
-                            del stack[k:]
-                            break
-                        if stack[k][0] in SCOPE or (stack[k][0] not in INLINE and "p" in shut and len(shut) == 1):
-                            break
+                stack.begin(name)
                 if name not in VOID and not rest.endswith("/>"):
                     own = features(name, rest)
-                    score = stack[-1][1] + sum(self.feature.get(f, 0.0) for f in own)
-                    if name in NEVER:
-                        score = -1e9
-                    stack.append((name, score, (stack[-1][2], own)))
+                    outer = stack.items[-1]
+                    score = -1e9 if name in NEVER else outer[1] + sum(self.feature.get(f, 0.0) for f in own)
+                    stack.push(name, score, (outer[2], own))
             else:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        break
-            yield self.tag.get(name, self.other), None, breaks, ()
+                stack.end(name)
+            yield self.tag.get(name, self.other), None, name not in INLINE, (), stack.items[-1][1]
+
+    def sequence(self, page: str):
+        """(score, text or None, breaks) of what is scanned: the words that score, and the tags
+        around them; of a left-out element only where it begins and ends."""
+        under = self.bias
+        for score, text, breaks, _, after in self.nodes(page):
+            if text is not None:
+                if not text.strip():
+                    if score > 0:
+                        yield 0.0, text, False
+                elif score > 0:
+                    yield min(WORD, score) * len(text.split()), text, False
+            elif under > 0 and after > 0:
+                yield score, None, breaks
+            elif (under > 0) != (after > 0):
+                yield CUT, None, True
+            under = after if text is None else under
 
     def text(self, page: str | None) -> str:
         if not page:
             return ""
-        nodes = []
-        for score, text, breaks, _ in self.nodes(page):
-            if text is None:
-                nodes.append((score, None, breaks))
-            elif text.strip():
-                each = min(WORD[1], max(WORD[0], score))
-                n = len(text.split())
-                nodes.append((each * n, text if each > 0 else "", False))
-            else:
-                nodes.append((0.0, text, False))
+        nodes = list(self.sequence(page))
         best, total, first, span = 0.0, 0.0, 0, (0, 0)
-        floor = 0.0  # what a run without main words may bring the sum down to
         for k, (score, _, _) in enumerate(nodes):
             if total <= 0:
-                total, first, floor = 0.0, k, WORST
-            total = total + score if score > 0 else max(floor, total + score)
-            if score > 0:
-                floor = total + WORST
+                total, first = 0.0, k
+            total += score
             if total > best:
                 best, span = total, (first, k + 1)
-        out = []
-        for _, text, breaks in nodes[span[0] : span[1]]:
-            out.append(" " if breaks else "" if text is None else text)
+        out = [" " if breaks else text or "" for _, text, breaks in nodes[span[0] : span[1]]]
         return " ".join(html.unescape("".join(out)).split())
 
 
@@ -210,7 +251,7 @@ def train(pages: list[str]) -> Weights:
     inside, outside = Counter(), Counter()
     for page in pages:
         events, last = [], -1
-        for _, text, _, open_ in blank.nodes(page):
+        for _, text, _, open_, _ in blank.nodes(page):
             main = None
             if text and text.strip():
                 main = text.split()[0].startswith("k")
@@ -262,9 +303,8 @@ def weights() -> Weights:
 
 def _extract(own: Weights):
     def run(batches):
-        for batch in batches:
-            pages = batch.column(2).to_pylist()
-            texts = [own.text(p) for p in pages]
+        for batch, raw in text_slices(batches, "html"):
+            texts = [own.text(p.decode("utf-8", "replace")) for p in raw]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),

@@ -66,3 +66,98 @@ def test_attributes_after_a_long_one(own, before):
     page = f'<nav>x</nav><article>{ARTICLE}<div {long} class="ad">advert words here</div></article>'
     assert own.text(page) == own.text(page.replace(long + " ", "")) == WANT
     assert H.features("div", f' {long} id="comments" role="note">') == ("div", ".comments", ".note")
+
+
+#: Pages written and labelled by hand: what a reader would call the article.
+BY_HAND = {
+    "news": (
+        """<html><head><title>Local news</title><style>.x{color:red}</style></head><body><div id="page"><div class="topbar"><a href="/">Home</a>
+        <a href="/sport">Sport</a></div><div class="layout"><div class="story-body"><h1>Bridge reopens</h1><p class="byline">By A. Writer</p>
+        <p>The old bridge reopened on Monday after two years of repairs.</p><div class="advert"><p>Cheap tyres, call now!</p></div>
+        <p>Residents said they were relieved, and <em>a little</em> surprised.</p><ul><li>Cost: 3 million</li><li>Length: 90 m</li></ul></div>
+        <div class="sidebar"><h3>Most read</h3><ol><li><a href="#">Something else entirely</a></li><li><a href="#">Another item</a></li></ol></div></div>
+        <div id="footer"><p>Copyright 2020. All rights reserved.</p></div></div></body></html>""",
+        "Bridge reopens By A. Writer The old bridge reopened on Monday after two years of repairs. Residents said they were relieved, and a little "
+        "surprised. Cost: 3 million Length: 90 m",
+    ),
+    "blog with comments": (
+        """<body><header><h2>My blog</h2><nav><ul><li><a>About</a></li><li><a>Archive</a></li></ul></nav></header><main><article class="post">
+        <h1>On bread</h1><p>Flour, water, salt &amp; time.</p><blockquote>Patience is all.</blockquote><pre>bake(230)</pre></article>
+        <section id="comments"><h3>2 comments</h3><div class="comment"><p>I tried this and it was very good, thank you for sharing.</p></div>
+        <form><label>Name</label><input><textarea>Write here</textarea></form></section></main><footer>Powered by nothing</footer></body>""",
+        "On bread Flour, water, salt & time. Patience is all. bake(230)",
+    ),
+    "notice before": (
+        """<div class="cookie-notice"><p>This site uses cookies to do many things that you may or may not want.</p><button>Fine</button></div>
+        <noscript>Please enable scripts</noscript><div id="content"><h1>Opening hours</h1><table><tr><td>Monday</td><td>9 to 5</td></tr></table>
+        <p>Closed on holidays.</p></div><aside><p>Subscribe to our letter and never miss a thing.</p></aside>""",
+        "Opening hours Monday 9 to 5 Closed on holidays.",
+    ),
+    "unclosed": (
+        """<ul class=menu><li>One<li>Two<li>Three</ul><div class=article-body><h1>Tags left open<p>First paragraph
+        with a line break<p>Second <b>bold paragraph<p>Third one</div><div class=footer>Contact us""",
+        "Tags left open First paragraph with a line break Second bold paragraph Third one",
+    ),
+    "scripts inside": (
+        """<article><h1>Title</h1><p>Before the script.</p><script>var s = "<p>never</p>";</script><p>After it.</p>
+        <div class="share"><a>Share</a> <a>Like</a></div><p>The end.</p></article><script>track()</script>""",
+        "Title Before the script. After it. The end.",
+    ),
+}
+
+
+@pytest.mark.parametrize("name", sorted(BY_HAND))
+def test_pages_labelled_by_hand(own, name):
+    page, want = BY_HAND[name]
+    assert own.text(page) == want
+
+
+def test_region_is_the_best_contiguous_one(own):
+    """Against every pair of ends, on pages from the rule and on their pieces."""
+    for page in [p[k:] for p in L.pages(40, seed=3) for k in (0, len(p) // 3)]:
+        nodes = list(own.sequence(page))[:400]
+        page_text = lambda a, b: " ".join(H.html.unescape("".join(" " if br else t or "" for _, t, br in nodes[a:b])).split())  # noqa: E731, B023
+        best, span = 0.0, (0, 0)
+        for a in range(len(nodes)):
+            total = 0.0
+            for b in range(a, len(nodes)):
+                total += nodes[b][0]
+                if total > best + 1e-9:
+                    best, span = total, (a, b + 1)
+
+        class Given(H.Weights):
+            def sequence(self, _, nodes=nodes):
+                return iter(nodes)
+
+        got = Given(own.bias, own.feature, own.tag, own.other).text("x")
+        assert got == page_text(*span)
+        assert all(t is None or not t.strip() or s > 0 for s, t, _ in nodes)  # no word of the region is left out
+
+
+@pytest.mark.parametrize(
+    "page", ["<font>x " * 25_000, "<b><hr>" * 12_000 + "x y", "</i>" * 25_000 + "<b>word</b>", "<p><b>a<div>" * 10_000, "<li>a" * 20_000, "<font>" * 12_000 + "<hr>" * 12_000]
+)
+def test_time_and_memory_grow_with_the_page(own, page):
+    import time
+    import tracemalloc
+
+    def cost(p):
+        began = time.time()
+        own.text(p)
+        took = time.time() - began
+        tracemalloc.start()
+        own.text(p)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return took, peak
+
+    (t1, m1), (t2, m2) = cost(page), cost(page * 2)
+    assert t2 < 3.5 * t1 + 0.5 and m2 < 2.6 * m1
+
+
+def test_query_equals_page_by_page(spark, own):
+    pages = L.pages(60, seed=77) + [None, "", "<nav>a</nav>", "x" * 300_000]
+    rows = [(i, f"u{i}", p, "z", 7) for i, p in enumerate(pages)] + [(0, "u0", pages[0], "z", 7)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
+    got = sorted(map(tuple, H.extract(df).collect()))
+    assert got == sorted((i, u, own.text(p), len(own.text(p))) for i, u, p, *_ in rows)
