@@ -7,8 +7,11 @@ at once, so that the plan is a short list of runs. Pieces take planned slots by
 their rank within their length. Ranks come from two levels (length and salt), so that a
 length shared by a third of all pieces is never sorted by one task.
 
-Edge cases: null or empty text is the single end token; repeated rows are packed as often as
-they occur; an empty table gives no rows; a null doc_id stays null.
+Edge cases: null or empty text is the single end token; a very long text is cut into pieces, and
+the encoder's memory is bounded in bytes, within a text too; pieces of one length that tie in
+doc_id, piece, start and ids are alike, so that it does not matter which takes which slot;
+repeated rows are packed as often as they occur; an empty table gives no rows; a null doc_id stays
+null. Only doc_id and text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -22,26 +25,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from deltaloom.llm._common import materialise, narrow, table
+from deltaloom.llm._common import materialise, narrow, table, text_slices
 
 LIMIT = 2048
 END_ID = 0
 TOKENIZER = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
-#: Pieces ranked together by one task; lengths with more are split by a salt.
-PER_SALT = 1_000
+#: Parts of at most so many characters are remembered, at about so many bytes each besides their own.
+LONG_PART, ENTRY = 64, 240
+#: Pieces ranked together by one task; lengths with more are split by a salt, into at most SALTS.
+PER_SALT = 100
+SALTS = 4_096
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
 class Encoder:
     """Token ids (little-endian unsigned 32-bit) of whole texts.
 
-    Text between single spaces is encoded once and remembered: the tokenizer's pattern never
+    Text between single spaces is encoded once and remembered, within a bound of bytes: the tokenizer's pattern never
     joins what a single space parts. Texts with other runs of white space around a space, and
     texts that spell a special token, are encoded as a whole.
     """
 
-    def __init__(self, tokenizer: str, ranks: str | None = None, remember: int = 400_000):
+    def __init__(self, tokenizer: str, ranks: str | None = None, remember: int = 48 << 20):
         import base64
 
         import tiktoken
@@ -59,12 +65,22 @@ class Encoder:
             encode = tiktoken.Encoding(
                 "ranks", pat_str=PATTERN, mergeable_ranks=table_, special_tokens={}
             ).encode_ordinary
-        self.encode, self.remember = encode, remember
+        self.encode = encode
 
         class Memory(dict):
+            """Ids by part, of about ``remember`` bytes; longer parts are not kept."""
+
+            held = 0
+
             def __missing__(memory, part: str):
                 odd = not part or part[0].isspace() or part[-1].isspace()
-                memory[part] = out = None if odd else array("I", encode(" " + part)).tobytes()
+                out = None if odd else array("I", encode(" " + part)).tobytes()
+                if len(part) <= LONG_PART:
+                    memory.held += ENTRY + len(part) + len(out or b"")
+                    if memory.held > remember:
+                        memory.clear()
+                        memory.held = ENTRY
+                    memory[part] = out
                 return out
 
         self.memory = Memory()
@@ -77,8 +93,6 @@ class Encoder:
         head, *rest = text.split(" ")
         if not head or head[-1].isspace():
             return array("I", self.encode(text)).tobytes()
-        if len(self.memory) > self.remember:
-            self.memory.clear()
         parts = list(map(self.memory.__getitem__, rest))
         if None in parts:
             return array("I", self.encode(text)).tobytes()
@@ -102,10 +116,10 @@ def _pieces(tokenizer: str, ranks: str | None, limit: int, keep_ids: bool):
     def run(batches):
         encoder = encoder_for(tokenizer, ranks)
         end = array("I", [END_ID]).tobytes()
-        for batch in batches:
+        for batch, raw in text_slices(batches):
             rows = []
-            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids = encoder.ids(text or "") + end
+            for doc_id, text in zip(batch.column(0).to_pylist(), raw, strict=True):
+                ids = encoder.ids(text.decode("utf-8", "replace")) + end
                 for k, (start, length) in enumerate(cut(len(ids) // 4, limit)):
                     part = ids[4 * start : 4 * (start + length)]
                     rows.append(
@@ -178,24 +192,29 @@ def plan_best_fit(counts: dict[int, int], limit: int) -> list[tuple[int, int, in
 
 
 def place(cut_pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """Adds sequence_id and offset to pieces (doc_id, piece, length and more)."""
+    """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32 and more).
+
+    A column ``_row``, if there, tells repeated rows apart and must be stored with the pieces.
+    """
     spark = cut_pieces.sparkSession
+    order = ["doc_id", "piece", "start", "ids_crc32", *(["_row"] if "_row" in cut_pieces.columns else [])]
     by_length = {
         int(r["length"]): int(r["n"])
         for r in cut_pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()
     }  # at most ``limit`` rows
     runs = plan_best_fit(by_length, limit)
     salts = spark.createDataFrame(
-        [(n, -(-c // PER_SALT)) for n, c in by_length.items()] or [(0, 1)], "length long, _salts long"
+        [(n, min(SALTS, -(-c // PER_SALT))) for n, c in by_length.items()] or [(0, 1)], "length long, _salts long"
     )
     salted = (
         cut_pieces.join(F.broadcast(salts), "length")  # bounded by the limit, not by the corpus
+        # repeated rows are dealt apart by where they stand; which of them takes which slot is all one
         .withColumn(
-            "_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "_salts").cast("int")
+            "_salt", F.pmod(F.xxhash64(*order), "_salts").cast("int")
         )
         .drop("_salts")
     )
-    # one row for each length and salt: limit + pieces / PER_SALT at most
+    # one row for each length and salt: SALTS for a length at most
     sizes = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select(
         "length",
@@ -204,7 +223,7 @@ def place(cut_pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
             F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n")
         ).alias("_before"),
     )
-    own = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")
+    own = Window.partitionBy("length", "_salt").orderBy(*order)
     ranked = (
         salted.withColumn("_own", F.row_number().over(own) - 1)
         .join(before, ["length", "_salt"])
@@ -243,7 +262,8 @@ def pack(
     keep_ids: bool = True,
 ) -> DataFrame:
     """Packs documents into sequences of at most ``limit`` tokens, one row for each piece."""
-    made = materialise(pieces(docs, tokenizer, ranks, limit, keep_ids), "pieces")
+    made = pieces(docs, tokenizer, ranks, limit, keep_ids).withColumn("_row", F.monotonically_increasing_id())
+    made = materialise(made, "pieces")
     placed = place(made, limit)
     cols = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     return placed.select(*cols, *(["ids"] if keep_ids else []))

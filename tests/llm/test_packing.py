@@ -121,3 +121,43 @@ def test_hot_length_is_salted(spark, monkeypatch):
     # 67 fives, three to a sequence: 22 full ones, one with room for three of the 133 threes;
     # the other 130 go five to a sequence
     assert check(out) == 23 + 26
+
+
+def test_memory_of_the_encoder_is_bounded():
+    import public_tokenizers
+
+    path, ranks = public_tokenizers.path(P.TOKENIZER), public_tokenizers.path(P.RANKS)
+    small, large = P.Encoder(path, ranks, remember=200_000), P.Encoder(path, ranks)
+    text = " ".join(f"w{i}x{'y' * (i % 90)}" for i in range(20_000))
+    assert small.ids(text) == large.ids(text)
+    assert small.memory.held <= 200_000 and len(small.memory) < 1_000
+    assert all(len(part) <= P.LONG_PART for part in large.memory)
+
+
+def test_ties_and_repeated_rows_fill_every_slot_once(spark):
+    rows = [(1, "same text here")] * 700 + [(2, "same text here")] * 3 + [(None, "same text here")] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = P.pack_documents(df).collect()
+    assert len(got) == len(rows)
+    slots = {(r.sequence_id, r.offset) for r in got}
+    length = got[0].length
+    assert len(slots) == len(rows) and {o % length for _, o in slots} == {0}
+    assert len({s for s, _ in slots}) == -(-len(rows) // (P.LIMIT // length))
+
+
+def test_every_document_of_the_tables_has_the_tokenizers_ids():
+    import os
+    import zlib
+
+    import public_tokenizers
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    whole = Tokenizer.from_file(public_tokenizers.path(P.TOKENIZER))
+    own = P.Encoder(public_tokenizers.path(P.TOKENIZER), public_tokenizers.path(P.RANKS))
+    for text in pq.read_table(path).column("text").to_pylist():
+        want = P.array("I", whole.encode(text or "", add_special_tokens=False).ids).tobytes()
+        assert zlib.crc32(own.ids(text or "")) == zlib.crc32(want)
