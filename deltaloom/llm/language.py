@@ -2,8 +2,8 @@
 
 Every byte position of a text gets a distribution over the learned languages from the states of
 a forward and a backward GRU; a text's probabilities are the mean over its positions. Texts are
-lower-cased and cut into windows of ``WINDOW`` bytes, each read from a zero state, so that a
-whole slice of the corpus is one batch and no text is too long; every byte is read.
+lower-cased and cut into windows of ``WINDOW`` bytes, each read from a zero state at either end, so
+that a whole slice of the corpus is one batch and no text is too long; every byte is read.
 
 The network is trained on the driver, in numpy, by backpropagation through time with Adam, on
 a sample of ``DOCS`` documents of each language (by a hash of the id) and ``SEGMENTS`` windows of
@@ -11,8 +11,11 @@ each. Every language is learned: beyond ``LANGUAGES`` of them each has fewer doc
 one, so that the sample stays as large. Languages and texts of held-out rows never enter it.
 
 Edge cases: a null text and a text without a letter are ``und`` with score 0; rows without a
-language are not learned from; without any learned language everything is ``und``; repeated rows
-give repeated results; null ids stay null; an empty table gives no rows.
+language are not learned from; without any learned language everything is ``und``; of equally
+likely languages the first by name is taken; a very long text is read whole, window by window;
+repeated rows give repeated results; null ids stay null; an empty table gives no rows. Only
+doc_id, text and lang are read (lang only to learn), so other columns may have any names;
+``accepted`` carries them along.
 """
 
 from __future__ import annotations
@@ -24,22 +27,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from deltaloom.llm._common import held_out, is_letter_text, narrow, table, text_slices
+from deltaloom.llm._common import broadcast_if_small, held_out, is_letter_text, materialise, narrow, table, text_slices
 
 #: Documents of each language, windows of each document, languages that get so many documents: the
 #: sample's bound. With more languages each gets fewer documents.
 DOCS = 240
 SEGMENTS = 8
 LANGUAGES = 64
-SALTS = 32
-WINDOW = 64
+#: Documents are chosen among so many times more than are needed.
+SPARE = 1.5
+#: Bytes of a window that is learned from, and of one that is read.
+LEARNED = 64
+WINDOW = 512
 HIDDEN = 10
 EPOCHS = 7
 BATCH = 256
 RATE = 0.02
 UNKNOWN = "und"
-#: Windows scored at once, with LANGUAGES languages or fewer.
-BLOCK = 8192
+#: Bytes scored at once, with LANGUAGES languages or fewer.
+BLOCK = 1 << 19
 #: Probabilities (texts x languages) held at once.
 CELLS = 1 << 24
 
@@ -216,7 +222,8 @@ class Model:
             h[:a] = self.backward.step(x[t, :a], h[:a])[0]
             logits = h[:a] @ self.out["wb"]
             logits += ahead[t, :a]
-            np.exp(np.minimum(logits, 60, out=logits), out=logits)
+            logits -= logits.max(1, keepdims=True)
+            np.exp(logits, out=logits)
             logits /= logits.sum(1, keepdims=True)
             total[:a] += logits
         out = np.empty_like(total)
@@ -227,7 +234,7 @@ class Model:
         """The pooled label probabilities of each folded text (zeros where it is empty)."""
         x, length, text = windows(texts)
         total = np.zeros((len(texts), len(self.labels)))
-        block = max(1, BLOCK * LANGUAGES // max(LANGUAGES, len(self.labels)))
+        block = max(1, BLOCK // WINDOW * LANGUAGES // max(LANGUAGES, len(self.labels)))
         for at in range(0, len(x), block):
             part = self.position_sums(x[at : at + block], length[at : at + block])
             np.add.at(total, text[at : at + block], part)
@@ -241,22 +248,21 @@ def training_windows(docs: DataFrame) -> tuple[np.ndarray, list[str]]:
     learn = docs.filter(
         F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & is_letter_text(F.col("text"))
     )
-    languages = learn.select("lang").distinct().count()
+    counts = learn.groupBy("lang").agg(F.count(F.lit(1)).alias("_all"))  # one row for each language
+    counts = materialise(counts, "languages")
+    languages = counts.count()
     size = max(1, min(DOCS, LANGUAGES * DOCS // max(1, languages)))
-    # a top-n in two levels, so that no task gets more than SALTS x DOCS rows of one language
-    salted = learn.select("doc_id", "lang", F.xxhash64("text").alias("_key"), F.xxhash64("doc_id").alias("_h"))
-    by_salt = Window.partitionBy("lang", F.pmod("_h", F.lit(SALTS))).orderBy("_h", "doc_id")
-    by_lang = Window.partitionBy("lang").orderBy("_h", "doc_id")
-    chosen = (
-        salted.withColumn("_n", F.row_number().over(by_salt))
-        .filter(F.col("_n") <= size)
-        .withColumn("_n", F.row_number().over(by_lang))
-        .filter(F.col("_n") <= size)
-        # repeated rows count once: their product would crowd out other languages
-        .groupBy("doc_id", F.col("lang").alias("_lang"), "_key")
-        .agg(F.min("_n").alias("_n"))
+    # hashes below a threshold first, so that what is ranked is about what is needed, then a top-n
+    share = F.least(F.lit(1.0), (SPARE * size + 30) / F.col("_all"))
+    low = learn.select("doc_id", "lang", F.xxhash64("text").alias("_key"), F.xxhash64("doc_id").alias("_h"))
+    low = low.join(broadcast_if_small(counts.withColumn("_share", share)), "lang").filter(
+        F.pmod("_h", F.lit(1 << 30)) < F.col("_share") * float(1 << 30)
     )
-    wide = WINDOW * 3
+    # repeated rows count once: their product would crowd out other languages
+    low = low.groupBy("doc_id", F.col("lang").alias("_lang"), "_key", "_h").agg(F.count(F.lit(1)).alias("_c"))
+    by_lang = Window.partitionBy("_lang").orderBy(F.pmod("_h", F.lit(1 << 30)), "_h", "doc_id", "_key")
+    chosen = low.withColumn("_n", F.row_number().over(by_lang)).filter(F.col("_n") <= size).drop("_h", "_c")
+    wide = LEARNED * 3
     spread = F.length("text") / float(SEGMENTS)
     pieces = (
         docs.join(F.broadcast(chosen), "doc_id")  # at most LANGUAGES x DOCS rows, or one for each language
@@ -269,13 +275,13 @@ def training_windows(docs: DataFrame) -> tuple[np.ndarray, list[str]]:
     x, y = [], []
     for lang, _, _, text in pieces.collect():
         raw = folded(text)
-        if len(raw) >= WINDOW:
-            x.append(np.frombuffer(raw[:WINDOW], np.uint8))
+        if len(raw) >= LEARNED:
+            x.append(np.frombuffer(raw[:LEARNED], np.uint8))
             y.append(lang)
         elif has_letter(text):
-            x.append(np.frombuffer((raw + b" ").ljust(WINDOW, b" ")[:WINDOW], np.uint8))
+            x.append(np.frombuffer((raw + b" ").ljust(LEARNED, b" ")[:LEARNED], np.uint8))
             y.append(lang)
-    return np.array(x, np.uint8).reshape(-1, WINDOW), y
+    return np.array(x, np.uint8).reshape(-1, LEARNED), y
 
 
 def fit(docs: DataFrame) -> Model | None:

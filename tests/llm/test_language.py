@@ -106,3 +106,36 @@ def test_blocks_shrink_with_languages(monkeypatch):
     monkeypatch.setattr(G, "CELLS", 15)
     again, cut = G.identify(model, [None, *[t.decode() for t in texts]])
     assert again == lang and lang[0] == "und" and np.allclose(cut, score, atol=1e-5)
+
+
+def test_extreme_logits_and_long_texts():
+    model = G.Model(["a", "b", "c"])
+    for name in ("wf", "wb"):
+        model.out[name] *= 0
+    model.out["b"][:] = (-500, -505, -600)  # all far below zero: no 0/0
+    p = model.probabilities([b"some text", b"x" * 100_000])
+    assert np.isfinite(p).all() and (p.argmax(1) == 0).all() and abs(p.sum(1) - 1).max() < 1e-4
+
+
+def test_query_equals_one_text_at_a_time(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, f"{'the cat and the dog' if i % 2 else 'der hund und die katze'} {i}", "en" if i % 2 else "de") for i in range(200)]
+    rows += [(1000, None, "en"), (1001, "123", "de"), (None, "the cat", None), rows[0], rows[0], (1002, "the cat and the dog " * 5000, "en")]
+    df = spark.createDataFrame([(*r, 1, "k") for r in rows], "doc_id long, text string, lang string, _lang int, _key string")
+    model = G.fit(df)
+    got = sorted(((r.doc_id, r.lang_pred, round(r.score, 4)) for r in G.predict(df, model).collect()), key=str)
+    want = []
+    for d, text, _ in rows:
+        lang, score = G.identify(model, [text])
+        want.append((d, lang[0], round(score[0], 4)))
+    assert [g[:2] for g in got] == [w[:2] for w in sorted(want, key=str)]
+    assert G.predict(df.limit(0), G.fit(df.filter(F.lit(False)))).count() == 0
+
+
+def test_hot_language_is_not_ranked_whole(spark):
+    """Of a language with most rows only about the rows needed are ranked; the same documents are chosen."""
+    rows = [(i, f"words in a text number {i}", "en") for i in range(4000)] + [(10_000 + i, f"texte nummer {i}", "de") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    x, y = G.training_windows(df)
+    assert y.count("de") > 0 and y.count("en") <= G.DOCS * G.SEGMENTS and len({r.tobytes() for r in x}) > 200
