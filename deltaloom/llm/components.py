@@ -3,8 +3,9 @@
 Each round joins the edge table with the least neighbour of every node and is written to the
 shared folder, so that no lineage grows and nothing but two numbers (how many edges, a sum of
 their hashes) reaches the driver. Counts shrink geometrically; a chain of n nodes takes about
-log n rounds. The join's other side has one row for each node, so a node with a third of all
-edges is a skewed partition that adaptive execution splits.
+log n rounds. Least neighbours are written before they are joined, so the join has nothing but
+two shuffles (or a broadcast of a small side) below it: a node with a third of all edges is a
+skewed partition that adaptive execution splits. What a round replaces is deleted.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from deltaloom.llm._common import materialise
+from deltaloom.llm._common import discard, materialise
 
 ROUNDS = 60
 
@@ -27,24 +28,30 @@ def _mark(edges: DataFrame) -> tuple:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node links to the node's least neighbour (or itself)."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m"))
-    return (
+    least = materialise(both.groupBy("u").agg(F.min("v").alias("m")), "least")
+    out = materialise(
         both.join(least, "u")
         .filter(F.col("v") > F.col("u"))
         .select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
-        .distinct()
+        .distinct(),
+        "large-star",
     )
+    discard(least)
+    return out
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every smaller neighbour of a node, and the node, link to its least neighbour."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = materialise(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return (
+    out = materialise(
         moved.filter(F.col("u") > F.col("v"))
         .union(least.select("u", F.col("m").alias("v")))
-        .distinct()
+        .distinct(),
+        "small-star",
     )
+    discard(least)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -63,7 +70,10 @@ def components(edges: DataFrame) -> DataFrame:
     for _ in range(ROUNDS):
         if not mark[0]:
             break
-        now = materialise(_small_star(_large_star(now)), "edges")
+        large = _large_star(now)
+        small = _small_star(large)
+        discard(now), discard(large)
+        now = small
         if (new := _mark(now)) == mark:
             break
         mark = new

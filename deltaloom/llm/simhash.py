@@ -2,23 +2,29 @@
 
 A text's 64-bit fingerprint holds the majority of the XXH64 bits of its four-word shingles.
 Fingerprints link when they differ in at most four bits. The 64 bits are three segments of
-22, 21 and 21 bits. With at most four errors either some segment has none and another at most
-two, or two segments have one each (pigeonhole). So a fingerprint gets the keys
+22, 21 and 21 bits, each decoded to the indices of nearby codewords. With at most four errors
+either no segment has more than two, or one has three or four and of the others one has none and
+the other at most one (pigeonhole). So a fingerprint gets the keys
 
-* (exact segment, Golay key of another segment) for six ordered pairs, and
-* (Golay key for one error, the same of another segment) for three pairs,
+* (Golay key of every segment, for two errors each), and
+* (exact segment, Golay key of another segment for one error) for six ordered pairs,
 
-about 62 in all, of 33 and 24 bits. Fingerprints that share a key meet in one sorted run; each
+about 170 in all, of 33 to 36 bits. Fingerprints that share a key meet in one sorted run; each
 run is searched breadth-first and emits one edge for each fingerprint that is linked to the
 run's component, never all pairs. Every link is verified by counting bits, so none is lost and
-none invented. Components of the fingerprints, not of the rows, are then contracted.
+none invented. With keys this wide a run holds what is close and little else: of 10**9 unrelated
+fingerprints a run would hold about three. Components of the fingerprints, not of the rows, are
+then contracted.
 
 Exact copies collapse to one fingerprint before any key is made. Memory: eight bytes for each
 distinct fingerprint in the largest run.
 
-Edge cases: null or empty text has fingerprint zero and links like any other; repeated rows
+Edge cases: null or empty text has fingerprint zero and links like any other; a very long text is
+read whole, one slice at a time; a bit set in exactly half of the shingles is 0; repeated rows
 give repeated rows of the result; a null doc_id joins its component, whose id is the least
-non-null doc_id (null if it has none); an empty table gives no rows.
+non-null doc_id (null if it has none); of rows that tie for a component's representative the one
+with the least text hash stays, once; an empty table gives no rows. Only doc_id and text are
+read, so other columns may have any names; ``representatives`` carries them along.
 """
 
 from __future__ import annotations
@@ -109,41 +115,42 @@ def fuzzy_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     fps = fps.view(_U)
     parts = [(fps >> _U(s)) & _U((1 << b) - 1) for s, b in SEGMENTS]
     wide = [golay.keys(p) for p in parts]
-    close = [golay.near_keys(p) for p in parts]
-    rows, out = [], []
-    tag = 0
+    rows, out = product(wide[0], wide[1], len(fps))
+    rows, out = product((rows, out), wide[2], len(fps))
+    rows, out = [rows], [out]
+    near = [golay.near_keys(p) for p in parts]
+    tag = 1
     for exact in range(3):
         for fuzzy in range(3):
             if exact == fuzzy:
                 continue
-            at, key = wide[fuzzy]
+            at, key = near[fuzzy]
             rows.append(at)
             out.append(_U(tag << 40) | (parts[exact][at] << _U(12)) | key.astype(_U))
             tag += 1
-    for a, b in ((0, 1), (0, 2), (1, 2)):
-        (at, one), (bt, two) = close[a], close[b]
-        first = np.searchsorted(bt, np.arange(len(fps) + 1))
-        many = np.diff(first)[at]  # how many keys of b meet each key of a
-        spread = np.repeat(np.arange(len(at)), many)
-        inner = np.arange(len(spread)) - np.repeat(np.cumsum(many) - many, many)
-        rows.append(at[spread])
-        out.append(
-            _U(tag << 40)
-            | (one[spread].astype(_U) << _U(12))
-            | two[first[at[spread]] + inner].astype(_U)
-        )
-        tag += 1
     return np.concatenate(rows), np.concatenate(out)
 
 
+def product(a, b, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) pairs of every key of ``a`` with every key of ``b`` of the same of ``n`` rows."""
+    (at, one), (bt, two) = a, b
+    first = np.searchsorted(bt, np.arange(n + 1))
+    many = np.diff(first)[at]  # how many keys of b meet each key of a
+    spread = np.repeat(np.arange(len(at)), many)
+    inner = np.arange(len(spread)) - np.repeat(np.cumsum(many) - many, many)
+    key = (one[spread].astype(_U) << _U(12)) | two[first[at[spread]] + inner].astype(_U)
+    return at[spread], key
+
+
 def _keyed(batches):
     for batch in batches:
-        fps = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        rows, key = fuzzy_keys(fps)
-        # mixed, so that sorting by key and dealing by key both spread evenly
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(mix(key).view(np.int64)), pa.array(fps[rows])], ["key", "fp"]
-        )
+        for at in range(0, batch.num_rows, 2_000):  # some 340,000 keys at once
+            fps = batch.column(0).slice(at, 2_000).to_numpy(zero_copy_only=False).astype(np.int64)
+            rows, key = fuzzy_keys(fps)
+            # mixed, so that sorting by key and dealing by key both spread evenly
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(mix(key).view(np.int64)), pa.array(fps[rows])], ["key", "fp"]
+            )
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -217,9 +224,8 @@ def _linked(batches):
 def fingerprint_links(fps: DataFrame) -> DataFrame:
     """Edges (u, v) that connect distinct fingerprints (column fp) within ``ERRORS`` bits."""
     spark = fps.sparkSession
-    # a key row is 16 bytes, about 62 to a fingerprint; some 32 MB of them to a task
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(fps) * 62 >> 25)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16384")
+    # a key row is 16 bytes, about 170 to a fingerprint of 8; some 64 MB of them to a task
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(fps) * 340 >> 26)
     keyed = fps.mapInArrow(_keyed, "key long, fp long")
     return (
         keyed.repartition(tasks, "key")
