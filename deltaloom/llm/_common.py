@@ -91,9 +91,10 @@ def broadcast_if_small(df: DataFrame, rows: int = 20_000) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the bytes under ``df`` (file sizes; no job is run)."""
+    """Catalyst's estimate of the bytes under ``df`` (file sizes; no job is run); 0 if it has none."""
     plan = df._jdf.queryExecution().optimizedPlan()
-    return int(str(plan.stats().sizeInBytes()))
+    size = int(str(plan.stats().sizeInBytes()))
+    return size if size < 1 << 55 else 0  # without statistics Catalyst says 2 ** 63
 
 
 def held_out(doc_id: Column) -> Column:

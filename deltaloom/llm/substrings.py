@@ -8,14 +8,19 @@ occurrences meet in one bucket, where the windows are sorted by hash, equal ones
 byte by byte, and all but the earliest (doc_id, start) are reported as spans.
 
 Pre-aggregation: of equal super-k-mers in one slice of the input only the earliest travels;
-for the others the verdict is already known. Hot triples: word triples that are the minimiser
-of more than ``HOT`` of a sample's windows rank after all others, so a line that a third of
-all texts share draws no windows to its bucket; the sample only steers this ranking and never
-decides a verdict. Blocks, not rows, are shuffled.
-
-Edge cases: null or empty text has no words (the digest is that of the empty string); repeated
-rows of one (doc_id, text) get equal verdicts, since neither starts earlier; a null doc_id
-counts as before all others; an empty table gives no rows.
+for the others the verdict is already known. So it is for those equal to an earlier one that the
+same task sent from another slice: a task remembers what recurs, within ``KEPT`` bytes, so a
+passage in every text leaves a task about twice, whatever the task reads. Hot triples: word
+triples that are the minimiser of more than ``HOT`` of a sample's windows rank after all others,
+so a line that a third of all texts share draws no windows to its bucket; the sample only steers
+this ranking and never decides a verdict. Blocks, not rows, are shuffled; a partition holds many
+buckets and searches them one after another.
+
+Edge cases: null or empty text has no words (the digest is that of the empty string); a very long
+text is a slice of its own; repeated rows of one (doc_id, text) get equal verdicts, since neither
+starts earlier; rows of one doc_id with different texts are ordered by where they start, and of
+equal starts neither is earlier; a null doc_id counts as before all others; an empty table gives
+no rows. Only doc_id and text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -50,8 +55,12 @@ TRIPLE = 3
 #: Share of a sample's windows above which a triple is hot, and the bytes of input sampled.
 HOT = 1 / 2000
 SAMPLE = 16 << 20
-#: Bytes of input for each bucket.
+#: Bytes of input for each bucket, and for each partition of buckets.
 BUCKET = 2 << 20
+PARTITION = 32 << 20
+#: Bytes of recurring super-k-mers and number of hashes that a task remembers.
+KEPT = 8 << 20
+SEEN = 1 << 21
 
 _U = np.uint64
 _LAST = _U(1 << 63)
@@ -149,11 +158,43 @@ def _runs(words: Words, hot: np.ndarray):
     return first, size, least[first], text[new], h
 
 
+class Recurring:
+    """Super-k-mers that came in an earlier slice of this task, with the earliest start sent.
+
+    It only saves journeys: what it forgets, or never kept, travels and is judged in its bucket.
+    """
+
+    def __init__(self):
+        self.sent: dict[int, tuple[bytes, int, int]] = {}
+        self.seen = np.zeros(0, _U)
+        self.size = 0
+
+    def known(self, words: Words, key, lo, hi, doc, at) -> np.ndarray:
+        """Which of the super-k-mers equal one that was sent and starts earlier; remembers those that recur."""
+        out = np.zeros(len(key), bool)
+        for i in np.flatnonzero(np.isin(key, self.seen)).tolist():
+            k, mine = int(key[i]), (int(doc[i]), int(at[i]))
+            old = self.sent.get(k)
+            if old is None:
+                if self.size + int(hi[i] - lo[i]) <= KEPT:
+                    self.sent[k] = (words.data[lo[i] : hi[i]], *mine)
+                    self.size += int(hi[i] - lo[i])
+            elif old[0] == words.data[lo[i] : hi[i]]:
+                if old[1:] < mine:
+                    out[i] = True
+                else:
+                    self.sent[k] = (old[0], *mine)
+        if len(self.seen) < SEEN:
+            self.seen = np.union1d(self.seen, key)
+        return out
+
+
 def _split(hot: np.ndarray, buckets: int):
     """Texts in, one compressed block of super-k-mers for each slice and bucket out."""
 
     def run(batches):
         pack = zstandard.ZstdCompressor(level=1)
+        recurring = Recurring()
         for batch, raw in text_slices(batches):
             doc, tkey = _keys(batch, raw)
             texts = [single_spaced(t) for t in raw]
@@ -173,6 +214,8 @@ def _split(hot: np.ndarray, buckets: int):
             item, group = groups_of_equals(words, key, lo, hi)
             known = np.zeros(len(first), bool)
             known[item] = later_ones(group, doc[row[item]], at[item])
+            left = np.flatnonzero(~known)
+            known[left] = recurring.known(words, key[left], lo[left], hi[left], doc[row[left]], at[left])
             bucket = ((least * _U(0x9E3779B97F4A7C15)) >> _U(33)) % _U(buckets)
             bucket = bucket.astype(np.int64)
             order = np.argsort(bucket, kind="stable")
@@ -325,7 +368,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     docs = narrow(docs, "doc_id", "text")
     hot = hot_triples(docs)
     buckets = max(32, input_bytes(docs) // BUCKET)
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), buckets)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(docs) // PARTITION)
     blocks = docs.mapInArrow(_split(hot, int(buckets)), "bucket long, block binary")
     spans = (
         blocks.repartition(int(tasks), "bucket")

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from deltaloom.llm import _common, substrings
+from deltaloom.llm import substrings as S
 
 
 def brute(rows):
@@ -77,3 +78,40 @@ def test_windows_and_minima():
     assert (g[:11] == g[30:]).all() and len(g) == 41 and len(set(g.tolist())) == 30
     words = _common.Words([b"a b c", b"d", b"e f g h"])
     assert _common.inside(words.first, 3, 8).tolist() == [True, False, False, False, True, True]
+
+
+def test_what_recurs_leaves_a_task_about_twice():
+    """A passage in every text of many slices: sent by the first two, judged on the spot afterwards."""
+    import pyarrow as pa
+
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(d, f"{passage} " + " ".join(f"u{d}x{i}" for i in range(40))) for d in range(400)]
+    batches = [
+        pa.RecordBatch.from_arrays([pa.array([d for d, _ in part]), pa.array([t for _, t in part])], ["doc_id", "text"])
+        for part in (rows[k : k + 50] for k in range(0, 400, 50))
+    ]
+
+    def slices(given):  # each batch a slice of its own
+        for b in given:
+            yield b, [t.encode() for t in b.column(1).to_pylist()]
+
+    own, S.text_slices = S.text_slices, slices
+    try:
+        blocks = [b for out in S._split(np.zeros(0, np.uint64), 4)(batches) for b in out.column(1).to_pylist()]
+    finally:
+        S.text_slices = own
+    copies = sum(S._open(b)[1].count(b"p30 p31") for b in blocks)
+    first = [b for b in S._split(np.zeros(0, np.uint64), 4)(batches[:1])]
+    once = sum(S._open(b)[1].count(b"p30 p31") for out in first for b in out.column(1).to_pylist())
+    assert once and copies <= 2 * once
+    found = S.repeated_windows(blocks)  # buckets need not be apart for the verdict
+    docs = set(found.column(0).to_pylist())
+    assert docs == set(range(1, 400))
+
+
+def test_earlier_starts_in_later_slices_are_kept(spark):
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(500 - d, f"{passage} tail{d}") for d in range(300)]  # ids fall while slices go on
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.n_removed for r in S.remove_repeats(docs).collect()}
+    assert [d for d, n in got.items() if n == 0] == [min(got)] and {n for d, n in got.items() if d != min(got)} == {30}
