@@ -24,11 +24,43 @@ def align(df: DataFrame, schema: T.StructType) -> DataFrame:
     )
 
 
+def fit(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """As ``align``, for rows that are to be stored: a value that does not fit is an error, never null.
+
+    Fractions do not fit integers; nulls fit everything. The error comes when the rows are read.
+    """
+    have = {c.lower(): f for c, f in zip(df.columns, df.schema, strict=True)}
+    return df.select(*[fitted(have[f.name.lower()], f).alias(f.name) for f in schema if f.name.lower() in have])
+
+
+def fitted(source: T.StructField, to: T.StructField) -> Column:
+    """A column cast to the other side's type; raises for a value that the type cannot hold."""
+    c, kind = F.col(f"`{source.name}`"), to.dataType
+    if source.dataType == kind:
+        return c
+    cast = c.try_cast(kind)
+    lost = cast.isNull() & c.isNotNull()
+    if isinstance(kind, T.IntegralType) and isinstance(source.dataType, T.FractionalType):
+        lost = lost | (cast.cast(source.dataType) != c)
+    problem = F.concat(F.lit(f"column {to.name}: "), F.coalesce(c.try_cast("string"), F.lit("a value")), F.lit(f" does not fit {kind.simpleString()}"))
+    return F.when(F.coalesce(lost, F.lit(False)), F.raise_error(problem).cast(kind)).otherwise(cast)
+
+
 def similar(
-    a: Column, b: Column, precision: int | None = None, date_format: str | None = None
+    a: Column,
+    b: Column,
+    precision: int | None = None,
+    date_format: str | None = None,
+    truncate: bool = False,
 ) -> Column:
-    """Equal, both null, or equal once rounded or formatted. Never null."""
+    """Equal, both null, or equal once rounded or formatted. Never null.
+
+    Integers and fractions compare in the wider type; with ``truncate`` as integers (33.4 is 33).
+    """
     same = a.eqNullSafe(b)
+    if truncate:
+        whole = lambda c: F.when(c < 0, F.ceil(c)).otherwise(F.floor(c))
+        same = same | (whole(a) == whole(b))
     if precision is not None:
         same = same | (F.round(a, precision) == F.round(b, precision))
     if date_format is not None:
@@ -47,12 +79,22 @@ def in_sync(columns: list[DiffColumn], left: str = "src_", right: str = "dst_")
 
 def record_similarity(a: DataFrame, b: DataFrame, ids: list[str], precision: int = 5, date_format: str | None = None) -> DataFrame:
     """The ids of both sides with a boolean for each shared column, and ``equal`` for all."""
-    b = align(b, a.schema)
+    raw = b
+    # a value that the other type cannot hold is not that side's null
+    have = {c.lower(): c for c in raw.columns}
+    b = raw.select(
+        *[F.col(f"`{have[f.name.lower()]}`").try_cast(f.dataType).alias(f.name) for f in a.schema if f.name.lower() in have],
+        *[
+            (F.col(f"`{have[f.name.lower()]}`").isNotNull() & F.col(f"`{have[f.name.lower()]}`").try_cast(f.dataType).isNull()).alias(f"_odd_{f.name}")
+            for f in a.schema
+            if f.name.lower() in have and f.name not in ids
+        ],
+    )
     shared = [f for f in a.schema if f.name not in ids and f.name in b.columns]
     joined = a.alias("a").join(b.alias("b"), [F.col(f"a.{i}").eqNullSafe(F.col(f"b.{i}")) for i in ids], "inner")
 
     def one(f: T.StructField) -> Column:
-        return similar(
+        return ~F.col(f"b._odd_{f.name}") & similar(
             F.col(f"a.{f.name}"),
             F.col(f"b.{f.name}"),
             precision if isinstance(f.dataType, NUMERIC) else None,

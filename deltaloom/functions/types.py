@@ -36,7 +36,8 @@ class DiffColumn:
         return self.alias or f"{prefix}_{self.name}"
 
     def column(self, dtype: T.DataType | None = None, source: Column | None = None) -> Column:
-        """COUNT of 1 counts rows, any other COUNT counts distinct values."""
+        """COUNT of 1 counts rows, any other COUNT counts distinct values (exact, at the cost of a shuffle of
+        the column). HASH sums hashes of the values: mergeable, so that only sums are shuffled."""
         func, col = self.func.upper(), F.col(f"`{self.name}`") if source is None else source
         if func == "COUNT" and self.name == "1":
             return F.count(F.lit(1))
@@ -46,6 +47,8 @@ class DiffColumn:
             col = F.coalesce(col, F.lit(self.default))
         if func == "COUNT":
             return F.count_distinct(col)
+        if func == "HASH":
+            return F.sum(F.xxhash64(col).cast("decimal(20,0)"))
         if func == "SUM":
             if isinstance(dtype, T.FloatType | T.DoubleType):
                 col = F.coalesce(col.try_cast(EXACT), F.lit(0).cast(EXACT))
@@ -55,9 +58,14 @@ class DiffColumn:
         return F.call_function(func.lower(), col)
 
 
-def diff_column(field: T.StructField, precision: int = 5, date_format: str | None = None) -> DiffColumn:
-    """The signature aggregate for a column's type."""
+def diff_column(
+    field: T.StructField, precision: int = 5, date_format: str | None = None, exact: bool = True
+) -> DiffColumn:
+    """The signature aggregate for a column's type: sums of numbers, the latest time, and for all else
+    distinct values or, unless ``exact``, a sum of hashes (which also sees swapped values)."""
     kind = field.dataType
+    if not exact and not isinstance(kind, (*NUMERIC, *TIME)):
+        return DiffColumn("HASH", field.name)
     if isinstance(kind, T.BooleanType):
         return DiffColumn("COUNT", field.name, default=False)
     if isinstance(kind, T.ByteType):
@@ -74,9 +82,9 @@ def diff_column(field: T.StructField, precision: int = 5, date_format: str | Non
 
 
 def diff_columns(
-    df: DataFrame, skip: list[str] = (), precision: int = 5, date_format: str | None = None
+    df: DataFrame, skip: list[str] = (), precision: int = 5, date_format: str | None = None, exact: bool = True
 ) -> list[DiffColumn]:
     out = {s.lower() for s in skip}
     return [
-        diff_column(f, precision, date_format) for f in df.schema if f.name.lower() not in out
+        diff_column(f, precision, date_format, exact) for f in df.schema if f.name.lower() not in out
     ]

@@ -8,7 +8,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from deltaloom.sources.staging import stage
+from deltaloom.sources.staging import stage, unstage
+
+#: Boundaries that a plan holds as a constant, and bytes of a table for each range in which ids are ranked.
+MOST = 100_000
+RANGE_BYTES = 256 << 20
 
 
 def window(df: DataFrame, id_: str, size: int, offset: int | None = None) -> DataFrame:
@@ -70,22 +74,32 @@ def boundaries(df: DataFrame, id_: str, size: int) -> DataFrame:
     """(chunk, lo, cnt): where ranges of ``size`` source ids each begin, in one pass.
 
     Ids are dealt by range; a row's rank is its rank in its range plus the rows of the ranges
-    before, so no task sorts the whole table. The first range is open below, the last above.
+    before, so no task sorts the whole table. The number of ranges follows the table's size. The
+    first range is open below, the last above.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), _bytes(df) // RANGE_BYTES)
     dealt = stage(
         df.select(F.col(id_).alias("id")).filter(F.col("id").isNotNull()).repartitionByRange(parts, "id").select(
             "id", F.spark_partition_id().alias("part")
         ),
         "chunk-ids",
     )
+    # one row for each range
     counts = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    # one row for each shuffle partition
     before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     rank = F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy("id")) - 1
     ranked = dealt.join(F.broadcast(before), "part").select("id", F.floor(rank / size).cast("long").alias("chunk"))
     found = ranked.groupBy("chunk").agg(F.min("id").alias("lo"), F.count(F.lit(1)).alias("cnt"))
-    return stage(found, "chunks")  # read several times, and small
+    found = stage(found, "chunks")  # read several times, and small
+    unstage(dealt)
+    return found
+
+
+def _bytes(df: DataFrame) -> int:
+    """Catalyst's estimate of the bytes under ``df``; 0 if it has none."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 55 else 0
 
 
 def with_ranges(bounds: DataFrame) -> DataFrame:
@@ -94,30 +108,46 @@ def with_ranges(bounds: DataFrame) -> DataFrame:
     return bounds.join(following, "chunk", "left").select("chunk", "lo", "hi", "cnt")
 
 
+def _search(bounds: str, id_: str) -> str:
+    """SQL for the index of the last of the sorted ``bounds`` that is not above ``id_`` (-1: none)."""
+    mid = "shiftright(acc.lo + acc.hi, 1)"
+    over = f"element_at({bounds}, {mid} + 1) > {id_}"
+    half = f"if(acc.lo >= acc.hi, acc, named_struct('lo', if({over}, acc.lo, {mid} + 1), 'hi', if({over}, {mid}, acc.hi)))"
+    steps = f"sequence(1, int(ceil(log2(size({bounds}) + 1))))"
+    return f"aggregate({steps}, named_struct('lo', 0, 'hi', size({bounds})), (acc, _) -> {half}, acc -> acc.lo - 1)"
+
+
+def _literal(bounds: list[int]) -> Column:
+    """A sorted array of ids as one constant of the plan."""
+    return F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
+
+
 def assign(df: DataFrame, bounds: DataFrame, id_: str, name: str = "chunk") -> DataFrame:
     """``df`` with the chunk of each row; ids below the first chunk belong to it.
 
-    Chunks are laid over equal bins of the id range (about one bin a chunk), and rows meet their
-    chunk by an equi-join on the bin, never by comparing every row with every chunk.
+    Every row searches the sorted boundaries, a constant of the plan: no shuffle, and nothing
+    depends on how ids are spread. Beyond ``MOST`` chunks the constant holds every ``MOST``-th part
+    of them, and the chunks of each part, an array in one row, meet their rows by an equi-join.
+    Chunks are numbered from 0 without gaps.
     """
-    span = bounds.agg(F.min("lo").alias("a"), F.max("lo").alias("b"), F.count(F.lit(1)).alias("n")).first()
-    if not span["n"]:
+    n = bounds.count()
+    if not n:
         return df.withColumn(name, F.lit(0).cast("long"))
-    width = max(1, -(-(int(span["b"]) - int(span["a"]) + 1) // int(span["n"])))
-    last = (int(span["b"]) - int(span["a"])) // width
-    bin_of = lambda c: F.least(F.greatest(F.expr(f"cast(({c} - {int(span['a'])}) div {width} as long)"), F.lit(0)), F.lit(last))
-    ranges = with_ranges(bounds).withColumn("hi_or", F.coalesce(F.col("hi") - 1, F.lit(int(span["b"]))))
-    laid = ranges.select(
-        F.col("chunk").alias("_chunk"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"),
-        F.explode(F.sequence(bin_of("lo"), bin_of("hi_or"))).alias("_bin"),
-    )
-    first = F.col("_lo") == int(span["a"])
-    return (
-        df.withColumn("_bin", bin_of(f"`{id_}`"))
-        .join(laid, "_bin")
-        .filter((F.col("_hi").isNull() | (F.col(id_) < F.col("_hi"))) & ((F.col(id_) >= F.col("_lo")) | first))
-        .select(*df.columns, F.col("_chunk").alias(name))
+    step = -(-n // MOST)
+    coarse = bounds.filter(F.col("chunk") % step == 0).orderBy("chunk").select("lo").collect()  # MOST at most
+    key = f"cast(`{id_}` as bigint)"
+    if step == 1:
+        held = df.withColumn("_bounds", _literal([r["lo"] for r in coarse]))
+        found = held.withColumn(name, F.greatest(F.expr(_search("_bounds", key)), F.lit(0)).cast("long"))
+        return found.select(*df.columns, name)
+    groups = bounds.groupBy(F.floor(F.col("chunk") / step).cast("long").alias("_group")).agg(
+        F.sort_array(F.collect_list("lo")).alias("_los")  # ``step`` boundaries
     )
+    held = df.withColumn("_bounds", _literal([r["lo"] for r in coarse]))
+    held = held.withColumn("_part", F.greatest(F.expr(_search("_bounds", key)), F.lit(0)).cast("long"))
+    inner = F.greatest(F.expr(_search("_los", key)), F.lit(0))
+    joined = held.join(groups, F.col("_part") == F.col("_group"))
+    return joined.select(*df.columns, (F.col("_group") * step + inner).cast("long").alias(name))
 
 
 def id_filter(id_: str, low: int | None, high: int | None) -> Column:

@@ -90,15 +90,16 @@ def diff(
     precision: int = 5,
     date_format: str | None = None,
     probe: bool = True,
+    exact: bool = False,
 ) -> DataFrame:
     """The plan: one row for each partition of either side.
 
     Columns: the partition columns, method, src_cnt, dst_cnt, src_min, src_max, dst_min, dst_max
     (of a single id), in_sync_id (rows up to it need not move). One scan of each side; partitions
     that may lack just a tail are scanned once more on the source side. Only aggregates are
-    shuffled.
+    shuffled, unless ``exact`` asks for distinct counts.
     """
-    cols = plan_columns(dst, ids, parts, columns, count_only, precision, date_format)
+    cols = plan_columns(dst, ids, parts, columns, count_only, precision, date_format, exact)
     if not any(c.label == "cnt" for c in cols):
         cols = [DiffColumn("COUNT", "1", alias="cnt"), *cols]
     a = _side(signature(src, cols, parts), cols, parts, "src_")

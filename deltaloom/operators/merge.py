@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deltaloom.functions.compare import align
+from deltaloom.functions.compare import fit
 
 STRATEGIES = ("insert", "merge", "deleteMerge", "deleteInsert")
 
@@ -42,8 +42,15 @@ def transient_delete(t: DataFrame, d: DataFrame, ids: Sequence[str], where: Colu
     return t.join(d.filter(_true(where)).select(*ids), list(ids), "left_anti").select(*t.columns)
 
 
+def without(d: DataFrame, keys: DataFrame) -> DataFrame:
+    """``d`` without the rows whose values of the columns of ``keys`` are a row of it, nulls alike."""
+    on = [F.col(f"d.`{c}`").eqNullSafe(F.col(f"k.`{c}`")) for c in keys.columns]
+    return d.alias("d").join(keys.alias("k"), on, "left_anti")
+
+
 def append(d: DataFrame, t: DataFrame) -> DataFrame:
-    return d.unionByName(align(t, d.schema))
+    """Both; staged values that do not fit the destination's types are an error when rows are read."""
+    return d.unionByName(fit(t, d.schema), allowMissingColumns=True).select(*d.columns)
 
 
 def insert_new(d: DataFrame, t: DataFrame, ids: Sequence[str], where: Column | None = None) -> DataFrame:
@@ -53,14 +60,22 @@ def insert_new(d: DataFrame, t: DataFrame, ids: Sequence[str], where: Column | N
     return append(d, transient_delete(dedupe_max(t, ids), d, ids, where))
 
 
-def upsert(d: DataFrame, t: DataFrame, ids: Sequence[str]) -> DataFrame:
+def upsert(d: DataFrame, t: DataFrame, ids: Sequence[str], where: Column | None = None) -> DataFrame:
     """Destination rows whose id is staged are replaced, other staged rows are added.
 
-    The destination is only anti-joined with the staged ids: a small slice is broadcast and the
-    destination is not shuffled.
+    With ``where`` only destination rows under it match; staged rows that match none are added,
+    whatever rows outside it have their id. The destination is only anti-joined with the staged
+    ids: a small slice is broadcast and the destination is not shuffled. Columns that the slice
+    lacks keep the destination's values.
     """
     t = dedupe_max(t, ids)
-    return append(d.join(t.select(*ids), list(ids), "left_anti").select(*d.columns), t)
+    lacking = [c for c in d.columns if c.lower() not in {x.lower() for x in t.columns}]
+    if lacking and where is None:
+        return upsert_columns(d, t, ids)
+    outside = d.limit(0) if where is None else d.filter(~_true(where))
+    inside = d if where is None else d.filter(_true(where))
+    kept = inside.join(t.select(*ids), list(ids), "left_anti").select(*d.columns)
+    return append(kept if where is None else kept.unionByName(outside), t)
 
 
 def upsert_columns(d: DataFrame, t: DataFrame, ids: Sequence[str]) -> DataFrame:
@@ -131,7 +146,10 @@ def apply(
     }[method]()
 
 
-#: Names of vendor merge styles; on this engine all upserts are one operator.
+#: Upserts by name: they differ in what a filter means (``merge``: which rows match; ``insertOrReplace``: which are
+#: inserted; the others have none).
+UPSERTS = ("insertOrReplace", "insertOnDuplicateUpdate", "insertOnConflictUpdate", "merge", "mergeInto")
+#: The upsert of each vendor.
 MERGE_STYLES = {"mysql": "insertOnDuplicateUpdate", "sqlite3": "insertOrReplace", "oci8": "mergeInto", "ora": "mergeInto"}
 
 
@@ -139,10 +157,9 @@ def dml(kind: str, d: DataFrame, t: DataFrame | None, ids: Sequence[str] = (), w
     """One statement by name; ``transientDelete`` returns the staged rows that remain."""
     if t is None and kind != "filteredDelete":
         raise ValueError(f"{kind} needs a staged slice")
-    upserts = dict.fromkeys(
-        ("insertOrReplace", "insertOnDuplicateUpdate", "insertOnConflictUpdate", "merge", "mergeInto"),
-        lambda: upsert(d, t, ids),
-    )
+    if t is not None and kind == "insertOrReplace" and where is not None:
+        t = t.filter(_true(where))  # its filter is on the rows inserted
+    upserts = dict.fromkeys(UPSERTS, lambda: upsert(d, t, ids)) | {"merge": lambda: upsert(d, t, ids, where)}
     known = upserts | {
         "insert": lambda: insert_new(d, t, ids, where),
         "append": lambda: append(d, dedupe_max(t, ids)),

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from deltaloom.functions.compare import in_sync
 from deltaloom.functions.types import DiffColumn
 from deltaloom.operators.signature import signature
+from deltaloom.sources.staging import stage, unstage
 
 
 @dataclass
@@ -31,26 +32,61 @@ class IdRange:
         return self.value
 
 
-def slices_agree(src: DataFrame, dst: DataFrame, columns: Sequence[DiffColumn], where: Column) -> bool:
-    a, b = (signature(x.filter(where), columns) for x in (src, dst))
-    both = a.select(*[F.col(f"`{c.label}`").alias(f"src_{c.label}") for c in columns]).withColumn("_k", F.lit(1)).join(
-        b.select(*[F.col(f"`{c.label}`").alias(f"dst_{c.label}") for c in columns]).withColumn("_k", F.lit(1)), "_k"
-    )
-    return bool(both.select(in_sync(list(columns)).alias("same")).first()["same"])
-
-
 def max_in_sync(
     src: DataFrame, dst: DataFrame, id_: str, columns: Sequence[DiffColumn], low: int, high: int, depth: int
 ) -> int | None:
     """The last candidate c, of ``depth`` probes, for which all rows with ``id <= c`` agree."""
-    probe, found = IdRange(low, high), None
-    matched = False
+    one = src.sparkSession.createDataFrame([(low, high)], "low long, high long")
+    return bisect(src, dst, id_, columns, one, [], depth).first()["at"]
+
+
+def bisect(
+    src: DataFrame, dst: DataFrame, id_: str, columns: Sequence[DiffColumn], spans: DataFrame, slices: Sequence[str], depth: int
+) -> DataFrame:
+    """For each slice of ``spans`` (the slice columns, low and high): at, the last candidate of ``depth``
+    probes up to which both sides agree (null: none).
+
+    Every round probes all slices at once: rows meet their slice's candidate and are aggregated
+    by slice, so there is one job a round, whatever the number of slices. The candidates are
+    those of ``IdRange``.
+    """
+    keys = list(slices) or ["_all"]
+    if not slices:
+        src, dst, spans = (x.withColumn("_all", F.lit(1)) for x in (src, dst, spans))
+    half = F.expr("cast((high - low) / 2 as bigint)")
+    state = spans.select(*keys, (F.col("high") - half).alias("value"), half.alias("step"), F.lit(None).cast("long").alias("at"))
+    state = stage(state, "probes")
+    own = [F.col(f"`{k}`").eqNullSafe(F.col(f"_s_{k}")) for k in keys]
+
+    def side(df: DataFrame, state: DataFrame, prefix: str) -> DataFrame:
+        probe = state.select(*[F.col(f"`{k}`").alias(f"_s_{k}") for k in keys], F.col("value").alias("_value"))
+        below = df.join(probe, own).filter(F.col(id_) <= F.col("_value")).select(*df.columns)
+        made = signature(below, columns, keys)
+        return made.select(
+            *[F.col(f"`{k}`").alias(f"_{prefix}{k}") for k in keys],
+            *[F.col(f"`{c.label}`").alias(f"{prefix}{c.label}") for c in columns],
+        )
+
     for _ in range(depth):
-        c = probe.next(matched)
-        matched = slices_agree(src, dst, columns, F.col(id_) <= c)
-        if matched:
-            found = c
-    return found
+        out = state
+        for df, prefix in ((src, "src_"), (dst, "dst_")):
+            on = [F.col(f"`{k}`").eqNullSafe(F.col(f"_{prefix}{k}")) for k in keys]
+            out = out.join(side(df, state, prefix), on, "left")
+        # no rows on either side agree as well
+        same = in_sync([c for c in columns if not c.label.startswith(("cnt", "non_null_cnt", "unique_cnt"))])
+        counts = [c for c in columns if c.label.startswith(("cnt", "non_null_cnt", "unique_cnt"))]
+        for c in counts:
+            same = same & (F.coalesce(f"src_{c.label}", F.lit(0)) == F.coalesce(f"dst_{c.label}", F.lit(0)))
+        step = F.expr("cast(step / 2 as bigint)")
+        moved = out.withColumn("_same", same).select(
+            *keys,
+            (F.col("value") + F.when(F.col("_same"), step).otherwise(-step)).alias("value"),
+            step.alias("step"),
+            F.when(F.col("_same"), F.col("value")).otherwise(F.col("at")).alias("at"),
+        )
+        old, state = state, stage(moved, "probes")
+        unstage(old)
+    return state.select(*[f"`{k}`" for k in slices], "at")
 
 
 def probe_all(src: DataFrame, dst: DataFrame, id_: str, candidates: Sequence[int]) -> DataFrame:

@@ -11,13 +11,13 @@ from pyspark.sql import types as T
 from deltaloom.functions.types import DiffColumn, diff_columns
 
 
-def id_columns(ids: Sequence[str]) -> list[DiffColumn]:
-    """Aliases of the statistics of a single id: unique, non-null, greatest and least."""
+def id_columns(ids: Sequence[str], exact: bool = True) -> list[DiffColumn]:
+    """Aliases of the statistics of a single id: unique (if ``exact``), non-null, greatest and least."""
     if len(ids) != 1:
         return []
     i = ids[0]
     return [
-        DiffColumn("COUNT", i, alias=f"unique_cnt_{i}"),
+        *([DiffColumn("COUNT", i, alias=f"unique_cnt_{i}")] if exact else []),
         DiffColumn("COUNT", i, alias=f"non_null_cnt_{i}"),
         DiffColumn("MAX", i, alias=f"max_{i}"),
         DiffColumn("MIN", i, alias=f"min_{i}"),
@@ -32,19 +32,23 @@ def plan_columns(
     count_only: bool = False,
     precision: int = 5,
     date_format: str | None = None,
+    exact: bool = True,
 ) -> list[DiffColumn]:
     """The aggregates of a signature: rows, the single id's statistics, then one for each column.
 
+    ``exact`` counts distinct values and ids, each with a shuffle of its own; otherwise every
+    aggregate is merged from partial ones and nothing else is shuffled.
+
     Partition columns are dimensions and are not aggregated. Custom columns replace the standard
     ones; unless one of them is called ``cnt`` the rows and the id are counted as well.
     """
-    base = [DiffColumn("COUNT", "1", alias="cnt"), *id_columns(ids)]
+    base = [DiffColumn("COUNT", "1", alias="cnt"), *id_columns(ids, exact)]
     if count_only:
         return base
     if columns:
         own = [c for c in columns if c.name.lower() not in {p.lower() for p in parts}]
         return own if any(c.label == "cnt" for c in own) else base + own
-    return base + diff_columns(df, list(parts), precision, date_format)
+    return base + diff_columns(df, list(parts), precision, date_format, exact)
 
 
 def aggregates(df: DataFrame, columns: Sequence[DiffColumn], where: Column | None = None) -> list[Column]:

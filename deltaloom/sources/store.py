@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from deltaloom.operators.merge import without
 
 
 class ConflictError(RuntimeError):
@@ -12,10 +18,13 @@ class ConflictError(RuntimeError):
 
 
 class SnapshotTable:
-    """``<path>/v=<n>/`` holds version n; ``<path>/_versions/<n>`` marks it as committed.
+    """``<path>/<folder>/part-…`` are files; ``<path>/_manifests/<id>`` lists the files and the schema
+    of one version; ``<path>/_versions/<n>`` names the manifest of version n.
 
-    A marker is created exclusively, so of two commits of one version one fails. Nothing is
-    written where it is read. Paths may be on any file system that Spark reads.
+    A version is committed by creating its marker exclusively, so of two commits of one version
+    one fails. Files are never changed: a commit of a change writes new files for those that hold
+    a row which goes, and for what comes, and shares all others with the version before. Paths
+    may be on any file system that Spark reads.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -28,45 +37,113 @@ class SnapshotTable:
         marks = self._path(f"{self.path}/_versions")
         if not self._fs.exists(marks):
             return []
-        return sorted(int(s.getPath().getName()) for s in self._fs.listStatus(marks) if s.getPath().getName().isdigit())
+        found = [s for s in self._fs.listStatus(marks) if s.getPath().getName().isdigit()]
+        return sorted(int(s.getPath().getName()) for s in found if s.getLen())
 
     def version(self) -> int | None:
         found = self.versions()
         return found[-1] if found else None
 
-    def read(self, version: int | None = None) -> DataFrame:
+    def _read(self, name: str) -> bytes:
+        stream = self._fs.open(self._path(f"{self.path}/{name}"))
+        try:
+            return bytes(stream.readAllBytes())
+        finally:
+            stream.close()
+
+    def _write(self, name: str, data: bytes) -> None:
+        out = self._fs.create(self._path(f"{self.path}/{name}"), False)
+        try:
+            out.write(bytearray(data), 0, len(data))
+        finally:
+            out.close()
+
+    def _manifest_name(self, version: int) -> str:
+        return self._read(f"_versions/{version}").decode()
+
+    def manifest(self, version: int | None = None) -> dict:
+        """``files`` (relative to the path) and ``schema`` of a version."""
         version = self.version() if version is None else version
         if version is None:
             raise FileNotFoundError(f"{self.path} has no version")
-        with_id = self._fs.open(self._path(f"{self.path}/_versions/{version}"))
-        try:
-            name = with_id.readUTF()
-        finally:
-            with_id.close()
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        return json.loads(self._read(self._manifest_name(version)))
 
-    def commit(self, df: DataFrame, expect: int | None = None) -> int:
-        """Writes ``df`` as the version after ``expect`` (the one it was made from)."""
-        if self.version() != expect:
-            raise ConflictError(f"{self.path} is at version {self.version()}, not {expect}")
+    def _frame(self, manifest: dict, files: Sequence[str]) -> DataFrame:
+        schema = T.StructType.fromJson(manifest["schema"])
+        if not files:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{f}" for f in files])
+
+    def read(self, version: int | None = None) -> DataFrame:
+        manifest = self.manifest(version)
+        return self._frame(manifest, manifest["files"])
+
+    def _stored(self, df: DataFrame) -> list[str]:
+        """Writes ``df``; the names of its files."""
+        folder = f"d-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.path}/{folder}")
+        found = self._fs.listStatus(self._path(f"{self.path}/{folder}"))
+        return sorted(f"{folder}/{s.getPath().getName()}" for s in found if s.getPath().getName().startswith("part-"))
+
+    def _check(self, expect: int | None) -> None:
+        if (now := self.version()) != expect:
+            raise ConflictError(f"{self.path} is at version {now}, not {expect}")
+
+    def _publish(self, files: list[str], schema: T.StructType, expect: int | None) -> int:
         version = 0 if expect is None else expect + 1
-        name = f"v={version}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(f"{self.path}/{name}")
-        mark = self._path(f"{self.path}/_versions/{version}")
+        name = f"_manifests/{uuid.uuid4().hex}.json"
+        self._write(name, json.dumps({"files": files, "schema": schema.jsonValue()}).encode())
         try:
-            out = self._fs.create(mark, False)
+            self._write(f"_versions/{version}", name.encode())
         except Exception as error:
             raise ConflictError(f"{self.path}: version {version} was committed by another") from error
-        out.writeUTF(name)
-        out.close()
         return version
 
+    def commit(self, df: DataFrame, expect: int | None = None) -> int:
+        """Writes ``df`` whole as the version after ``expect`` (the one it was made from)."""
+        self._check(expect)
+        return self._publish(self._stored(df), df.schema, expect)
+
+    def change(self, drops: Sequence[DataFrame], add: DataFrame | None, expect: int) -> int:
+        """The version after ``expect``: without the rows whose keys are in one of ``drops`` (frames of
+        some of the table's columns, nulls alike), with the rows of ``add``.
+
+        Only the key columns are read to find the files to rewrite; a change without drops reads
+        nothing and adds files.
+        """
+        self._check(expect)
+        manifest = self.manifest(expect)
+        touched: set[str] = set()
+        for keys in drops:
+            if not manifest["files"]:
+                break
+            old = self._frame(manifest, manifest["files"]).select(*keys.columns, F.col("_metadata.file_path").alias("_file"))
+            on = [F.col(f"o.{c}").eqNullSafe(F.col(f"k.{c}")) for c in keys.columns]
+            hit = old.alias("o").join(keys.distinct().alias("k"), on, "left_semi").select("_file").distinct()
+            touched |= {"/".join(r[0].split("/")[-2:]) for r in hit.collect()}  # names of files, as in the manifest
+        files = [f for f in manifest["files"] if f not in touched]
+        fresh = add
+        if touched:
+            kept = self._frame(manifest, sorted(touched))
+            for keys in drops:
+                kept = without(kept, keys)
+            fresh = kept if add is None else kept.unionByName(add)
+        if fresh is not None:
+            fresh = fresh.select(*[f["name"] for f in manifest["schema"]["fields"]])
+            files += self._stored(fresh)
+        return self._publish(files, T.StructType.fromJson(manifest["schema"]), expect)
+
     def vacuum(self, keep: int = 2) -> None:
-        """Deletes all but the newest ``keep`` versions."""
-        for v in self.versions()[:-keep]:
-            mark = self._path(f"{self.path}/_versions/{v}")
-            stream = self._fs.open(mark)
-            name = stream.readUTF()
-            stream.close()
-            self._fs.delete(mark, False)
-            self._fs.delete(self._path(f"{self.path}/{name}"), True)
+        """Deletes all but the newest ``keep`` versions, and the files that none of those lists."""
+        versions = self.versions()
+        gone, stay = versions[:-keep], versions[-keep:]
+        if not gone:
+            return
+        kept = {f for v in stay for f in self.manifest(v)["files"]}
+        for v in gone:
+            name = self._manifest_name(v)
+            for f in json.loads(self._read(name))["files"]:
+                if f not in kept:
+                    self._fs.delete(self._path(f"{self.path}/{f}"), False)
+            self._fs.delete(self._path(f"{self.path}/_versions/{v}"), False)
+            self._fs.delete(self._path(f"{self.path}/{name}"), False)

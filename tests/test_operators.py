@@ -189,3 +189,70 @@ def test_dense_counts_and_layouts():
 
     assert narrow.dense_remaining(9999, 9999, 9999, 9684) == (315, 315)
     assert layout_for("yyyy-MM-dd HH:mm:ss", "2020-01-02") == "yyyy-MM-dd"
+
+
+def test_skewed_ids_and_many_chunks(spark, monkeypatch):
+    """Dense ids and one far away: every row finds its chunk without meeting the others of its range."""
+    src = table(spark, [*range(20_000), 10**12])
+    bounds = chunking.boundaries(src, "id", 100)
+    want = {i: i // 100 for i in range(20_000)} | {10**12: 200}
+    for most in (100_000, 7):
+        monkeypatch.setattr(chunking, "MOST", most)
+        placed = chunking.assign(src, bounds, "id")
+        assert {r.id: r.chunk for r in placed.collect()} == want
+        if most > 7:
+            assert "Join" not in placed._jdf.queryExecution().executedPlan().toString()
+    below = chunking.assign(table(spark, [-5, 10**13]), bounds, "id")
+    assert {r.id: r.chunk for r in below.collect()} == {-5: 0, 10**13: 200}
+
+
+def test_bisection_of_all_slices_at_once(spark):
+    src = spark.createDataFrame([(i, "ab"[i % 2], float(i)) for i in range(1, 2001)], "id long, p string, x double")
+    dst = src.withColumn("x", F.when(F.col("id").isin(1501, 402), 0.0).otherwise(F.col("x")))
+    cols = signature.plan_columns(src, ["id"], ["p"], exact=False)
+    spans = spark.createDataFrame([("a", 2, 2000), ("b", 1, 1999)], "p string, low long, high long")
+    got = {r.p: r.at for r in narrow.bisect(src, dst, "id", cols, spans, ["p"], 8).collect()}
+
+    def expected(bad, low, high):
+        probe, found, matched = narrow.IdRange(low, high), None, False
+        for _ in range(8):
+            c = probe.next(matched)
+            matched = bad > c
+            found = c if matched else found
+        return found
+
+    assert got == {"a": expected(402, 2, 2000), "b": expected(1501, 1, 1999)}
+
+
+def test_default_signatures_shuffle_only_sums(spark):
+    df = spark.createDataFrame([(1, "a", True, "x")], "id long, s string, b boolean, p string")
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    fast = signature.signature(df, signature.plan_columns(df, ["id"], ["p"], exact=False), ["p"])
+    assert "Expand" not in plan(fast) and "distinct" not in plan(fast)
+    assert "Expand" in plan(signature.signature(df, signature.plan_columns(df, ["id"], ["p"]), ["p"]))
+    swapped = spark.createDataFrame([(1, "a"), (2, "b")], "id long, s string"), spark.createDataFrame([(1, "b"), (2, "a")], "id long, s string")
+    assert diff.diff(swapped[0], swapped[0], ["id"]).first()["method"] == "inSync"
+
+
+def test_merge_with_a_filter(spark):
+    d, t = table(spark, [1, 2], {1: 7, 2: 7}), table(spark, [2, 3])
+    where = F.col("event_type") < 5
+    assert [r[0] for r in rows(merge.dml("merge", d, t, ["id"], where))] == [1, 2, 2, 3]  # 2 is outside the filter
+    assert [r[0] for r in rows(merge.dml("mergeInto", d, t, ["id"], where))] == [1, 2, 3]
+    assert [r[0] for r in rows(merge.dml("insertOrReplace", d, t, ["id"], F.col("id") > 2))] == [1, 2, 3]
+
+
+def test_values_that_do_not_fit(spark):
+    d = spark.createDataFrame([(1, 1)], "id long, v int")
+    for bad in (2**40, 1.5, "x"):
+        t = spark.createDataFrame([(2, bad)], f"id long, v {'long' if bad == 2**40 else 'double' if bad == 1.5 else 'string'}")
+        with pytest.raises(Exception, match="does not fit int"):
+            merge.upsert(d, t, ["id"]).collect()
+    fine = spark.createDataFrame([(2, "7"), (3, None)], "id long, v string")
+    assert rows(merge.upsert(d, fine, ["id"]).na.fill(-1)) == [(1, 1), (2, 7), (3, -1)]
+
+
+def test_upsert_keeps_columns_the_slice_lacks(spark):
+    d = spark.createDataFrame([(1, 5, "note"), (2, 6, "kept")], "id long, v int, extra string")
+    t = spark.createDataFrame([(2, 9), (3, 9)], "id long, v int")
+    assert rows(merge.upsert(d, t, ["id"]).na.fill("-")) == [(1, 5, "note"), (2, 9, "kept"), (3, 9, "-")]
