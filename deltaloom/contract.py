@@ -6,7 +6,7 @@ import json
 from dataclasses import asdict, dataclass, field, fields, is_dataclass, replace
 from typing import Any, get_type_hints
 
-from deltaloom.operators.merge import MERGE_STYLES
+from deltaloom.operators.merge import MERGE_STYLES, UPSERTS
 from deltaloom.plans.schedule import Schedule
 
 
@@ -21,6 +21,8 @@ class Resource:
     hint: str = ""
     driver: str = ""
     options: dict[str, str] = field(default_factory=dict)
+    readers: int = 0  # connections of a JDBC read, dealt by ranges of ``split``
+    split: str = ""
     criteria: dict[str, Any] = field(default_factory=dict)
     pseudo: dict[str, str] = field(default_factory=dict)
     partition_sql: str = ""
@@ -43,6 +45,7 @@ class Diff:
     batch_size: int = 512
     precision: int = 5
     date_format: str = "yyyy-MM-dd HH:mm:ss"
+    exact: bool = False  # distinct counts, each with a shuffle, instead of sums of hashes
 
 
 @dataclass(frozen=True)
@@ -50,7 +53,7 @@ class Partition:
     columns: list[str] = field(default_factory=list)
     provider_sql: str = ""
     threads: int = 2
-    sync_mode: str = "individual"
+    sync_mode: str = "batch"  # all slices in one commit; "individual": one commit each, tried three times
 
 
 @dataclass(frozen=True)
@@ -66,7 +69,7 @@ class Transfer:
     temp_database: str = ""
     max_retries: int = 2
     batch_size: int = 2048
-    writers: int = 2
+    writers: int = 0  # files of a staged slice, or connections of a JDBC write; 0: as many as the plan has
 
 
 @dataclass(frozen=True)
@@ -127,6 +130,14 @@ class SyncRequest:
             raise ValueError("chunks need exactly one id column")
         if s.partition.sync_mode not in ("individual", "batch") or s.chunk.sync_mode not in ("individual", "batch"):
             raise ValueError("a sync mode is individual or batch")
+        if s.merge_style and s.merge_style not in UPSERTS:
+            raise ValueError(f"a merge style is one of {', '.join(UPSERTS)}")
+        if s.diff.batch_size < 1 or self.transfer.batch_size < 1 or self.transfer.writers < 0:
+            raise ValueError("batch sizes are positive, and writers not negative")
+        if self.dest.path and (self.transfer.temp_database or self.transfer.suffix):
+            raise ValueError("a temporary database and suffix name staging tables: not for a path")
+        if self.source.readers > 1 and not self.source.split:
+            raise ValueError("several readers need a column to split by")
         if self.schedule:
             self.schedule.validate()
 

@@ -5,36 +5,58 @@ from __future__ import annotations
 import threading
 import time
 import uuid
-from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from concurrent.futures import Future, ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deltaloom.contract import SyncRequest, SyncResponse
+from deltaloom.functions.compare import fitted
 from deltaloom.functions.criteria import conjunction
 from deltaloom.functions.types import DiffColumn
 from deltaloom.operators import chunking, diff, merge, narrow
 from deltaloom.operators.projection import explicit, sync_projection, with_pseudo
 from deltaloom.operators.signature import id_consistency, plan_columns
 from deltaloom.plans.control import History, Jobs
-from deltaloom.sources.loaders import load, partition_values
+from deltaloom.sources.loaders import load, moving, partition_values, write_change
 from deltaloom.sources.staging import stage
 from deltaloom.sources.store import SnapshotTable
 
 MOVING = (diff.INSERT, diff.MERGE, diff.DELETE_MERGE, diff.DELETE_INSERT)
 
 
+@dataclass
+class Change:
+    """What a sync does to its destination: rows whose keys are in one of ``drops`` go, ``add`` comes.
+
+    ``whole`` replaces the destination instead, where the rows that go cannot be named by its columns.
+    """
+
+    drops: list[DataFrame] = field(default_factory=list)
+    add: DataFrame | None = None
+    whole: DataFrame | None = None
+
+    def result(self, dst: DataFrame) -> DataFrame:
+        if self.whole is not None:
+            return self.whole
+        for keys in self.drops:
+            dst = merge.without(dst, keys)
+        return dst if self.add is None else merge.append(dst, self.add)
+
+
 @dataclass
 class SyncResult:
-    """The new destination, the plan behind it and what it moves."""
+    """The new destination, the plan behind it, what it moves and what it changes."""
 
     result: DataFrame
     plan: DataFrame
     moved: DataFrame
+    change: Change
     in_sync: bool
     source: int = 0
     dest: int = 0
@@ -82,20 +104,23 @@ def synchronise(
     force: bool = False,
     keep_removed: bool = False,
     check: bool = True,
+    exact: bool = False,
+    stored: Sequence[str] | None = None,
+    writers: int = 0,
 ) -> SyncResult:
-    """The destination after a sync of ``src`` into it, as a plan to be written.
+    """The destination after a sync of ``src`` into it, as a plan to be written and as a change.
 
     Slices are partitions, or chunks within them, compared by signature in one pass over each
-    side. Only slices out of sync are read again; for an appended tail only the rows beyond the
-    destination's greatest id, for one unpartitioned slice to merge, those beyond the id found by
-    ``depth`` probes. All slices are applied in one plan, so a commit is atomic.
+    side. Only slices out of sync are read again, and only their ids are checked; for an appended
+    tail only the rows beyond the destination's greatest id, for slices to merge those beyond the
+    id found by ``depth`` probes of all of them at once. Destination columns that the source lacks
+    are not compared and keep their values. ``stored`` names the destination's own columns, if
+    ``dst`` has others (pseudo-columns). All slices are applied in one change, so a commit is atomic.
     """
     parts, ids = list(parts), list(ids)
-    spark = src.sparkSession
-    schema = dst.schema
-    if check and not force:
-        check_ids(dst, ids, "destination")
-        check_ids(src, ids, "source")
+    own = [c for c in dst.columns if stored is None or c in stored]
+    lower = {c.lower() for c in src.columns}
+    shared = [c for c in dst.columns if c.lower() in lower or c in parts]
     a, b, slices = src, dst, parts
     if force:
         total = stage(
@@ -111,6 +136,9 @@ def synchronise(
     elif new_id_only:
         if len(ids) != 1:
             raise ValueError("new ids need exactly one id column")
+        if check:
+            check_ids(dst, ids, "destination")
+            check_ids(src, ids, "source")
         fresh = narrow.new_ids(src, dst, ids[0], parts)
         sig = fresh.groupBy(*parts).agg(F.count(F.lit(1)).alias("src_cnt")) if parts else fresh.agg(
             F.count(F.lit(1)).alias("src_cnt")
@@ -127,36 +155,43 @@ def synchronise(
         if chunk_size:
             if len(ids) != 1:
                 raise ValueError("chunks need exactly one id column")
-            bounds = stage(chunking.boundaries(src, ids[0], chunk_size), "chunks")
+            bounds = chunking.boundaries(src, ids[0], chunk_size)
             a, b = (chunking.assign(x, bounds, ids[0], "_chunk_no") for x in (src, dst))
             slices = [*parts, "_chunk_no"]
-        keep = plan_columns(dst, ids, slices, columns, count_only, precision, date_format)
-        plan = stage(diff.diff(a, b, ids, slices, columns, count_only, precision, date_format), "plan")
+        compared = b.select(*shared, *[c for c in slices if c not in shared])
+        rule = (columns, count_only, precision, date_format)
+        if chunk_size and append_only:
+            plan = stage(diff.fast_diff(a, compared, ids, slices, *rule, exact=exact), "plan")
+        else:
+            plan = stage(diff.diff(a, compared, ids, slices, *rule, exact=exact), "plan")
         if depth and len(ids) == 1:
-            plan = _narrowed(spark, plan, a, b, ids[0], slices, keep, depth)
-    moving = plan.filter(F.col("method").isin(*MOVING))
+            keep = plan_columns(compared, ids, slices, *rule, exact)
+            plan = _narrowed(plan, a, compared, ids[0], slices, keep, depth)
     methods = {r["method"]: r["n"] for r in plan.groupBy("method").agg(F.count(F.lit(1)).alias("n")).collect()}
+    moving = plan.filter(F.col("method").isin(*MOVING))
     moved = _plan_join(a, moving, slices, "method", "in_sync_id")
     if len(ids) == 1:
         moved = moved.filter(F.col("in_sync_id").isNull() | (F.col(ids[0]) > F.col("in_sync_id")))
-    names = [f.name for f in schema]
-    moved = moved.select(*[c for c in moved.columns if c.lower() in {n.lower() for n in names}], "method")
-    staged = stage(_aligned(moved, schema), "moved")
+    names = {n.lower() for n in own}
+    moved = moved.select(*[c for c in moved.columns if c.lower() in names], "method")
+    staged = stage(_fitted(moved, dst.select(*own).schema), "moved", writers)
+    if check and not force and set(methods) - {diff.IN_SYNC, diff.REMOVED}:
+        check_ids(staged, ids, "source")
+        check_ids(_plan_join(b, moving, slices, "method").select(*b.columns), ids, "destination")
     gone = plan.filter(F.col("method").isin(*diff.DELETES, *([] if keep_removed else [diff.REMOVED])))
-    if append_update_only or (force and append_only):
-        gone = gone.limit(0)
-    result = _applied(staged, b, gone, slices, ids, names, append_only, append_update_only)
+    if append_update_only or (force and append_only) or not set(methods) & {*diff.DELETES, diff.REMOVED}:
+        gone = None
+    change = _change(staged, dst, b, gone, slices, ids, own, append_only, append_update_only)
     return SyncResult(
-        result.select(*names), plan, staged, not (set(methods) - {diff.IN_SYNC}), methods=methods,
+        change.result(dst.select(*own)), plan, staged, change, not (set(methods) - {diff.IN_SYNC}), methods=methods,
         **_counts(plan),
     )
 
 
-def _aligned(moved: DataFrame, schema) -> DataFrame:
-    return moved.select(
-        *[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in schema if f.name.lower() in {c.lower() for c in moved.columns}],
-        "method",
-    )
+def _fitted(moved: DataFrame, schema) -> DataFrame:
+    """``moved`` in the destination's types, and its method; a value that does not fit is an error."""
+    have = {f.name.lower(): f for f in moved.schema}
+    return moved.select(*[fitted(have[f.name.lower()], f).alias(f.name) for f in schema if f.name.lower() in have], "method")
 
 
 def _counts(plan: DataFrame) -> dict:
@@ -167,65 +202,81 @@ def _counts(plan: DataFrame) -> dict:
     return {"source": int(row["s"]), "dest": int(row["d"])}
 
 
-def _narrowed(spark, plan, a, b, id_, slices, columns, depth) -> DataFrame:
-    """The plan with a later start for its slices to merge; one bisection for each."""
-    rows = plan.filter(F.col("method") == diff.MERGE).collect()
-    found = []
-    for r in rows:
-        if r["src_min"] is None or r["dst_max"] is None:
-            continue
-        where = [F.col(f"`{p}`").eqNullSafe(F.lit(r[p])) for p in slices]
-        sa, sb = a, b
-        for w in where:
-            sa, sb = sa.filter(w), sb.filter(w)
-        low, high = min(r["src_min"], r["dst_min"]), max(r["src_max"], r["dst_max"])
-        c = narrow.max_in_sync(sa, sb, id_, columns, low, high, depth)
-        if c is not None:
-            found.append((*[r[p] for p in slices], c, sa.filter(F.col(id_) > c).count(), sb.filter(F.col(id_) > c).count()))
-    if not found:
+def _narrowed(plan, a, b, id_, slices, columns, depth) -> DataFrame:
+    """The plan with a later start for its slices to merge: one bisection of them all."""
+    spans = plan.filter((F.col("method") == diff.MERGE) & F.col("src_min").isNotNull() & F.col("dst_max").isNotNull()).select(
+        *[F.col(f"`{p}`") for p in slices], F.least("src_min", "dst_min").alias("low"), F.greatest("src_max", "dst_max").alias("high")
+    )
+    if not spans.take(1):
         return plan
-    fields = [f"`{p}` {plan.schema[p].dataType.simpleString()}" for p in slices]
-    extra = spark.createDataFrame(found, ", ".join([*fields, "_at long, _s long, _d long"]))
-    extra = extra.withColumnsRenamed({p: f"_n_{p}" for p in slices})
-    if slices:
-        joined = plan.join(extra, _on(slices, "_n_"), "left")
-    else:
-        joined = plan.withColumn("_one", F.lit(1)).join(extra.withColumn("_one", F.lit(1)), "_one", "left")
+    found = narrow.bisect(a, b, id_, columns, stage(spans, "spans"), slices, depth).filter(F.col("at").isNotNull())
+    found = stage(found, "found").withColumnsRenamed({p: f"_n_{p}" for p in slices}).withColumnRenamed("at", "_at")
+    keys = [f"_n_{p}" for p in slices]
+
+    def beyond(df: DataFrame, name: str) -> DataFrame:
+        on = _on(slices, "_n_") if slices else F.lit(True)
+        rows = df.select(id_, *[c for c in slices if c != id_]).join(F.broadcast(found) if not slices else found, on)
+        rows = rows.filter(F.col(id_) > F.col("_at"))
+        made = F.count(F.lit(1)).alias(name)
+        return rows.groupBy(*keys).agg(made) if slices else rows.agg(made)
+
+    def joined(left: DataFrame, right: DataFrame) -> DataFrame:
+        if not slices:
+            return left.withColumn("_one", F.lit(1)).join(right.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
+        right = right.withColumnsRenamed({k: f"_r{k}" for k in keys})
+        on = [F.col(f"`{p}`").eqNullSafe(F.col(f"_r_n_{p}")) for p in slices]
+        return left.join(right, on, "left").drop(*[f"_r{k}" for k in keys])
+
+    out = joined(joined(joined(plan, found), beyond(a, "_s")), beyond(b, "_d"))
+    late = F.col("_at").isNotNull()
     return stage(
-        joined.withColumns(
+        out.withColumns(
             {
                 "in_sync_id": F.coalesce("_at", "in_sync_id"),
-                "src_cnt": F.coalesce("_s", "src_cnt"),
-                "dst_cnt": F.coalesce("_d", "dst_cnt"),
+                "src_cnt": F.when(late, F.coalesce("_s", F.lit(0))).otherwise(F.col("src_cnt")),
+                "dst_cnt": F.when(late, F.coalesce("_d", F.lit(0))).otherwise(F.col("dst_cnt")),
             }
         ).select(*plan.columns),
         "plan",
     )
 
 
-def _applied(staged, dst, gone, slices, ids, names, append_only, append_update_only) -> DataFrame:
-    """Destination rows that stay, plus the staged rows, each once."""
-    kept = dst
-    if gone.take(1):
-        g = gone.select(*[F.col(f"`{s}`").alias(f"_g_{s}") for s in slices])
-        if slices:
-            # under append-only, rows whose ids are staged stay as they are
-            drop = dst.join(F.broadcast(g) if gone.count() <= diff.SMALL_PLAN else g, _on(slices, "_g_"), "left_semi")
-            kept = dst.join(F.broadcast(g) if gone.count() <= diff.SMALL_PLAN else g, _on(slices, "_g_"), "left_anti")
-        else:
-            drop, kept = dst, dst.limit(0)
-        if append_only and ids:
-            kept = kept.unionByName(drop.join(staged.select(*ids), list(ids), "left_semi").select(*dst.columns))
-    kept = kept.select(*names)
+def _change(staged, dst, sliced, gone, slices, ids, own, append_only, append_update_only) -> Change:
+    """The rows that go and those that come. Rows with an id go by it, others by their slice."""
+    cols = [c for c in staged.columns if c != "method"]
+    if not ids:
+        add = staged.select(*cols)
+        if gone is None or append_update_only:
+            return Change(add=add)
+        if slices and set(slices) <= set(own):
+            return Change([stage(gone.select(*slices), "gone")], add)
+        kept = merge.without(sliced, stage(gone.select(*slices), "gone")) if slices else sliced.limit(0)
+        return Change(whole=merge.append(kept.select(*own), add))
+    extra = [c for c in own if c not in cols]
+
+    def complete(t: DataFrame) -> DataFrame:
+        """With the destination's values of the columns that the source lacks."""
+        return t.join(dst.select(*ids, *extra), ids, "left").select(*own) if extra else t
+
     if append_update_only:
-        return merge.upsert(kept, staged.select(*names), ids)
+        add = merge.dedupe_max(staged.select(*cols), ids)
+        return Change([staged.select(*ids)], complete(add))
+    drops, kept = [], dst
+    if gone is not None:
+        inside = _plan_join(sliced, gone, slices, "method") if slices else sliced
+        old = inside.select(*ids)
+        if append_only:  # rows whose ids are staged stay as they are
+            old = merge.without(old, staged.select(*ids))
+        drops.append(stage(old, "gone"))
+        kept = merge.without(dst, drops[0])
     if append_only:
-        return merge.insert_new(kept, staged.select(*names), ids)
-    if not ids:
-        return merge.append(kept, staged.select(*names))
-    new = staged.filter(F.col("method") == diff.INSERT).select(*names)
-    rest = staged.filter(F.col("method") != diff.INSERT).select(*names)
-    return merge.insert_new(merge.upsert(kept, rest, ids), new, ids)
+        return Change(drops, merge.transient_delete(merge.dedupe_max(staged.select(*cols), ids), kept, ids))
+    new = staged.filter(F.col("method") == diff.INSERT).select(*cols)
+    rest = staged.filter(F.col("method") != diff.INSERT).select(*cols)
+    drops.append(rest.select(*ids))
+    fresh = merge.transient_delete(merge.dedupe_max(new, ids), merge.without(kept, drops[-1]), ids)
+    add = complete(merge.dedupe_max(rest, ids)).unionByName(fresh, allowMissingColumns=True)
+    return Change(drops, add)
 
 
 @contextmanager
@@ -248,10 +299,12 @@ def deadline(spark: SparkSession, seconds: float) -> Iterator[None]:
 class Engine:
     """Runs requests: one running job for each id, asynchronously if asked; keeps a history."""
 
+    TRIES, PAUSE_S = 3, 1.0
+
     def __init__(self, spark: SparkSession, history: int = 10, threads: int = 4):
         self.spark, self.jobs, self.history = spark, Jobs(), History(history)
         self.pool = ThreadPoolExecutor(threads)
-        self.locks: dict[str, threading.Lock] = defaultdict(threading.Lock)
+        self.locks = Locks()
         self.running: dict[str, Future] = {}
 
     def sync(self, request: SyncRequest) -> SyncResponse:
@@ -259,24 +312,16 @@ class Engine:
         request.validate()
         job = self.jobs.start(request.request_id())
         if request.async_:
+            for k in [k for k, f in self.running.items() if f.done() and k != job.id]:
+                del self.running[k]
             self.running[job.id] = self.pool.submit(self._run, request, job)
             return SyncResponse(job.id, "running")
         return self._run(request, job)
 
     def _run(self, request: SyncRequest, job) -> SyncResponse:
         response = SyncResponse(job.id, "ok")
-        tries = max(1, request.transfer.max_retries + 1)
         try:
-            for k in range(tries):
-                try:
-                    self._once(request, response)
-                    break
-                except ValueError:
-                    raise
-                except Exception:
-                    if k + 1 == tries:
-                        raise
-                    time.sleep(1)
+            self._tried(lambda: self._once(request, response), request.transfer.max_retries + 1)
         except Exception as error:  # noqa: BLE001 - reported to the caller
             response.status, response.error = "error", str(error)
         finally:
@@ -284,75 +329,183 @@ class Engine:
             self.history.add(job, response)
         return response
 
+    def _tried(self, once, tries: int):
+        """``once()``, again after a pause if it fails; requests that are wrong fail at once."""
+        for k in range(max(1, tries)):
+            try:
+                return once()
+            except ValueError:
+                raise
+            except Exception:
+                if k + 1 >= tries:
+                    raise
+                time.sleep(self.PAUSE_S)
+
     def _once(self, request: SyncRequest, response: SyncResponse) -> None:
-        s = request.strategy
-        src = load(self.spark, request.source)
-        target = SnapshotTable(self.spark, request.dest.path) if request.dest.path else None
-        lock = self.locks[request.dest.path or uuid.uuid4().hex]
         if request.lock:
-            lock.acquire()
-        try:
-            version = target.version() if target else None
-            dst = target.read() if target and version is not None else load(self.spark, request.dest)
-            sides = []
-            for resource, df in ((request.source, src), (request.dest, dst)):
-                df = with_pseudo(df, {k: e for k, e in resource.pseudo.items() if k not in df.columns})
-                where = conjunction(resource.criteria)
-                sides.append((df, df.filter(where) if where is not None else df, where))
-            (_, src, _), (whole, dst, where) = sides
-            others = None
-            if request.source.partition_sql:
-                asked = stage(partition_values(self.spark, request.source, src, s.partition.columns), "asked")
-                if request.dest.partition_sql:
-                    own = partition_values(self.spark, request.dest, dst, s.partition.columns)
-                    asked = stage(asked.union(own).distinct(), "asked")
-                src = src.join(asked, s.partition.columns, "left_semi").select(*src.columns)
-                others = dst.join(asked, s.partition.columns, "left_anti")
-                dst = dst.join(asked, s.partition.columns, "left_semi").select(*dst.columns)
-            if s.columns:
-                names = explicit(dst, [*s.columns, *s.ids, *s.partition.columns])
-                src, dst = (sync_projection(x, s.ids, names) for x in (src, dst))
-            parts = s.partition.columns
-            if parts and not s.force and not src.select(*parts).limit(1).count() and not dst.select(*parts).limit(1).count():
-                raise ValueError("no partition on either side")
-            made = synchronise(
-                src, dst.select(*[c for c in dst.columns if c.lower() in {x.lower() for x in src.columns}]), s.ids, parts,
-                columns=[DiffColumn(c["func"], c["name"], c.get("alias", ""), c.get("default"), s.diff.precision, s.diff.date_format) for c in s.diff.columns] or None,
-                count_only=s.diff.count_only, precision=s.diff.precision, date_format=s.diff.date_format, depth=s.diff.depth,
-                new_id_only=s.diff.new_id_only, chunk_size=s.chunk.size, append_only=s.append_only,
-                append_update_only=s.append_update_only, force=s.force, keep_removed=not parts,
-            )
-            response.source, response.dest, response.methods = made.source, made.dest, made.methods
-            response.transferred = made.moved.count()
-            if made.in_sync:
-                return
-            if s.direct_append and set(made.methods) <= {diff.IN_SYNC, diff.INSERT}:
-                made.result = merge.append(dst, made.moved.drop("method"))  # no deduplication, no look at ids
-            real = [c for c in whole.columns if c not in request.dest.pseudo]
-            result = made.result
-            if s.columns:
-                result = merge.upsert_columns(whole.select(*real), made.moved.drop("method").select(*[c for c in made.moved.columns if c in real]), s.ids)
-            else:
-                result = result.select(*real)
-                if where is not None:  # rows outside the criteria are not the sync's to touch
-                    result = result.unionByName(whole.filter(~F.coalesce(where, F.lit(False))).select(*real))
-                if others is not None:  # nor are partitions that were not asked for
-                    result = result.unionByName(others.select(*real))
-            if target:
-                with deadline(self.spark, request.dml_timeout):
-                    target.commit(result, expect=version)
-            else:
-                from deltaloom.sources.loaders import save
+            with self.locks.held(request.dest.path or request.dest.table):
+                self._locked(request, response)
+        else:
+            self._locked(request, response)
 
-                save(result, request.dest)
-        finally:
-            if request.lock:
-                lock.release()
+    def _locked(self, request: SyncRequest, response: SyncResponse) -> None:
+        s = request.strategy
+        sides = Sides(self.spark, request)
+        parts = s.partition.columns
+        if parts and not s.force and not sides.src.select(*parts).limit(1).count() and not sides.dst.select(*parts).limit(1).count():
+            raise ValueError("no partition on either side")
+        response.source = response.dest = response.transferred = 0
+        response.methods = {}
+        one_by_one = s.partition.sync_mode == "individual" and parts or s.chunk.sync_mode == "individual" and s.chunk.size
+        if not one_by_one or s.force:
+            self._slice(request, sides, response, None)
+            return
+        for where in self._slices(request, sides):
+            self._tried(lambda where=where: self._slice(request, Sides(self.spark, request, pinned=sides.pinned), response, where), self.TRIES)
+
+    def _slices(self, request: SyncRequest, sides: Sides) -> list[Column]:
+        """A predicate for each slice out of sync, as it is now: partitions, or chunks if asked for one by one."""
+        s = request.strategy
+        parts, a, b = list(s.partition.columns), sides.src, sides.dst
+        bounds = None
+        if s.chunk.size and s.chunk.sync_mode == "individual":
+            bounds = chunking.boundaries(a, s.ids[0], s.chunk.size)
+            a, b = (chunking.assign(x, bounds, s.ids[0], "_chunk_no") for x in (a, b))
+            parts = [*parts, "_chunk_no"]
+        shared = [c for c in b.columns if c.lower() in {x.lower() for x in a.columns}]
+        plan = diff.diff(a, b.select(*shared), s.ids, parts, custom(s.diff), s.diff.count_only, s.diff.precision, s.diff.date_format)
+        rows = plan.filter(F.col("method") != diff.IN_SYNC).select(*parts).limit(diff.SMALL_PLAN + 1).collect()
+        if len(rows) > diff.SMALL_PLAN:
+            raise ValueError(f"more than {diff.SMALL_PLAN} slices to sync one by one: use the batch mode")
+        ranges = {r["chunk"]: (r["lo"], r["hi"]) for r in chunking.with_ranges(bounds).collect()} if bounds is not None else {}
+        out = []
+        for r in sorted(rows, key=str):
+            where = [F.col(f"`{p}`").eqNullSafe(F.lit(r[p])) for p in parts if p != "_chunk_no"]
+            if bounds is not None:
+                low, high = ranges.get(r["_chunk_no"], (None, None))
+                where.append(chunking.id_filter(s.ids[0], None if r["_chunk_no"] == 0 else low, None if high is None else high - 1))
+            out.append(reduce(and_, where, F.lit(True)))
+        return out
+
+    def _slice(self, request: SyncRequest, sides: Sides, response: SyncResponse, where: Column | None) -> None:
+        """Syncs all rows, or those under ``where``, and commits once."""
+        s = request.strategy
+        src, dst, only = sides.src, sides.dst, sides.where
+        if where is not None:
+            src, dst = src.filter(where), dst.filter(where)
+            only = where if only is None else where & only
+        made = synchronise(
+            src, dst, s.ids, s.partition.columns,
+            columns=custom(s.diff), count_only=s.diff.count_only, precision=s.diff.precision, date_format=s.diff.date_format,
+            depth=s.diff.depth, new_id_only=s.diff.new_id_only, chunk_size=s.chunk.size, append_only=s.append_only,
+            append_update_only=s.append_update_only, force=s.force, keep_removed=not s.partition.columns, exact=s.diff.exact,
+            stored=sides.stored, writers=request.transfer.writers,
+        )
+        response.source += made.source
+        response.dest += made.dest
+        for k, n in made.methods.items():
+            response.methods[k] = response.methods.get(k, 0) + n
+        response.transferred += made.moved.count()
+        if made.in_sync:
+            return
+        change = made.change
+        if s.direct_append and set(made.methods) <= {diff.IN_SYNC, diff.INSERT}:
+            change = Change(add=made.moved.drop("method"))  # no deduplication, no look at ids
+        if change.whole is not None and (only is not None or sides.others is not None):
+            rest = sides.whole if sides.others is None else sides.others
+            if only is not None:  # rows outside the criteria are not the sync's to touch
+                rest = sides.whole.filter(~F.coalesce(only, F.lit(False)))
+            change = Change(whole=change.whole.unionByName(rest.select(*change.whole.columns)))
+        elif only is not None and not s.ids and change.drops:
+            # slices are dropped only as far as the criteria go
+            inside = sides.whole.filter(F.coalesce(only, F.lit(False)))
+            rest = sides.whole.filter(~F.coalesce(only, F.lit(False)))
+            change = Change(whole=change.result(inside.select(*sides.stored)).unionByName(rest.select(*sides.stored)))
+        with deadline(self.spark, request.dml_timeout):
+            sides.write(change, request)
 
     def wait(self, job_id: str) -> SyncResponse:
         return self.running.pop(job_id).result()
 
 
+def custom(settings) -> list[DiffColumn] | None:
+    """The request's own signature columns."""
+    return [
+        DiffColumn(c["func"], c["name"], c.get("alias", ""), c.get("default"), settings.precision, settings.date_format)
+        for c in settings.columns
+    ] or None
+
+
+class Locks:
+    """A lock for each name, forgotten when nobody holds or awaits it."""
+
+    def __init__(self):
+        self._guard, self._held = threading.Lock(), {}
+
+    @contextmanager
+    def held(self, name: str) -> Iterator[None]:
+        with self._guard:
+            lock, users = self._held.get(name, (threading.Lock(), 0))
+            self._held[name] = (lock, users + 1)
+        try:
+            with lock:
+                yield
+        finally:
+            with self._guard:
+                lock, users = self._held[name]
+                if users > 1:
+                    self._held[name] = (lock, users - 1)
+                else:
+                    del self._held[name]
+
+
+class Sides:
+    """Both sides of a request as they are now: filtered, with pseudo-columns, and how to write back.
+
+    A source that may change between reads (JDBC, plug-ins) is read once and pinned: signatures,
+    checks and rows then agree. Files and their queries are listed when the frame is made.
+    """
+
+    def __init__(self, spark: SparkSession, request: SyncRequest, pinned: DataFrame | None = None):
+        s, dest = request.strategy, request.dest
+        self.table = SnapshotTable(spark, dest.path) if dest.path else None
+        src = load(spark, request.source) if pinned is None else pinned
+        if pinned is None and moving(request.source):
+            src = stage(src, "source")
+        self.pinned = src
+        self.version = self.table.version() if self.table else None
+        self.whole = self.table.read(self.version) if self.table and self.version is not None else load(spark, dest)
+        self.stored = self.whole.columns
+        frames = []
+        for resource, df in ((request.source, src), (dest, self.whole)):
+            df = with_pseudo(df, {k: e for k, e in resource.pseudo.items() if k not in df.columns})
+            where = conjunction(resource.criteria)
+            frames.append((df.filter(where) if where is not None else df, where))
+        (self.src, _), (self.dst, self.where) = frames
+        self.others = None
+        if request.source.partition_sql:
+            asked = stage(partition_values(spark, request.source, self.src, s.partition.columns), "asked")
+            if dest.partition_sql:
+                own = partition_values(spark, dest, self.dst, s.partition.columns)
+                asked = stage(asked.union(own).distinct(), "asked")
+            self.src = self.src.join(asked, s.partition.columns, "left_semi").select(*self.src.columns)
+            self.others = self.dst.join(asked, s.partition.columns, "left_anti").select(*self.stored)
+            self.dst = self.dst.join(asked, s.partition.columns, "left_semi").select(*self.dst.columns)
+        if s.columns:
+            names = explicit(self.dst, [*s.columns, *s.ids, *s.partition.columns])
+            self.src = sync_projection(self.src, s.ids, [n for n in names if n.lower() in {c.lower() for c in self.src.columns}])
+
+    def write(self, change: Change, request: SyncRequest) -> None:
+        """Commits a change: a snapshot's files, a transaction of a JDBC table, or a catalog table."""
+        if self.table:
+            if self.version is None or change.whole is not None:
+                self.table.commit(change.result(self.whole), expect=self.version)
+            else:
+                self.table.change(change.drops, change.add, self.version)
+        else:
+            write_change(self.whole, change, request.dest, request.transfer)
+
+
 def clone(request: SyncRequest, **changes) -> SyncRequest:
     """A request with changes; every setting is carried over."""
     return replace(request, **changes)

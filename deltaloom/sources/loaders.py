@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from deltaloom.operators.projection import staging_name
+from deltaloom.sources.staging import stage
+
 FILES = ("parquet", "orc", "json", "ndjson", "csv", "text", "xml")
 #: Loaders of further kinds (their connectors are the user's to supply), by format.
 PLUGINS: dict[str, Callable] = {}
@@ -15,13 +19,21 @@ def register(kind: str, loader: Callable) -> None:
     PLUGINS[kind] = loader
 
 
+def moving(resource) -> bool:
+    """Whether two reads of the resource may give different rows."""
+    return resource.format in PLUGINS or resource.format == "jdbc"
+
+
 def load(spark: SparkSession, resource) -> DataFrame:
-    """The rows of a resource: a plugin's, a query's, JDBC's, a file's or a catalog table's."""
+    """The rows of a resource: a plugin's, a query's, JDBC's, a file's or a catalog table's.
+
+    A JDBC read uses ``readers`` connections, by ranges of the column ``split``; a hint is put into
+    its query's text, elsewhere on the frame.
+    """
     if resource.format in PLUGINS:
         df = PLUGINS[resource.format](spark, resource)
     elif resource.format == "jdbc":
-        how = {"query": resource.from_} if resource.from_ else {"dbtable": resource.table}
-        df = spark.read.format("jdbc").options(**{**resource.options, **how}).load()
+        return _load_jdbc(spark, resource)
     elif resource.from_:
         df = spark.sql(resource.from_)
     elif resource.path:
@@ -36,6 +48,21 @@ def load(spark: SparkSession, resource) -> DataFrame:
     return df
 
 
+def _load_jdbc(spark: SparkSession, resource) -> DataFrame:
+    reader = spark.read.format("jdbc").options(**resource.options)
+    inner = f"({resource.from_})" if resource.from_ else resource.table
+    what = f"(SELECT {resource.hint} * FROM {inner} h) q" if resource.hint else f"{inner} q" if resource.from_ else inner
+    if resource.readers > 1 and "partitionColumn" not in resource.options:
+        name = _dialect(spark, resource).quoteIdentifier(resource.split)
+        query = f"SELECT MIN({name}) AS a, MAX({name}) AS b FROM {inner} m"
+        low, high = reader.option("query", query).load().first()
+        if low is not None:
+            reader = spark.read.format("jdbc").options(**resource.options).options(
+                partitionColumn=resource.split, lowerBound=str(low), upperBound=str(high), numPartitions=str(resource.readers)
+            )
+    return reader.option("dbtable", what).load()
+
+
 def partition_values(spark: SparkSession, resource, df: DataFrame, columns: list[str]) -> DataFrame:
     """The partitions to sync: those of the resource's own query, else the distinct ones."""
     if resource.partition_sql:
@@ -59,6 +86,120 @@ def save(df: DataFrame, resource, mode: str = "overwrite", writers: int = 0, bat
         df.write.mode(mode).saveAsTable(resource.table)
 
 
+def write_change(whole: DataFrame, change, resource, transfer) -> None:
+    """Applies a change to a table that Spark cannot write as files: a JDBC table or one of the catalog."""
+    if resource.format == "jdbc":
+        _change_jdbc(whole, change, resource, transfer)
+    else:
+        _change_table(whole, change, resource)
+
+
+def _change_table(whole: DataFrame, change, resource) -> None:
+    """A catalog table: rows to add are appended; else the result is staged, so that nothing is read while
+    it is overwritten, and a write that fails can be repeated from the stage."""
+    if change.whole is None and not change.drops:
+        if change.add is not None:
+            stage(change.add, "add").select(*whole.columns).write.insertInto(resource.table)
+        return
+    stage(change.result(whole), "result").select(*whole.columns).write.insertInto(resource.table, overwrite=True)
+
+
+def _dialect(spark: SparkSession, resource):
+    return spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(resource.options["url"])
+
+
+def connection(spark: SparkSession, resource):
+    """A ``java.sql.Connection`` of the driver process."""
+    jvm = spark._jvm
+    options = {k.lower(): v for k, v in resource.options.items()}
+    if driver := options.get("driver"):
+        jvm.org.apache.spark.sql.execution.datasources.jdbc.DriverRegistry.register(driver)
+    info = jvm.java.util.Properties()
+    for name in ("user", "password"):
+        if name in options:
+            info.setProperty(name, options[name])
+    return jvm.java.sql.DriverManager.getConnection(options["url"], info)
+
+
+def _change_jdbc(whole: DataFrame, change, resource, transfer) -> None:
+    """Rows to add and keys of rows to drop go to tables of their own, by ``transfer.writers`` connections in
+    batches; one transaction then deletes and inserts, so the destination changes whole or not at all."""
+    spark = whole.sparkSession
+    quote = _dialect(spark, resource).quoteIdentifier
+    table, run = resource.table, uuid.uuid4().hex[:8]
+
+    def name(kind: str) -> str:
+        return staging_name(table, {"kind": kind, "run": run}, transfer.suffix, transfer.temp_database)
+
+    steps, made = [], []
+    con = connection(spark, resource)
+    try:
+
+        def put(df: DataFrame, kind: str) -> str:
+            made.append(name(kind))
+            create_like(con, made[-1], table, [quote(c) for c in df.columns])
+            options = resource.options | {"dbtable": made[-1], "batchsize": str(transfer.batch_size)}
+            df = df.repartition(transfer.writers) if transfer.writers else df
+            df.write.format("jdbc").options(**options).mode("append").save()
+            return made[-1]
+
+        if change.whole is not None:
+            steps.append(f"DELETE FROM {table}")
+        add = change.whole if change.whole is not None else change.add
+        for k, keys in enumerate(change.drops if change.whole is None else []):
+            held = put(keys.distinct(), f"d{k}")
+            same = " AND ".join(
+                f"(s.{quote(c)} = {table}.{quote(c)} OR (s.{quote(c)} IS NULL AND {table}.{quote(c)} IS NULL))" for c in keys.columns
+            )
+            steps.append(f"DELETE FROM {table} WHERE EXISTS (SELECT 1 FROM {held} s WHERE {same})")
+        if add is not None:
+            cols = ", ".join(map(quote, add.columns))
+            steps.append(f"INSERT INTO {table} ({cols}) SELECT {cols} FROM {put(add, 'a')}")
+        con.setAutoCommit(False)
+        statement = con.createStatement()
+        try:
+            for sql in steps:
+                statement.executeUpdate(sql)
+            con.commit()
+        except Exception:
+            con.rollback()
+            raise
+        finally:
+            statement.close()
+            con.setAutoCommit(True)
+            for held in made:
+                drop(con, held)
+    finally:
+        con.close()
+
+
+def create_like(con, name: str, table: str, columns: list[str]) -> None:
+    """An empty table with some columns of another, dropped first if there: by a query without rows."""
+    drop(con, name)
+    query = f"SELECT {', '.join(columns)} FROM {table}"
+    failed = None
+    for text in (f"CREATE TABLE {name} AS {query} WHERE 1 = 0", f"CREATE TABLE {name} AS {query} WITH NO DATA"):
+        statement = con.createStatement()
+        try:
+            statement.executeUpdate(text)
+            return
+        except Exception as error:  # noqa: BLE001 - another vendor's spelling
+            failed = error
+        finally:
+            statement.close()
+    raise failed
+
+
+def drop(con, name: str) -> None:
+    statement = con.createStatement()
+    try:
+        statement.executeUpdate(f"DROP TABLE {name}")
+    except Exception:  # noqa: BLE001, S110 - it may not be there
+        pass
+    finally:
+        statement.close()
+
+
 def column_names(spark: SparkSession, table: str) -> list[tuple[str, str]]:
     return [(c.name, c.dataType) for c in spark.catalog.listColumns(table)]
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from deltaloom.functions.compare import fit
 from deltaloom.operators import merge
 from deltaloom.sources.store import SnapshotTable
 
@@ -31,8 +32,11 @@ def upsert_stream(
                 table.commit(merge.dedupe_max(batch, ids))
             elif batch.take(1):
                 old = table.read(version)
-                new = merge.insert_new(old, batch, ids) if append_only else merge.upsert(old, batch, ids)
-                table.commit(new, expect=version)
+                rows = fit(merge.dedupe_max(batch, ids), old.schema)
+                if append_only:
+                    table.change([], merge.transient_delete(rows, old, ids), version)
+                else:
+                    table.change([rows.select(*ids)], rows, version)
         finally:
             batch.unpersist()
 
@@ -53,6 +57,6 @@ def sync_new_ids(spark: SparkSession, source_path: str, schema, table: SnapshotT
         top = old.agg(F.max(id_)).first()[0]
         fresh = batch if top is None else batch.filter(F.col(id_) > top)
         if fresh.take(1):
-            table.commit(merge.insert_new(old, fresh, [id_]), expect=version)
+            table.change([], fit(merge.dedupe_max(fresh, [id_]), old.schema), version)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
