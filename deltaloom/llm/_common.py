@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
 import uuid
@@ -76,12 +75,6 @@ def discard(df: DataFrame) -> None:
     fs.delete(where, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files that no live plan needs, before the next large shuffle."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def broadcast_if_small(df: DataFrame, rows: int = 20_000) -> DataFrame:
     """``df``, which must be cheap to count, marked for broadcast if it has few rows.
 

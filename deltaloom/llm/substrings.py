@@ -43,7 +43,6 @@ from deltaloom.llm._common import (
     inside,
     materialise,
     narrow,
-    release,
     single_spaced,
     sliding_min,
     table,
@@ -55,9 +54,9 @@ TRIPLE = 3
 #: Share of a sample's windows above which a triple is hot, and the bytes of input sampled.
 HOT = 1 / 2000
 SAMPLE = 16 << 20
-#: Bytes of input for each bucket, and for each partition of buckets.
+#: Bytes of input for each bucket, and partitions at most: beyond that a partition holds many buckets.
 BUCKET = 2 << 20
-PARTITION = 32 << 20
+PARTITIONS = 20_000
 #: Bytes of recurring super-k-mers and number of hashes that a task remembers.
 KEPT = 8 << 20
 SEEN = 1 << 21
@@ -189,7 +188,17 @@ class Recurring:
         return out
 
 
-def _split(hot: np.ndarray, buckets: int):
+def labels(spark: SparkSession, tasks: int) -> np.ndarray:
+    """For each of ``tasks`` partitions a number that Spark's hash sends there, so that buckets are dealt
+    out evenly and not by chance."""
+    tried = spark.range(20 * tasks).select("id", F.pmod(F.hash("id"), F.lit(tasks)).alias("p"))
+    out = np.arange(tasks, dtype=np.int64)
+    for r in tried.groupBy("p").agg(F.min("id").alias("id")).collect():  # one row for each partition
+        out[r["p"]] = r["id"]
+    return out
+
+
+def _split(hot: np.ndarray, buckets: int, label: np.ndarray):
     """Texts in, one compressed block of super-k-mers for each slice and bucket out."""
 
     def run(batches):
@@ -234,9 +243,10 @@ def _split(hot: np.ndarray, buckets: int):
                 ]
                 head = b"".join(p if isinstance(p, bytes) else p.tobytes() for p in parts)
                 blocks.append(pack.compress(head + body))
+            found = bucket[order[cuts[:-1]]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket[order[cuts[:-1]]]), pa.array(blocks, pa.binary())],
-                ["bucket", "block"],
+                [pa.array(label[found % len(label)]), pa.array(found), pa.array(blocks, pa.binary())],
+                ["label", "bucket", "block"],
             )
 
     return run
@@ -367,21 +377,19 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = narrow(docs, "doc_id", "text")
     hot = hot_triples(docs)
-    buckets = max(32, input_bytes(docs) // BUCKET)
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(docs) // PARTITION)
-    blocks = docs.mapInArrow(_split(hot, int(buckets)), "bucket long, block binary")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(PARTITIONS, input_bytes(docs) // BUCKET))
+    buckets = max(tasks, input_bytes(docs) // BUCKET)
+    blocks = docs.mapInArrow(_split(hot, buckets, labels(spark, tasks)), "label long, bucket long, block binary")
     spans = (
-        blocks.repartition(int(tasks), "bucket")
+        blocks.repartition(tasks, "label")
+        .select("bucket", "block")
         .sortWithinPartitions("bucket")
         .mapInArrow(_bucket_spans, "doc_id long, tkey long, spans binary")
     )
     # a text's spans: one packed row at most from each bucket its windows went to
-    found = materialise(
+    return materialise(
         spans.groupBy("doc_id", "tkey").agg(F.collect_list("spans").alias("spans")), "spans"
     )
-    del blocks, spans
-    release(spark)
-    return found
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:

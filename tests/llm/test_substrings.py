@@ -97,12 +97,12 @@ def test_what_recurs_leaves_a_task_about_twice():
 
     own, S.text_slices = S.text_slices, slices
     try:
-        blocks = [b for out in S._split(np.zeros(0, np.uint64), 4)(batches) for b in out.column(1).to_pylist()]
+        blocks = [b for out in S._split(np.zeros(0, np.uint64), 4, np.arange(4))(batches) for b in out.column(2).to_pylist()]
     finally:
         S.text_slices = own
     copies = sum(S._open(b)[1].count(b"p30 p31") for b in blocks)
-    first = [b for b in S._split(np.zeros(0, np.uint64), 4)(batches[:1])]
-    once = sum(S._open(b)[1].count(b"p30 p31") for out in first for b in out.column(1).to_pylist())
+    first = [b for b in S._split(np.zeros(0, np.uint64), 4, np.arange(4))(batches[:1])]
+    once = sum(S._open(b)[1].count(b"p30 p31") for out in first for b in out.column(2).to_pylist())
     assert once and copies <= 2 * once
     found = S.repeated_windows(blocks)  # buckets need not be apart for the verdict
     docs = set(found.column(0).to_pylist())
@@ -115,3 +115,11 @@ def test_earlier_starts_in_later_slices_are_kept(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     got = {r.doc_id: r.n_removed for r in S.remove_repeats(docs).collect()}
     assert [d for d, n in got.items() if n == 0] == [min(got)] and {n for d, n in got.items() if d != min(got)} == {30}
+
+
+def test_labels_reach_every_partition(spark):
+    from pyspark.sql import functions as F
+
+    for n in (1, 7, 64):
+        df = spark.createDataFrame([(int(x),) for x in S.labels(spark, n)], "label long")
+        assert df.repartition(n, "label").select(F.spark_partition_id().alias("p")).distinct().count() == n
