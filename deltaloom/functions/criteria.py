@@ -13,6 +13,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BATCH_SIZE = 512
+#: Pieces of a TO_CHAR layout and of Spark's.
+_LAYOUT = {
+    "YYYY": "yyyy", "YY": "yy", "MM": "MM", "MON": "MMM", "DD": "dd", "HH24": "HH", "HH12": "hh", "HH": "hh",
+    "MI": "mm", "SS": "ss", "DDD": "DDD", "AM": "a", "PM": "a",
+}
 _RAW = re.compile(r"[<>]| null\b", re.I)
 _SAFE = re.compile(
     r"""^\s*(?:(?P<op><=|>=|<>|<|>)\s*(?P<value>-?\d+(?:\.\d+)?|'(?:[^']|'')*')|is\s+(?P<no>not\s+)?null)\s*$""",
@@ -123,3 +128,39 @@ def batches_by(plan: Iterable[tuple[str, Mapping]], size: int = BATCH_SIZE) -> d
     for method, one in plan:
         by[method].append(one)
     return {method: batches(some, size) for method, some in by.items()}
+
+
+def layout(text: str) -> str:
+    """A TO_CHAR layout (YYYY-MM-DD HH24:MI:SS) as one of Spark's; quoted text and punctuation stay."""
+    def one(m: re.Match) -> str:
+        return m[0].replace('"', "'") if m[0][0] == '"' else _LAYOUT[m[0].upper()]
+
+    names = "|".join(sorted(_LAYOUT, key=len, reverse=True))
+    return re.sub(rf'"[^"]*"|{names}', one, text, flags=re.I)
+
+
+_CALLS = (
+    (re.compile(r"\bto_char\s*\(\s*([^(),]+?)\s*,\s*'([^']*)'\s*\)", re.I), lambda m: f"date_format({m[1]}, '{layout(m[2])}')"),
+    (
+        re.compile(
+            r"\bround\s*\(\s*\(\s*cast\s*\(\s*([^()]+?)\s+as\s+date\s*\)\s*-\s*to_date\s*\(\s*'(?:1970-01-01|01-01-1970|19700101)'\s*,\s*'[^']*'\s*\)\s*\)"
+            r"\s*\*\s*86400\s*\)",
+            re.I,
+        ),
+        lambda m: f"unix_seconds(cast({m[1]} as timestamp))",
+    ),
+    (re.compile(r"\bunix_timestamp\s*\(\s*\)", re.I), lambda m: "unix_timestamp(current_timestamp())"),
+    (re.compile(r"\bsysdate\b(?:\s*\(\s*\))?", re.I), lambda m: "current_timestamp()"),
+    (re.compile(r"current_timestamp\(\)\s*-\s*(\d+)\b(?!\s*(?:day|hour|min|sec))", re.I), lambda m: f"current_timestamp() - interval {m[1]} days"),
+    (re.compile(r"\binterval\s+(\d+)\s+(day|hour|minute|second|month|year)s?\b", re.I), lambda m: f"interval {m[1]} {m[2]}"),
+)
+
+
+def translated(expression: str) -> str:
+    """Scalars of other databases as Spark's: TO_CHAR of a time, seconds since 1970 from days, SYSDATE - n.
+
+    DATE, DATE_FORMAT with Spark's layouts, casts by ``::``, UNIX_SECONDS, NOW and COALESCE are Spark's own.
+    """
+    for pattern, made in _CALLS:
+        expression = pattern.sub(made, expression)
+    return expression

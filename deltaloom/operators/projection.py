@@ -8,6 +8,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from deltaloom.functions.criteria import translated
+
 
 def explicit(df: DataFrame, columns: Sequence[str] | None) -> list[str]:
     """Columns of ``df`` that are named, whatever their case, in the table's order."""
@@ -21,7 +23,7 @@ def with_pseudo(df: DataFrame, pseudo: Mapping[str, str] | None) -> DataFrame:
     """``df`` with named expressions; columns in them may be written with the alias ``t.``"""
     if not pseudo:
         return df
-    return df.alias("t").select("t.*", *[F.expr(e).alias(n) for n, e in pseudo.items()])
+    return df.alias("t").select("t.*", *[F.expr(translated(e)).alias(n) for n, e in pseudo.items()])
 
 
 def sync_projection(
@@ -33,7 +35,7 @@ def sync_projection(
 
     def one(c: str):
         e = exprs.get(c.lower())
-        return F.expr(e).alias(c) if e else F.col(f"t.`{c}`").alias(c)
+        return F.expr(translated(e)).alias(c) if e else F.col(f"t.`{c}`").alias(c)
 
     return df.alias("t").select(*[one(c) for c in [*ids, *names]])
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from datetime import date, timedelta
 from functools import reduce
 from operator import and_
 
@@ -46,3 +47,31 @@ def compare_schemas(src: DataFrame, dst: DataFrame) -> DataFrame:
         if problem:
             rows.append((name, problem, s, d))
     return src.sparkSession.createDataFrame(rows, "name string, problem string, src_type string, dst_type string")
+
+
+def days(first: date, last: date, step: int = 1) -> Iterator[tuple[date, date]]:
+    """(from, to) of consecutive spans of ``step`` days from ``first`` to ``last``, both included."""
+    if step < 1:
+        raise ValueError("a span has at least one day")
+    while first <= last:
+        upto = min(last, first + timedelta(days=step - 1))
+        yield first, upto
+        first = upto + timedelta(days=1)
+
+
+def over_dates(sync: Callable, make: Callable, first: date, last: date, step: int = 1) -> list:
+    """Runs ``sync`` of the request that ``make`` gives for each span of days; stops at the first failure."""
+    out = []
+    for a, b in days(first, last, step):
+        out.append(sync(make(a, b)))
+        if out[-1].status == "error":
+            break
+    return out
+
+
+def partition_values_agree(src: DataFrame, dst: DataFrame, parts: Sequence[str], index: Sequence[str]) -> DataFrame:
+    """Partitions of both sides that are matched by ``index`` though their values of ``parts`` differ."""
+    a = src.select(*index, *[F.col(p).alias(f"src_{p}") for p in parts if p not in index]).distinct()
+    b = dst.select(*index, *[F.col(p).alias(f"dst_{p}") for p in parts if p not in index]).distinct()
+    differ = [~F.col(f"src_{p}").eqNullSafe(F.col(f"dst_{p}")) for p in parts if p not in index]
+    return a.join(b, list(index)).filter(reduce(lambda x, y: x | y, differ, F.lit(False)))

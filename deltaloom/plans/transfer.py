@@ -5,13 +5,16 @@ from __future__ import annotations
 import threading
 import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Observation, SparkSession
+from pyspark.sql import functions as F
 
-from deltaloom.contract import Resource
+from deltaloom.contract import Resource, Transfer
 from deltaloom.operators.projection import adapt_case, omit_empty
-from deltaloom.sources.loaders import load, save
+from deltaloom.sources.loaders import load, save, write_change
+from deltaloom.sources.staging import stage, unstage
 
 
 @dataclass
@@ -30,8 +33,9 @@ class Transfers:
 
     KEPT, KEPT_S = 10, 60
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, threads: int = 2):
         self.spark, self._tasks, self._lock = spark, {}, threading.Lock()
+        self._pool = ThreadPoolExecutor(threads)
 
     def run(
         self,
@@ -43,29 +47,68 @@ class Transfers:
         retries: int = 2,
         omit: bool = False,
         like: list[str] | None = None,
+        async_: bool = False,
     ) -> Task:
         """Copies ``source`` to ``dest``: ``writers`` partitions write in parallel, in batches.
 
         ``omit`` stores zeros and empty strings as null; ``like`` gives names whose case to adapt.
+        With ``async_`` the task is returned at once, to be looked at again by its id. The source is
+        read once; what a failed attempt wrote is not there when the next begins.
         """
         if not (dest.table or dest.path):
             raise ValueError("a transfer needs a destination table or path")
+        if mode not in ("append", "overwrite"):
+            raise ValueError("a transfer appends or overwrites")
         task = Task(uuid.uuid4().hex)
         with self._lock:
             self._evict()
             self._tasks[task.id] = task
+        work = (task, source, dest, mode, writers, batch, retries, omit, like or [])
+        if async_:
+            self._pool.submit(self._attempts, *work)
+        else:
+            self._attempts(*work)
+        return task
+
+    def _attempts(self, task, source, dest, mode, writers, batch, retries, omit, like) -> None:
         for k in range(retries + 1):
             task.attempts = k + 1
             try:
-                df = load(self.spark, source)
-                df = adapt_case(omit_empty(df) if omit else df, like or [])
-                save(df, dest, mode, writers, batch)
-                task.rows, task.status = load(self.spark, source).count(), "done"
+                task.rows, task.status = self._copy(source, dest, mode, writers, batch, omit, like), "done"
+                task.error = ""
                 break
             except Exception as error:  # noqa: BLE001 - kept with the task
-                task.error, task.status = str(error), "error"
+                task.error = str(error)
+                if k == retries:
+                    task.status = "error"
         task.ended = time.time()
-        return task
+
+    def _copy(self, source, dest, mode, writers, batch, omit, like) -> int:
+        """The number of rows copied. Rows are counted as they pass, not read again.
+
+        An append to a JDBC table goes through a table of its own and one transaction, since its
+        partitions commit one by one; files appear only when all are written.
+        """
+        df = load(self.spark, source)
+        df = adapt_case(omit_empty(df) if omit else df, like)
+        seen = Observation()
+        counted = df.observe(seen, F.count(F.lit(1)).alias("n"))
+        if dest.format == "jdbc" and mode == "append" and self._exists(dest):
+            from deltaloom.plans.engine import Change
+
+            held = stage(counted, "transfer")
+            write_change(load(self.spark, dest), Change(add=held), dest, Transfer(writers=writers, batch_size=batch))
+            unstage(held)
+        else:
+            save(counted, dest, mode, writers, batch)
+        return int(seen.get["n"])
+
+    def _exists(self, dest: Resource) -> bool:
+        try:
+            load(self.spark, dest)
+        except Exception:  # noqa: BLE001 - the driver's own error for a missing table
+            return False
+        return True
 
     def get(self, id_: str) -> Task:
         return self._tasks[id_]

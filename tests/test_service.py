@@ -71,3 +71,88 @@ def test_asked_partitions_and_direct_append(spark, api):
     assert r.status == "ok", r.error
     got = sorted(x.id for x in SnapshotTable(spark, f"{path}/dst").read().collect())
     assert got == sorted([*range(1, 11), *[i for i in range(11, 21) if i % 4 < 2]])
+
+
+def test_transfers_in_the_background_and_without_duplicates(spark, tmp_path, monkeypatch):
+    import time
+    import uuid
+
+    from deltaloom.sources import loaders
+
+    frame(spark, range(20)).write.parquet(str(tmp_path / "src"))
+    options = {"url": f"jdbc:derby:memory:{uuid.uuid4().hex};create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    dest = Resource(table="T", format="jdbc", options=options)
+    loaders.save(frame(spark, [100]), dest)
+    own, calls = loaders._change_jdbc, []
+
+    def late(*args):
+        calls.append(1)
+        if len(calls) == 1:
+            raise RuntimeError("lost after the stage")
+        return own(*args)
+
+    monkeypatch.setattr(loaders, "_change_jdbc", late)
+    transfers = Transfers(spark)
+    t = transfers.run(Resource(path=str(tmp_path / "src")), dest, async_=True, writers=2)
+    end = time.time() + 120
+    while transfers.get(t.id).status == "running" and time.time() < end:
+        time.sleep(0.2)
+    assert (t.status, t.rows, t.attempts) == ("done", 20, 2), t.error
+    assert loaders.load(spark, dest).count() == 21
+    with pytest.raises(ValueError):
+        transfers.run(Resource(path="x"), dest, mode="sideways")
+
+
+def test_a_broken_file_does_not_stop_the_scheduler(tmp_path):
+    from datetime import datetime
+
+    from deltaloom.plans.control import Scheduler
+
+    good = {"source": {"table": "a"}, "dest": {"table": "b"}, "schedule": {"frequency": {"value": 1, "unit": "hour"}}}
+    (tmp_path / "bad.json").write_text("{not json")
+    (tmp_path / "good.json").write_text(json.dumps(good))
+    ran = []
+
+    def run(request):
+        ran.append(request)
+        raise RuntimeError("down")
+
+    s = Scheduler(str(tmp_path), run, parse_request, reload_s=0)
+    assert len(s.tick(datetime(2020, 1, 1))) == 1 and len(s.broken) == 1 and len(s.entries) == 1
+    assert next(iter(s.entries.values()))["errors"] == 1
+    (tmp_path / "bad.json").write_text(json.dumps(good) + " ")
+    import os
+
+    os.utime(tmp_path / "bad.json", (1, 1))
+    assert len(s.tick(datetime(2020, 1, 1, 0, 0, 1))) >= 1 and not s.broken and len(s.entries) == 2
+
+
+def test_spans_of_days():
+    from datetime import date
+
+    from deltaloom.plans.quality import days, over_dates
+
+    assert list(days(date(2020, 1, 30), date(2020, 2, 2), 3)) == [(date(2020, 1, 30), date(2020, 2, 1)), (date(2020, 2, 2), date(2020, 2, 2))]
+
+    class Done:
+        def __init__(self, status):
+            self.status = status
+
+    out = over_dates(lambda r: Done("error" if r[0].day == 2 else "ok"), lambda a, b: (a, b), date(2020, 1, 1), date(2020, 1, 5))
+    assert [o.status for o in out] == ["ok", "error"]
+
+
+def test_scalars_of_other_databases(spark):
+    from deltaloom.functions.criteria import layout, translated
+    from deltaloom.operators.projection import with_pseudo
+
+    assert layout('YYYY-MM-DD"T"HH24:MI:SS') == "yyyy-MM-dd'T'HH:mm:ss"
+    df = spark.sql("select timestamp'2020-03-04 05:06:07' ts, cast(null as timestamp) created")
+    pseudo = {
+        "d": "TO_CHAR(t.ts, 'YYYY-MM-DD')", "m": "to_char(t.ts, 'YYYYMM')", "s": "UNIX_SECONDS(COALESCE(t.created, t.ts))",
+        "o": "ROUND((CAST(t.ts AS DATE) - to_date('1970-01-01','YYYY-MM-DD')) * 86400)", "v": "date(t.ts)::varchar(10)",
+        "old": "t.ts < NOW() - INTERVAL 3 DAY", "older": "t.ts < sysdate - 3", "y": "DATE_FORMAT(t.ts, 'yyyy')",
+    }
+    r = with_pseudo(df, pseudo).first()
+    assert (r.d, r.m, r.s, r.o, r.v, r.old, r.older, r.y) == ("2020-03-04", "202003", 1583298367, 1583298367, "2020-03-04", True, True, "2020")
+    assert translated("t.a + 1") == "t.a + 1"
