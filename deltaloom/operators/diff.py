@@ -138,13 +138,23 @@ def diff(
     )
 
 
+def span(plan: DataFrame) -> DataFrame:
+    """The plan with low and high: the least and greatest id of either side (null if neither has rows)."""
+    return plan.withColumns({"low": F.least("src_min", "dst_min"), "high": F.greatest("src_max", "dst_max")})
+
+
+def brief_equality() -> Column:
+    """Whether the counts, least and greatest ids of both sides of a plan's slice are equal."""
+    pairs = [F.col(f"src_{k}").eqNullSafe(F.col(f"dst_{k}")) for k in ("cnt", "min", "max")]
+    return pairs[0] & pairs[1] & pairs[2]
+
+
 def fast_diff(src: DataFrame, dst: DataFrame, ids: Sequence[str], parts: Sequence[str], *rule, exact: bool = False) -> DataFrame:
     """As ``diff`` for append-only data: slices with equal counts, least and greatest ids are in sync without
     a look at their columns; only the others get full signatures."""
     i = ids[0]
     brief = diff(src, dst, ids, parts, count_only=True, probe=False, exact=exact)
-    equal = F.col("src_cnt").eqNullSafe(F.col("dst_cnt")) & F.col("src_min").eqNullSafe(F.col("dst_min")) & F.col("src_max").eqNullSafe(F.col("dst_max"))
-    brief = stage(brief.withColumn("_same", equal), "brief")
+    brief = stage(brief.withColumn("_same", brief_equality()), "brief")
     same = brief.filter("_same").drop("_same")
     keys = same.select(*[F.col(f"`{p}`").alias(f"_k_{p}") for p in parts])
     on = [F.col(f"`{p}`").eqNullSafe(F.col(f"_k_{p}")) for p in parts]

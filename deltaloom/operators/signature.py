@@ -110,6 +110,14 @@ def fold(signatures: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return signatures.groupBy(*by).agg(*made) if by else signatures.agg(*made)
 
 
+def fold_records(records: DataFrame, folds: dict[str, str], by: Sequence[str] = ()) -> DataFrame:
+    """sum, max or min of named columns; a column that the records lack is skipped."""
+    known = {"sum": F.sum, "max": F.max, "min": F.min}
+    have = {c.lower() for c in records.columns}
+    made = [known[f](F.col(f"`{c}`")).alias(f"{f}_{c}") for c, f in folds.items() if c.lower() in have]
+    return records.groupBy(*by).agg(*made) if by else records.agg(*made)
+
+
 def id_consistency(df: DataFrame, id_: str, parts: Sequence[str] = ()) -> DataFrame:
     """``problem`` of an id column: null (none), 'null' or 'duplicate'."""
     cols = plan_columns(df, [id_], count_only=True)

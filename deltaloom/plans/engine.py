@@ -204,9 +204,8 @@ def _counts(plan: DataFrame) -> dict:
 
 def _narrowed(plan, a, b, id_, slices, columns, depth) -> DataFrame:
     """The plan with a later start for its slices to merge: one bisection of them all."""
-    spans = plan.filter((F.col("method") == diff.MERGE) & F.col("src_min").isNotNull() & F.col("dst_max").isNotNull()).select(
-        *[F.col(f"`{p}`") for p in slices], F.least("src_min", "dst_min").alias("low"), F.greatest("src_max", "dst_max").alias("high")
-    )
+    merges = plan.filter((F.col("method") == diff.MERGE) & F.col("src_min").isNotNull() & F.col("dst_max").isNotNull())
+    spans = diff.span(merges).select(*[F.col(f"`{p}`") for p in slices], "low", "high")
     if not spans.take(1):
         return plan
     found = narrow.bisect(a, b, id_, columns, stage(spans, "spans"), slices, depth).filter(F.col("at").isNotNull())
