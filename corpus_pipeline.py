@@ -5,6 +5,13 @@ chance (with one learned language or none there is no such cut), SimHash near-de
 each group, decontamination drops documents that contain a benchmark item, PII masks personal
 data, and packing deals the rest into sequences. All but the last return the columns of
 documents.
+
+Edge cases, in every stage as in the operator it calls: a document whose text is null or has no
+letter is rejected by the first stage; null doc_id, lang and source pass; very long texts are
+whole rows; of repeated rows, and of documents that tie, near-dedup keeps one (the least doc_id,
+then the least hash of the text); empty tables give no rows; further columns of documents, whatever
+their names, are carried to the last stage. What a stage wrote is read by the next and goes when
+the application ends.
 """
 
 from __future__ import annotations
