@@ -117,6 +117,16 @@ def _search(bounds: str, id_: str) -> str:
     return f"aggregate({steps}, named_struct('lo', 0, 'hi', size({bounds})), (acc, _) -> {half}, acc -> acc.lo - 1)"
 
 
+def _coarse(bounds: DataFrame) -> tuple[int, list[int]]:
+    """How many chunks a part has, and where the parts begin: ``MOST`` at most. Kept with the frame, for the other side."""
+    found = getattr(bounds, "_parts", None)
+    if found is None or found[0] != MOST:
+        step = max(1, -(-bounds.count() // MOST))
+        rows = bounds.filter(F.col("chunk") % step == 0).orderBy("chunk").select("lo").collect()
+        found = bounds._parts = (MOST, step, [r["lo"] for r in rows])
+    return found[1:]
+
+
 def _literal(bounds: list[int]) -> Column:
     """A sorted array of ids as one constant of the plan."""
     return F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
@@ -130,20 +140,18 @@ def assign(df: DataFrame, bounds: DataFrame, id_: str, name: str = "chunk") -> D
     of them, and the chunks of each part, an array in one row, meet their rows by an equi-join.
     Chunks are numbered from 0 without gaps.
     """
-    n = bounds.count()
-    if not n:
+    step, coarse = _coarse(bounds)
+    if not coarse:
         return df.withColumn(name, F.lit(0).cast("long"))
-    step = -(-n // MOST)
-    coarse = bounds.filter(F.col("chunk") % step == 0).orderBy("chunk").select("lo").collect()  # MOST at most
     key = f"cast(`{id_}` as bigint)"
     if step == 1:
-        held = df.withColumn("_bounds", _literal([r["lo"] for r in coarse]))
+        held = df.withColumn("_bounds", _literal(coarse))
         found = held.withColumn(name, F.greatest(F.expr(_search("_bounds", key)), F.lit(0)).cast("long"))
         return found.select(*df.columns, name)
     groups = bounds.groupBy(F.floor(F.col("chunk") / step).cast("long").alias("_group")).agg(
         F.sort_array(F.collect_list("lo")).alias("_los")  # ``step`` boundaries
     )
-    held = df.withColumn("_bounds", _literal([r["lo"] for r in coarse]))
+    held = df.withColumn("_bounds", _literal(coarse))
     held = held.withColumn("_part", F.greatest(F.expr(_search("_bounds", key)), F.lit(0)).cast("long"))
     inner = F.greatest(F.expr(_search("_los", key)), F.lit(0))
     joined = held.join(groups, F.col("_part") == F.col("_group"))

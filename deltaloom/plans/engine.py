@@ -51,7 +51,8 @@ class Change:
 
 @dataclass
 class SyncResult:
-    """The new destination, the plan behind it, what it moves and what it changes."""
+    """The new destination, the plan behind it, what it moves and what it changes; source and dest count
+    the rows of each side in the slices that move."""
 
     result: DataFrame
     plan: DataFrame
@@ -75,14 +76,13 @@ def _on(parts: Sequence[str], prefix: str) -> list[Column]:
     return [F.col(f"`{p}`").eqNullSafe(F.col(f"{prefix}{p}")) for p in parts]
 
 
-def _plan_join(df: DataFrame, plan: DataFrame, parts: Sequence[str], *cols: str) -> DataFrame:
-    """``df`` with columns of its partition's plan row; the plan is broadcast while it is small."""
+def _plan_join(df: DataFrame, plan: DataFrame, parts: Sequence[str], small: bool, *cols: str) -> DataFrame:
+    """``df`` with columns of its partition's plan row; the plan is broadcast if it is small."""
     p = plan.select(*[F.col(f"`{k}`").alias(f"_p_{k}") for k in parts], *cols)
     if not parts:
         p = p.withColumn("_p_all", F.lit(1))
         df = df.withColumn("_all", F.lit(1))
         return df.join(p, F.col("_all") == F.col("_p_all")).drop("_all", "_p_all")
-    small = plan.count() <= diff.SMALL_PLAN
     return df.join(F.broadcast(p) if small else p, _on(parts, "_p_")).drop(*[f"_p_{k}" for k in parts])
 
 
@@ -167,9 +167,11 @@ def synchronise(
         if depth and len(ids) == 1:
             keep = plan_columns(compared, ids, slices, *rule, exact)
             plan = _narrowed(plan, a, compared, ids[0], slices, keep, depth)
-    methods = {r["method"]: r["n"] for r in plan.groupBy("method").agg(F.count(F.lit(1)).alias("n")).collect()}
+    by_method = plan.groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.sum("src_cnt").alias("s"), F.sum("dst_cnt").alias("d")).collect()
+    methods = {r["method"]: r["n"] for r in by_method}
+    small = sum(methods.values()) <= diff.SMALL_PLAN
     moving = plan.filter(F.col("method").isin(*MOVING))
-    moved = _plan_join(a, moving, slices, "method", "in_sync_id")
+    moved = _plan_join(a, moving, slices, small, "method", "in_sync_id")
     if len(ids) == 1:
         moved = moved.filter(F.col("in_sync_id").isNull() | (F.col(ids[0]) > F.col("in_sync_id")))
     names = {n.lower() for n in own}
@@ -177,14 +179,15 @@ def synchronise(
     staged = stage(_fitted(moved, dst.select(*own).schema), "moved", writers)
     if check and not force and set(methods) - {diff.IN_SYNC, diff.REMOVED}:
         check_ids(staged, ids, "source")
-        check_ids(_plan_join(b, moving, slices, "method").select(*b.columns), ids, "destination")
+        check_ids(_plan_join(b, moving, slices, small, "method").select(*b.columns), ids, "destination")
     gone = plan.filter(F.col("method").isin(*diff.DELETES, *([] if keep_removed else [diff.REMOVED])))
     if append_update_only or (force and append_only) or not set(methods) & {*diff.DELETES, diff.REMOVED}:
         gone = None
-    change = _change(staged, dst, b, gone, slices, ids, own, append_only, append_update_only)
+    change = _change(staged, dst, b, gone, slices, ids, own, append_only, append_update_only, small)
     return SyncResult(
         change.result(dst.select(*own)), plan, staged, change, not (set(methods) - {diff.IN_SYNC}), methods=methods,
-        **_counts(plan),
+        source=sum(r["s"] or 0 for r in by_method if r["method"] in MOVING),
+        dest=sum(r["d"] or 0 for r in by_method if r["method"] in MOVING),
     )
 
 
@@ -194,14 +197,6 @@ def _fitted(moved: DataFrame, schema) -> DataFrame:
     return moved.select(*[fitted(have[f.name.lower()], f).alias(f.name) for f in schema if f.name.lower() in have], "method")
 
 
-def _counts(plan: DataFrame) -> dict:
-    """Rows in the slices that moved: on the source side, and on the destination's."""
-    row = plan.filter(F.col("method").isin(*MOVING)).agg(
-        F.coalesce(F.sum("src_cnt"), F.lit(0)).alias("s"), F.coalesce(F.sum("dst_cnt"), F.lit(0)).alias("d")
-    ).first()
-    return {"source": int(row["s"]), "dest": int(row["d"])}
-
-
 def _narrowed(plan, a, b, id_, slices, columns, depth) -> DataFrame:
     """The plan with a later start for its slices to merge: one bisection of them all."""
     merges = plan.filter((F.col("method") == diff.MERGE) & F.col("src_min").isNotNull() & F.col("dst_max").isNotNull())
@@ -240,7 +235,7 @@ def _narrowed(plan, a, b, id_, slices, columns, depth) -> DataFrame:
     )
 
 
-def _change(staged, dst, sliced, gone, slices, ids, own, append_only, append_update_only) -> Change:
+def _change(staged, dst, sliced, gone, slices, ids, own, append_only, append_update_only, small) -> Change:
     """The rows that go and those that come. Rows with an id go by it, others by their slice."""
     cols = [c for c in staged.columns if c != "method"]
     if not ids:
@@ -262,7 +257,7 @@ def _change(staged, dst, sliced, gone, slices, ids, own, append_only, append_upd
         return Change([staged.select(*ids)], complete(add))
     drops, kept = [], dst
     if gone is not None:
-        inside = _plan_join(sliced, gone, slices, "method") if slices else sliced
+        inside = _plan_join(sliced, gone, slices, small, "method") if slices else sliced
         old = inside.select(*ids)
         if append_only:  # rows whose ids are staged stay as they are
             old = merge.without(old, staged.select(*ids))
