@@ -110,6 +110,14 @@ def fold(signatures: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return signatures.groupBy(*by).agg(*made) if by else signatures.agg(*made)
 
 
+def single(df: DataFrame):
+    """The only row of a scalar signature; None if there is none, an error if there are more."""
+    found = df.take(2)
+    if len(found) > 1:
+        raise ValueError("a scalar signature has more than one row")
+    return found[0] if found else None
+
+
 def fold_records(records: DataFrame, folds: dict[str, str], by: Sequence[str] = ()) -> DataFrame:
     """sum, max or min of named columns; a column that the records lack is skipped."""
     known = {"sum": F.sum, "max": F.max, "min": F.min}

@@ -21,7 +21,7 @@ from deltaloom.functions.criteria import conjunction
 from deltaloom.functions.types import DiffColumn
 from deltaloom.operators import chunking, diff, merge, narrow
 from deltaloom.operators.projection import explicit, sync_projection, with_pseudo
-from deltaloom.operators.signature import id_consistency, plan_columns
+from deltaloom.operators.signature import id_consistency, plan_columns, single
 from deltaloom.plans.control import History, Jobs
 from deltaloom.sources.loaders import load, moving, partition_values, write_change
 from deltaloom.sources.staging import stage
@@ -67,7 +67,7 @@ class SyncResult:
 def check_ids(df: DataFrame, ids: Sequence[str], side: str) -> None:
     """Raises if the single id has nulls or duplicates."""
     if len(ids) == 1:
-        problem = id_consistency(df, ids[0]).first()["problem"]
+        problem = single(id_consistency(df, ids[0]))["problem"]
         if problem:
             raise ValueError(f"{side}: the id column {ids[0]} has {problem} values")
 

@@ -256,3 +256,16 @@ def test_upsert_keeps_columns_the_slice_lacks(spark):
     d = spark.createDataFrame([(1, 5, "note"), (2, 6, "kept")], "id long, v int, extra string")
     t = spark.createDataFrame([(2, 9), (3, 9)], "id long, v int")
     assert rows(merge.upsert(d, t, ["id"]).na.fill("-")) == [(1, 5, "note"), (2, 9, "kept"), (3, 9, "-")]
+
+
+def test_single_row_guard(spark):
+    df = table(spark, range(4))
+    assert signature.single(df.limit(0)) is None and signature.single(df.filter("id = 2"))["id"] == 2
+    with pytest.raises(ValueError):
+        signature.single(df)
+
+
+def test_record_folds(spark):
+    df = spark.createDataFrame([("a", 1, 5), ("a", 3, 2)], "k string, x int, y int")
+    r = signature.fold_records(df, {"x": "sum", "y": "max", "z": "min"}, ["k"]).first()
+    assert r.asDict() == {"k": "a", "sum_x": 4, "max_y": 5}
