@@ -12,7 +12,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but these six bytes.
@@ -237,6 +237,31 @@ def concat_ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(start - (ends - length), length)
 
 
+def ranked(df: DataFrame, by: list[str], order: list[str], rank: str, total: str) -> DataFrame:
+    """``df`` (cheap to read twice) with each row's ``rank`` from 0 among those with the same ``by``, nulls alike, in
+    ascending ``order`` (nulls first), and how many (``total``) there are.
+
+    Rows are dealt by range, so that a hot group is spread over tasks; a row's rank is its place in
+    its range plus its group's rows in earlier ranges. Written to the shared folder.
+    """
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(df) >> 26)
+    dealt = materialise(
+        df.repartitionByRange(tasks, *by, *order).sortWithinPartitions(*by, *order).withColumn("_at", F.monotonically_increasing_id()),
+        "ranges",
+    )
+    part = F.shiftright("_at", 33)
+    mine = [F.col(f"`{b}`").alias(f"_{k}") for k, b in enumerate(by)]
+    keys = [f"_{k}" for k in range(len(by))]
+    runs = dealt.groupBy(part.alias("_part"), *mine).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    group = Window.partitionBy(*keys)  # a row for each range that holds the group
+    before = F.coalesce(F.sum("_n").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = materialise(runs.select("_part", *keys, "_first", before.alias("_before"), F.sum("_n").over(group).alias("_all")), "runs")
+    on = [part == F.col("_part"), *[F.col(f"`{b}`").eqNullSafe(F.col(k)) for b, k in zip(by, keys, strict=True)]]
+    out = dealt.join(broadcast_if_small(runs), on)
+    return out.select(*df.columns, (F.col("_at") - F.col("_first") + F.col("_before")).alias(rank), F.col("_all").alias(total))
+
+
 def top_rows(df: DataFrame, n: int, *order: Column) -> DataFrame:
     """``n`` rows by ``order`` (a bounded TakeOrdered)."""
     return df.orderBy(*order).limit(n)

@@ -43,7 +43,66 @@ select doc_id, len(w) as n_words, len(w) - coalesce(len(kw), 0) as n_removed,
 from docs left join kept using (r)
 """
 
+#: zlib's crc32 of a number's decimal text.
+_CRC32 = (
+    "xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split({x}::varchar, ''), lambda c: ascii(c)::bigint)), "
+    "lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda r, k: xor(r >> 1, 3988292384 * (r & 1)))), 4294967295)"
+)
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value}::varchar) || ':' || {value}::varchar, '-')"
+
+
+def _leaf(text: str) -> str:
+    return f"sha256({' || '.join(_field(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+
+#: One row for each node of a forest (tree, level, place, digest, n), from its leaves ``{base}``.
+_FOREST = """(
+  select tree, 0 as level, place, digest, n from {base}
+  union all
+  select tree, level + 1, place // 16, sha256(string_agg(digest, '' order by place)), (n + 15) // 16
+  from {name} where n > 1 group by tree, level, place // 16, n)"""
+
+#: Siblings of every leaf (tree, place, level, l, r) on the way up its tree.
+_WAY = """(
+  select a.tree, a.place, s.level,
+    coalesce(string_agg(s.digest, '' order by s.place) filter (where s.place < a.place // (16 ** s.level)::bigint), '') l,
+    coalesce(string_agg(s.digest, '' order by s.place) filter (where s.place > a.place // (16 ** s.level)::bigint), '') r
+  from {base} a join {forest} s on s.tree = a.tree and s.n > 1 and s.place // 16 = a.place // (16 ** (s.level + 1))::bigint
+  group by a.tree, a.place, s.level)"""
+
+#: Trees by source, the tree of their subroots, proofs, and folds of what a verifier holds.
+MERKLE = f"""
+with recursive docs as (
+  select row_number() over () r, doc_id, source, {_leaf('text')} leaf,
+    case when {_CRC32.format(x='doc_id')} % 5 = 0 then {_leaf(_LOWER.format(text='text'))} end seen from documents),
+leaves as materialized (
+  select doc_id, leaf, coalesce(seen, leaf) seen, dense_rank() over (order by source nulls first) - 1 tree,
+    row_number() over (partition by source order by doc_id nulls first, leaf) - 1 place, count(*) over (partition by source) n from docs),
+base as (select tree, place, leaf digest, n from leaves),
+forest as {_FOREST.format(base='base', name='forest')},
+subroots as materialized (select tree, digest from forest where n = 1),
+top as (select 0 tree, tree place, digest, (select count(*) from subroots) n from subroots),
+crown as {_FOREST.format(base='top', name='crown')},
+ways as {_WAY.format(base='base', forest='forest')},
+above as {_WAY.format(base='top', forest='crown')},
+steps as (
+  select tree, place, level, l, r from ways union all
+  select b.tree, b.place, 100 + a.level, a.l, a.r from base b join above a on a.place = b.tree),
+paths as (select tree, place, list(struct_pack(l := l, r := r) order by level) p, string_agg(l || r, '' order by level) t from steps group by all),
+folded as (
+  select tree, place, list_reduce(list_prepend(struct_pack(l := seen, r := ''), coalesce(p, [])),
+    lambda a, x: struct_pack(l := sha256(x.l || a.l || x.r), r := '')).l f
+  from leaves left join paths using (tree, place))
+select doc_id, leaf, s.digest subroot, root, sha256(coalesce(t, '')) proof_sha256, f folded_root, f = root verified
+from leaves left join paths using (tree, place) join folded using (tree, place) join subroots s using (tree),
+  (select digest root from crown where n = 1)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op5_substring_dedup": SUBSTRINGS,
     "op10_benchmark_decontamination": CONTAINMENT,
+    "op11_merkle_manifest": MERKLE,
 }
