@@ -6,6 +6,7 @@ from deltaloom.llm.decontaminate import op10_benchmark_decontamination
 from deltaloom.llm.html_text import op7_html_extraction
 from deltaloom.llm.language import op8_language_id
 from deltaloom.llm.merkle import op11_merkle_manifest
+from deltaloom.llm.minhash import op12_minhash_near_dedup
 from deltaloom.llm.packing import op3_best_fit_packing
 from deltaloom.llm.pii import op2_pii
 from deltaloom.llm.quality import op1_quality_classifier
@@ -26,4 +27,5 @@ QUERIES = {
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_minhash_near_dedup": op12_minhash_near_dedup,
 }

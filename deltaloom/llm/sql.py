@@ -101,8 +101,28 @@ from leaves left join paths using (tree, place) join folded using (tree, place)
   (select digest root from crown where n = 1)
 """
 
+#: Jaccard similarity of all pairs that share a shingle, and the components of the links.
+NEAR_DUPLICATES = f"""
+with recursive docs as (
+  select row_number() over () r, doc_id, {_WORDS.format(text=_LOWER.format(text='text'))} w from documents),
+shingles as materialized (
+  select distinct r, array_to_string(w[i:i + 3], ' ') s
+  from (select r, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) i from docs where len(w) > 0)),
+sized as materialized (select r, count(*) n from shingles group by r),
+shared as (select a.r x, b.r y, count(*) m from shingles a join shingles b on a.s = b.s and a.r < b.r group by all),
+links as materialized (
+  select x, y from shared join sized a on a.r = x join sized b on b.r = y where 100 * m >= 80 * (a.n + b.n - m)),
+both_ways as materialized (select x, y from links union all select y, x from links),
+reach as (select distinct x r, x other from both_ways union select reach.r, b.y from reach join both_ways b on b.x = reach.other),
+least as (select reach.r, min(d.doc_id) c from reach join docs d on d.r = reach.other group by reach.r)
+select doc_id, coalesce(n, 0) n_shingles, case when least.r is null then doc_id else c end component_id,
+  doc_id is not distinct from (case when least.r is null then doc_id else c end) kept
+from docs left join sized using (r) left join least using (r)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op5_substring_dedup": SUBSTRINGS,
     "op10_benchmark_decontamination": CONTAINMENT,
     "op11_merkle_manifest": MERKLE,
+    "op12_minhash_near_dedup": NEAR_DUPLICATES,
 }
