@@ -14,6 +14,7 @@ from deltaloom.llm.quality_rules import op6_quality_rules
 from deltaloom.llm.simhash import op9_simhash_near_dedup
 from deltaloom.llm.substrings import op5_substring_dedup
 from deltaloom.llm.toxicity import op4_toxicity
+from deltaloom.llm.trie import op13_conversation_trie
 
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
@@ -28,4 +29,5 @@ QUERIES = {
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_minhash_near_dedup": op12_minhash_near_dedup,
+    "op13_conversation_trie": op13_conversation_trie,
 }

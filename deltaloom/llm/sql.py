@@ -120,9 +120,40 @@ select doc_id, coalesce(n, 0) n_shingles, case when least.r is null then doc_id
 from docs left join sized using (r) left join least using (r)
 """
 
+#: Every prefix of every rebuilt conversation, and each node's sums over the nodes that it begins.
+TRIE = f"""
+with recursive turns as (
+  select conv_id, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) d, length(coalesce(text, '')) l,
+    row_number() over (partition by conv_id order by turn nulls first, d) - 1 p
+  from conversations where conv_id is not null),
+convs as (select conv_id c, ({_CRC32.format(x='conv_id')}) % 6 h from (select distinct conv_id from turns)),
+placed as (
+  select c, 0 part, p, d, l from convs join turns on conv_id = c - c % 100 and p < h
+  union all select c, 1, p, d, l from convs join turns on conv_id = c and p >= h),
+seqs as (
+  select c, coalesce(list(d order by part, p) filter (where d is not null), []) s,
+    coalesce(list(l order by part, p) filter (where d is not null), []) ls
+  from convs left join placed using (c) group by c),
+prefixes as (
+  select c, k, array_to_string(s[1:k], '') node, ls[k] l, len(s) = k ending from (select *, unnest(range(0, len(s) + 1)) k from seqs)),
+nodes as materialized (
+  select node, k, min(c) conv_id, count(*) n, any_value(l) l,
+    sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (where ending), '')) ends
+  from prefixes group by node, k),
+kids as (select left(node, (k - 1) * 64) parent, count(*) m from nodes where k > 0 group by 1),
+sums as (
+  select left(d.node, d.anc * 64) node, sum(case when m is null then 1 else 0 end) leaves, sum((d.n - 1) * coalesce(d.l, 0)) saved
+  from (select x.*, m, unnest(range(0, x.k + 1)) anc from nodes x left join kids on kids.parent = x.node) d group by 1)
+select x.conv_id, x.k depth, u.conv_id parent_conv_id, x.n n_convs, coalesce(m, 0) n_children, leaves::bigint n_leaves,
+  saved::bigint saved_tokens, x.ends ends_sha256
+from nodes x join sums using (node) left join kids on kids.parent = x.node
+  left join nodes u on x.k > 0 and u.node = left(x.node, (x.k - 1) * 64)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op5_substring_dedup": SUBSTRINGS,
     "op10_benchmark_decontamination": CONTAINMENT,
     "op11_merkle_manifest": MERKLE,
     "op12_minhash_near_dedup": NEAR_DUPLICATES,
+    "op13_conversation_trie": TRIE,
 }
