@@ -10,7 +10,8 @@ byte by byte, and all but the earliest (doc_id, start) are reported as spans.
 Pre-aggregation: of equal super-k-mers in one slice of the input only the earliest travels;
 for the others the verdict is already known. So it is for those equal to an earlier one that the
 same task sent from another slice: a task remembers what recurs, within ``KEPT`` bytes, so a
-passage in every text leaves a task about twice, whatever the task reads. Hot triples: word
+passage in every text leaves a task about twice, whatever the task reads. Known verdicts are spans of
+their rows and are dealt by row, so they do not follow the passage to its bucket. Hot triples: word
 triples that are the minimiser of more than ``HOT`` of a sample's windows rank after all others,
 so a line that a third of all texts share draws no windows to its bucket; the sample only steers
 this ranking and never decides a verdict. Blocks, not rows, are shuffled; a partition holds many
@@ -42,6 +43,7 @@ from deltaloom.llm._common import (
     input_bytes,
     inside,
     materialise,
+    mix,
     narrow,
     single_spaced,
     sliding_min,
@@ -226,7 +228,8 @@ def _split(hot: np.ndarray, buckets: int, label: np.ndarray):
             left = np.flatnonzero(~known)
             known[left] = recurring.known(words, key[left], lo[left], hi[left], doc[row[left]], at[left])
             bucket = ((least * _U(0x9E3779B97F4A7C15)) >> _U(33)) % _U(buckets)
-            bucket = bucket.astype(np.int64)
+            # a verdict that is known needs no bucket of its passage: it is dealt by row
+            bucket = np.where(known, (mix((doc[row] ^ tkey[row]).view(_U)) >> _U(33)) % _U(buckets), bucket).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cuts = np.concatenate(
                 [[0], np.flatnonzero(np.diff(bucket[order])) + 1, [len(order)]]

@@ -123,3 +123,26 @@ def test_labels_reach_every_partition(spark):
     for n in (1, 7, 64):
         df = spark.createDataFrame([(int(x),) for x in S.labels(spark, n)], "label long")
         assert df.repartition(n, "label").select(F.spark_partition_id().alias("p")).distinct().count() == n
+
+
+@pytest.mark.parametrize("texts", [2_000, 8_000])
+def test_a_hot_passage_fills_no_bucket(texts):
+    """Whatever the number of texts that share it, its bucket gets a few records of a task; verdicts follow the texts."""
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    passage = " ".join(f"p{k}" for k in range(60))
+    docs = [passage if i % 3 == 0 else " ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) for i in range(texts)]
+    batches = [
+        pa.RecordBatch.from_arrays([pa.array(range(k, k + 500)), pa.array(docs[k : k + 500])], ["doc_id", "text"]) for k in range(0, texts, 500)
+    ]
+    buckets = 64
+    held = np.zeros((2, buckets), np.int64)
+    for out in substrings._split(np.zeros(0, np.uint64), buckets, np.arange(buckets))(iter(batches)):
+        for bucket, block in zip(out.column(1).to_pylist(), out.column(2).to_pylist(), strict=True):
+            arrays, _ = substrings._open(block)
+            held[:, bucket] += len(arrays[0]), len(arrays[3])
+    done = held[1].sum()
+    assert done > 0.9 * texts / 3  # the passage's later copies
+    assert held[1].max() <= 6 * done / buckets
+    assert held[0].max() <= 6 * max(1, np.median(held[0])) + 200
