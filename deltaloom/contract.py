@@ -23,6 +23,7 @@ class Resource:
     options: dict[str, str] = field(default_factory=dict)
     readers: int = 0  # connections of a JDBC read, dealt by ranges of ``split``
     split: str = ""
+    push_down: bool = True  # signatures and slices of a JDBC source by its database; else it is read once, under the criteria
     criteria: dict[str, Any] = field(default_factory=dict)
     pseudo: dict[str, str] = field(default_factory=dict)
     partition_sql: str = ""
@@ -45,6 +46,8 @@ class Diff:
     batch_size: int = 512
     precision: int = 5
     date_format: str = "yyyy-MM-dd HH:mm:ss"
+    hash: bool = False  # a sum of hashes of whole rows as well: sees swapped values and a null for a zero
+    ranges: int = 0  # slices to merge are cut into 2 ** ranges id ranges, and only those that differ move
     exact: bool = False  # distinct counts, each with a shuffle, instead of sums of hashes
 
 
@@ -132,6 +135,12 @@ class SyncRequest:
             raise ValueError("a sync mode is individual or batch")
         if s.merge_style and s.merge_style not in UPSERTS:
             raise ValueError(f"a merge style is one of {', '.join(UPSERTS)}")
+        if not 0 <= s.diff.ranges <= 24 or (s.diff.ranges and (s.diff.depth or len(s.ids) != 1)):
+            raise ValueError("ranges are 0 to 24 levels of exactly one id column, and exclude depth")
+        if self.source.chunk_sql and not s.chunk.size:
+            raise ValueError("a chunk query needs a chunk size")
+        if self.dest.chunk_sql:
+            raise ValueError("chunks are those of the source: a destination has no chunk query")
         if s.diff.batch_size < 1 or self.transfer.batch_size < 1 or self.transfer.writers < 0:
             raise ValueError("batch sizes are positive, and writers not negative")
         if self.dest.path and (self.transfer.temp_database or self.transfer.suffix):

@@ -74,6 +74,7 @@ def in_sync(columns: list[DiffColumn], left: str = "src_", right: str = "dst_")
         similar(F.col(f"`{left}{c.label}`"), F.col(f"`{right}{c.label}`"), c.precision, c.date_format)
         for c in columns
     ]
+    parts += [F.coalesce(f"{left}{c.label}", F.lit(0)) == 0 for c in columns if c.func.upper() == "ODDS"]
     return reduce(and_, parts, F.lit(True))
 
 

@@ -6,9 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from deltaloom.functions.compare import in_sync
-from deltaloom.functions.types import DiffColumn
+from deltaloom.functions.types import DiffColumn, odd_columns, row_hash
 from deltaloom.operators.signature import aggregates, plan_columns, signature
 from deltaloom.sources.staging import stage
 
@@ -73,13 +74,40 @@ def _below(
     on = [F.col(f"`{k}`").eqNullSafe(F.col(f"_t_{k}")) for k in keys]
     below = src.join(F.broadcast(tops) if small else tops, on).filter(F.col(id_) <= F.col("_top"))
     made = aggregates(below, cols)
-    low = below.groupBy(*[F.col(f"`{p}`") for p in parts]).agg(*made) if parts else below.agg(*made)
+    return _prefixed(below.groupBy(*[F.col(f"`{p}`") for p in parts]).agg(*made) if parts else below.agg(*made), cols, parts)
+
+
+def _prefixed(low: DataFrame, cols: Sequence[DiffColumn], parts: Sequence[str]) -> DataFrame:
     return low.select(
         *[F.col(f"`{p}`").alias(f"_l_{p}") for p in parts],
         *[F.col(f"`{c.label}`").alias(f"low_{c.label}") for c in cols],
     )
 
 
+def with_row_hash(src: DataFrame, dst: DataFrame, precision: int = 5, date_format: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both sides with ``_row_hash``, over the columns that both have, in the destination's types."""
+    lower = {c.lower() for c in src.columns}
+    shared = T.StructType([f for f in dst.schema if f.name.lower() in lower and not f.name.startswith("_")])
+    return tuple(x.withColumn("_row_hash", row_hash(x, shared, precision, date_format)) for x in (src, dst))
+
+
+def compared_columns(
+    src: DataFrame, dst: DataFrame, ids: Sequence[str], parts: Sequence[str], columns=None, count_only=False, precision=5, date_format=None, exact=False,
+    odd: str = "ODD",
+) -> list[DiffColumn]:
+    """The aggregates of both signatures: those of ``plan_columns``, rows, and what sums of fractions leave out."""
+    cols = plan_columns(dst, ids, parts, columns, count_only, precision, date_format, exact)
+    if not any(c.label == "cnt" for c in cols):
+        cols = [DiffColumn("COUNT", "1", alias="cnt"), *cols]
+    return cols + odd_columns(cols, src, dst, func=odd)
+
+
+def pushed_columns(src: DataFrame, dst: DataFrame, ids: Sequence[str], parts: Sequence[str], *rule) -> list[DiffColumn]:
+    """As ``compared_columns``, of aggregates that any database has; distinct ids are left to the check of what moves."""
+    cols = compared_columns(src, dst, ids, parts, *rule, True, "ODDS")
+    return [c for c in cols if not c.label.startswith("unique_cnt_")]
+
+
 def diff(
     src: DataFrame,
     dst: DataFrame,
@@ -91,18 +119,24 @@ def diff(
     date_format: str | None = None,
     probe: bool = True,
     exact: bool = False,
+    hashed: bool = False,
+    pushed=None,
 ) -> DataFrame:
     """The plan: one row for each partition of either side.
 
     Columns: the partition columns, method, src_cnt, dst_cnt, src_min, src_max, dst_min, dst_max
     (of a single id), in_sync_id (rows up to it need not move). One scan of each side; partitions
     that may lack just a tail are scanned once more on the source side. Only aggregates are
-    shuffled, unless ``exact`` asks for distinct counts.
+    shuffled, unless ``exact`` asks for distinct counts. ``hashed`` adds a sum of hashes of whole rows,
+    which sees values that rows have swapped, a zero for a null, and a time that is not the latest.
+    ``pushed`` has the source's signatures computed where the source is, with distinct counts in place of hashes.
     """
-    cols = plan_columns(dst, ids, parts, columns, count_only, precision, date_format, exact)
-    if not any(c.label == "cnt" for c in cols):
-        cols = [DiffColumn("COUNT", "1", alias="cnt"), *cols]
-    a = _side(signature(src, cols, parts), cols, parts, "src_")
+    if hashed:
+        src, dst = with_row_hash(src, dst, precision, date_format)
+    here = pushed is None
+    rule = (columns, count_only, precision, date_format)
+    cols = compared_columns(src, dst, ids, parts, *rule, exact) if here else pushed_columns(src, dst, ids, parts, *rule)
+    a = _side(signature(src, cols, parts) if here else pushed.signature(cols, parts), cols, parts, "src_")
     b = _side(signature(dst, cols, parts), cols, parts, "dst_")
     joined = stage(_match(a, b, parts), "signatures")  # one row for each partition
     single = len(ids) == 1
@@ -115,7 +149,11 @@ def diff(
         )
         n = tail.count()
         if n:
-            low = _below(src, tail, i, parts, cols, n <= SMALL_PLAN)
+            if here:
+                low = _below(src, tail, i, parts, cols, n <= SMALL_PLAN)
+            else:
+                tops = tail.select(*[F.col(f"`{p}`") for p in parts], F.col(f"dst_max_{i}").alias("_top"))
+                low = stage(_prefixed(pushed.below(tops, i, cols, parts), cols, parts), "below")
             if parts:
                 joined = joined.join(low, [F.col(f"`{p}`").eqNullSafe(F.col(f"_l_{p}")) for p in parts], "left")
             else:
@@ -149,7 +187,7 @@ def brief_equality() -> Column:
     return pairs[0] & pairs[1] & pairs[2]
 
 
-def fast_diff(src: DataFrame, dst: DataFrame, ids: Sequence[str], parts: Sequence[str], *rule, exact: bool = False) -> DataFrame:
+def fast_diff(src: DataFrame, dst: DataFrame, ids: Sequence[str], parts: Sequence[str], *rule, exact: bool = False, hashed: bool = False) -> DataFrame:
     """As ``diff`` for append-only data: slices with equal counts, least and greatest ids are in sync without
     a look at their columns; only the others get full signatures."""
     i = ids[0]
@@ -162,7 +200,7 @@ def fast_diff(src: DataFrame, dst: DataFrame, ids: Sequence[str], parts: Sequenc
     done = same.withColumns({"method": F.lit(IN_SYNC), "in_sync_id": F.col("src_max")})
     if i not in src.columns:
         raise ValueError(f"no id column {i}")
-    return done.unionByName(diff(a, b, ids, parts, *rule, exact=exact))
+    return done.unionByName(diff(a, b, ids, parts, *rule, exact=exact, hashed=hashed))
 
 
 def removed_partitions(src: DataFrame, dst: DataFrame, parts: Sequence[str]) -> DataFrame:

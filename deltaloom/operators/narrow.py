@@ -102,11 +102,11 @@ def probe_all(src: DataFrame, dst: DataFrame, id_: str, candidates: Sequence[int
 
 def new_ids(src: DataFrame, dst: DataFrame, id_: str, parts: Sequence[str] = ()) -> DataFrame:
     """Source rows beyond the destination's greatest id, by partition if there are any."""
-    top = dst.groupBy(*parts).agg(F.max(id_).alias("_top")) if parts else dst.agg(F.max(id_).alias("_top"))
-    if parts:
-        joined = src.join(top, list(parts), "left")
-    else:
-        joined = src.withColumn("_one", F.lit(1)).join(F.broadcast(top.withColumn("_one", F.lit(1))), "_one")
+    if not parts:  # one number, which reaches the source's scan, or its database, as a filter
+        top = dst.agg(F.max(id_)).first()[0]
+        return src if top is None else src.filter(F.col(id_) > F.lit(top))
+    top = dst.groupBy(*[F.col(f"`{p}`").alias(f"_t_{p}") for p in parts]).agg(F.max(id_).alias("_top"))
+    joined = src.join(top, [F.col(f"`{p}`").eqNullSafe(F.col(f"_t_{p}")) for p in parts], "left")
     return joined.filter(F.col("_top").isNull() | (F.col(id_) > F.col("_top"))).select(*src.columns)
 
 

@@ -68,7 +68,7 @@ count(distinct o_orderpriority) cnt_o_orderpriority from orders""")
 def signature_table(spark, sf):
     df = load(spark, sf, "orders")
     out = signature.signature(df, signature.plan_columns(df, ["o_orderkey"]))
-    return rounded(out, "sum_o_totalprice")
+    return longs(rounded(out, "sum_o_totalprice"), "sum_o_orderkey", "sum_o_custkey")
 
 
 @query("""select event_type, count(*) cnt, count(distinct event_id) unique_cnt_event_id, count(event_id) non_null_cnt_event_id,
@@ -78,7 +78,7 @@ from events group by event_type""")
 def signature_by_partition(spark, sf):
     df = load(spark, sf, "events")
     cols = signature.plan_columns(df, ["event_id"], ["event_type"])
-    return rounded(signature.signature(df, cols, ["event_type"]), "sum_value")
+    return longs(rounded(signature.signature(df, cols, ["event_type"]), "sum_value"), "sum_event_id", "sum_user_id")
 
 
 @query("""select cast(cast(ts as date) as varchar) d, count(*) cnt, min(event_id) min_id, max(event_id) max_id from events group by 1""")
@@ -121,7 +121,7 @@ max(doc_id) max_doc_id, min(doc_id) min_doc_id, sum(doc_id)::bigint sum_doc_id,
 count(distinct source) cnt_source, sum(n_chars)::bigint sum_n_chars from documents group by 1""")
 def signature_text_partition(spark, sf):
     df = load(spark, sf, "documents")
-    return signature.signature(df, signature.plan_columns(df, ["doc_id"], ["lang"]), ["lang"])
+    return longs(signature.signature(df, signature.plan_columns(df, ["doc_id"], ["lang"]), ["lang"]), "sum_doc_id", "sum_n_chars")
 
 
 # --- comparison ---------------------------------------------------------------------------

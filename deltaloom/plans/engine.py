@@ -21,8 +21,12 @@ from deltaloom.functions.criteria import conjunction
 from deltaloom.functions.types import DiffColumn
 from deltaloom.operators import chunking, diff, merge, narrow
 from deltaloom.operators.projection import explicit, sync_projection, with_pseudo
-from deltaloom.operators.signature import id_consistency, plan_columns, single
+from deltaloom.operators.ranges import RANGE, refined
+from deltaloom.operators.signature import id_consistency, single
 from deltaloom.plans.control import History, Jobs
+from deltaloom.plans.journal import Journal, key_of
+from deltaloom.sources.jdbc import Pushed, check_staged
+from deltaloom.sources.lease import leased
 from deltaloom.sources.loaders import load, moving, partition_values, write_change
 from deltaloom.sources.staging import stage
 from deltaloom.sources.store import SnapshotTable
@@ -102,18 +106,24 @@ def synchronise(
     append_only: bool = False,
     append_update_only: bool = False,
     force: bool = False,
-    keep_removed: bool = False,
     check: bool = True,
     exact: bool = False,
+    hashed: bool = False,
+    ranges: int = 0,
+    bounds: DataFrame | None = None,
     stored: Sequence[str] | None = None,
     writers: int = 0,
+    pushed=None,
 ) -> SyncResult:
     """The destination after a sync of ``src`` into it, as a plan to be written and as a change.
 
     Slices are partitions, or chunks within them, compared by signature in one pass over each
     side. Only slices out of sync are read again, and only their ids are checked; for an appended
     tail only the rows beyond the destination's greatest id, for slices to merge those beyond the
-    id found by ``depth`` probes of all of them at once. Destination columns that the source lacks
+    id found by ``depth`` probes of all of them at once, or, with ``ranges``, those of the 2 ** ranges id
+    ranges of each that differ. A slice that the source lacks goes, whether it is a partition, a chunk
+    or the table. ``bounds`` are chunks that were planned before. ``pushed`` answers signatures and slices of the
+    source in its own database. Destination columns that the source lacks
     are not compared and keep their values. ``stored`` names the destination's own columns, if
     ``dst`` has others (pseudo-columns). All slices are applied in one change, so a commit is atomic.
     """
@@ -136,10 +146,7 @@ def synchronise(
     elif new_id_only:
         if len(ids) != 1:
             raise ValueError("new ids need exactly one id column")
-        if check:
-            check_ids(dst, ids, "destination")
-            check_ids(src, ids, "source")
-        fresh = narrow.new_ids(src, dst, ids[0], parts)
+        fresh = stage(narrow.new_ids(src, dst, ids[0], parts), "fresh")
         sig = fresh.groupBy(*parts).agg(F.count(F.lit(1)).alias("src_cnt")) if parts else fresh.agg(
             F.count(F.lit(1)).alias("src_cnt")
         )
@@ -155,17 +162,22 @@ def synchronise(
         if chunk_size:
             if len(ids) != 1:
                 raise ValueError("chunks need exactly one id column")
-            bounds = chunking.boundaries(src, ids[0], chunk_size)
+            bounds = chunking.sketched(src, ids[0], chunk_size) if bounds is None else bounds
             a, b = (chunking.assign(x, bounds, ids[0], "_chunk_no") for x in (src, dst))
             slices = [*parts, "_chunk_no"]
         compared = b.select(*shared, *[c for c in slices if c not in shared])
         rule = (columns, count_only, precision, date_format)
         if chunk_size and append_only:
-            plan = stage(diff.fast_diff(a, compared, ids, slices, *rule, exact=exact), "plan")
+            plan = stage(diff.fast_diff(a, compared, ids, slices, *rule, exact=exact, hashed=hashed), "plan")
         else:
-            plan = stage(diff.diff(a, compared, ids, slices, *rule, exact=exact), "plan")
-        if depth and len(ids) == 1:
-            keep = plan_columns(compared, ids, slices, *rule, exact)
+            plan = stage(diff.diff(a, compared, ids, slices, *rule, exact=exact, hashed=hashed, pushed=pushed), "plan")
+        if pushed is not None:
+            a = pushed.rows(plan.filter(F.col("method").isin(*MOVING)), slices, ids[0] if len(ids) == 1 else None)
+        if ranges and len(ids) == 1 and not chunk_size:
+            plan, a, b = refined(plan, a, b, ids[0], slices, rule, ranges, exact, hashed)
+            slices = [*slices, RANGE]
+        elif depth and len(ids) == 1:
+            keep = diff.compared_columns(a, compared, ids, slices, *rule, exact)
             plan = _narrowed(plan, a, compared, ids[0], slices, keep, depth)
     by_method = plan.groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.sum("src_cnt").alias("s"), F.sum("dst_cnt").alias("d")).collect()
     methods = {r["method"]: r["n"] for r in by_method}
@@ -177,10 +189,13 @@ def synchronise(
     names = {n.lower() for n in own}
     moved = moved.select(*[c for c in moved.columns if c.lower() in names], "method")
     staged = stage(_fitted(moved, dst.select(*own).schema), "moved", writers)
+    if pushed is not None:
+        check_staged(staged, moving, ids[0] if len(ids) == 1 else None)
     if check and not force and set(methods) - {diff.IN_SYNC, diff.REMOVED}:
         check_ids(staged, ids, "source")
-        check_ids(_plan_join(b, moving, slices, small, "method").select(*b.columns), ids, "destination")
-    gone = plan.filter(F.col("method").isin(*diff.DELETES, *([] if keep_removed else [diff.REMOVED])))
+        if not new_id_only:  # ids beyond the destination's greatest cannot repeat one of it
+            check_ids(_plan_join(b, moving, slices, small, "method").select(*b.columns), ids, "destination")
+    gone = plan.filter(F.col("method").isin(*diff.DELETES, diff.REMOVED))
     if append_update_only or (force and append_only) or not set(methods) & {*diff.DELETES, diff.REMOVED}:
         gone = None
     change = _change(staged, dst, b, gone, slices, ids, own, append_only, append_update_only, small)
@@ -293,9 +308,12 @@ def deadline(spark: SparkSession, seconds: float) -> Iterator[None]:
 class Engine:
     """Runs requests: one running job for each id, asynchronously if asked; keeps a history."""
 
-    TRIES, PAUSE_S = 3, 1.0
+    TRIES, PAUSE_S, LOCK_WAIT_S = 3, 1.0, 3600.0
 
-    def __init__(self, spark: SparkSession, history: int = 10, threads: int = 4):
+    def __init__(self, spark: SparkSession, history: int = 10, threads: int = 4, leases: str | None = None, lease_s: float = 60.0):
+        """``leases`` is a folder that several drivers share (``spark.checkpoint.dir`` if it is set): a job's id and a
+        destination are then held by one of them at a time."""
+        self.leases, self.lease_s = leases or spark.sparkContext.getConf().get("spark.checkpoint.dir"), lease_s
         self.spark, self.jobs, self.history = spark, Jobs(), History(history)
         self.pool = ThreadPoolExecutor(threads)
         self.locks = Locks()
@@ -315,7 +333,8 @@ class Engine:
     def _run(self, request: SyncRequest, job) -> SyncResponse:
         response = SyncResponse(job.id, "ok")
         try:
-            self._tried(lambda: self._once(request, response), request.transfer.max_retries + 1)
+            with leased(self.spark, self.leases, f"job {job.id}", ttl_s=self.lease_s):
+                self._tried(lambda: self._once(request, response), request.transfer.max_retries + 1)
         except Exception as error:  # noqa: BLE001 - reported to the caller
             response.status, response.error = "error", str(error)
         finally:
@@ -337,7 +356,8 @@ class Engine:
 
     def _once(self, request: SyncRequest, response: SyncResponse) -> None:
         if request.lock:
-            with self.locks.held(request.dest.path or request.dest.table):
+            name = request.dest.path or request.dest.table
+            with self.locks.held(name), leased(self.spark, self.leases, f"table {name}", self.LOCK_WAIT_S, self.lease_s):
                 self._locked(request, response)
         else:
             self._locked(request, response)
@@ -354,37 +374,51 @@ class Engine:
         if not one_by_one or s.force:
             self._slice(request, sides, response, None)
             return
-        for where in self._slices(request, sides):
+        journal = Journal(self.spark, key_of(request))
+        if not journal.exists():
+            journal.write(self._slices(request, sides))
+        for number, row in journal.remaining():
+            where = self._where(request, row)
             self._tried(lambda where=where: self._slice(request, Sides(self.spark, request, pinned=sides.pinned), response, where), self.TRIES)
+            journal.mark(number)
+        journal.close()
 
-    def _slices(self, request: SyncRequest, sides: Sides) -> list[Column]:
-        """A predicate for each slice out of sync, as it is now: partitions, or chunks if asked for one by one."""
+    def _slices(self, request: SyncRequest, sides: Sides) -> DataFrame:
+        """The slices out of sync, as they are now: partitions, or chunks (with their bounds) if asked for one by one."""
         s = request.strategy
         parts, a, b = list(s.partition.columns), sides.src, sides.dst
         bounds = None
         if s.chunk.size and s.chunk.sync_mode == "individual":
-            bounds = chunking.boundaries(a, s.ids[0], s.chunk.size)
+            bounds = chunking.sketched(a, s.ids[0], s.chunk.size)
             a, b = (chunking.assign(x, bounds, s.ids[0], "_chunk_no") for x in (a, b))
             parts = [*parts, "_chunk_no"]
-        shared = [c for c in b.columns if c.lower() in {x.lower() for x in a.columns}]
-        plan = diff.diff(a, b.select(*shared), s.ids, parts, custom(s.diff), s.diff.count_only, s.diff.precision, s.diff.date_format)
-        rows = plan.filter(F.col("method") != diff.IN_SYNC).select(*parts).limit(diff.SMALL_PLAN + 1).collect()
-        if len(rows) > diff.SMALL_PLAN:
-            raise ValueError(f"more than {diff.SMALL_PLAN} slices to sync one by one: use the batch mode")
-        ranges = {r["chunk"]: (r["lo"], r["hi"]) for r in chunking.with_ranges(bounds).collect()} if bounds is not None else {}
-        out = []
-        for r in sorted(rows, key=str):
-            where = [F.col(f"`{p}`").eqNullSafe(F.lit(r[p])) for p in parts if p != "_chunk_no"]
-            if bounds is not None:
-                low, high = ranges.get(r["_chunk_no"], (None, None))
-                where.append(chunking.id_filter(s.ids[0], None if r["_chunk_no"] == 0 else low, None if high is None else high - 1))
-            out.append(reduce(and_, where, F.lit(True)))
-        return out
+        shared = [c for c in b.columns if c.lower() in {x.lower() for x in a.columns} or c in parts]
+        rule = (custom(s.diff), s.diff.count_only, s.diff.precision, s.diff.date_format)
+        plan = diff.diff(a, b.select(*shared), s.ids, parts, *rule, exact=s.diff.exact, hashed=s.diff.hash)
+        out = plan.filter(F.col("method") != diff.IN_SYNC).select(*[F.col(f"`{p}`") for p in parts])
+        if bounds is None:
+            return out
+        ranges = chunking.with_ranges(bounds).select(F.col("chunk").alias("_of"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
+        return out.join(ranges, F.col("_chunk_no") == F.col("_of"), "left").drop("_of")
+
+    @staticmethod
+    def _where(request: SyncRequest, row) -> Column:
+        """The predicate of a slice of the journal."""
+        held = row.asDict()
+        where = [F.col(f"`{p}`").eqNullSafe(F.lit(held[p])) for p in request.strategy.partition.columns]
+        if "_chunk_no" in held:
+            low, high = held["_lo"], held["_hi"]
+            where.append(chunking.id_filter(request.strategy.ids[0], None if held["_chunk_no"] == 0 else low, None if high is None else high - 1))
+        return reduce(and_, where, F.lit(True))
 
     def _slice(self, request: SyncRequest, sides: Sides, response: SyncResponse, where: Column | None) -> None:
         """Syncs all rows, or those under ``where``, and commits once."""
         s = request.strategy
         src, dst, only = sides.src, sides.dst, sides.where
+        bounds = None
+        if s.chunk.size and request.source.chunk_sql:
+            low = src.agg(F.min(s.ids[0])).first()[0]
+            bounds = chunking.by_query(self.spark, request.source.chunk_sql, s.ids[0], s.chunk.size, low)
         if where is not None:
             src, dst = src.filter(where), dst.filter(where)
             only = where if only is None else where & only
@@ -392,8 +426,8 @@ class Engine:
             src, dst, s.ids, s.partition.columns,
             columns=custom(s.diff), count_only=s.diff.count_only, precision=s.diff.precision, date_format=s.diff.date_format,
             depth=s.diff.depth, new_id_only=s.diff.new_id_only, chunk_size=s.chunk.size, append_only=s.append_only,
-            append_update_only=s.append_update_only, force=s.force, keep_removed=not s.partition.columns, exact=s.diff.exact,
-            stored=sides.stored, writers=request.transfer.writers,
+            append_update_only=s.append_update_only, force=s.force, exact=s.diff.exact, hashed=s.diff.hash, ranges=s.diff.ranges, bounds=bounds,
+            stored=sides.stored, writers=request.transfer.writers, pushed=sides.pushed if where is None else None,
         )
         response.source += made.source
         response.dest += made.dest
@@ -456,27 +490,32 @@ class Locks:
 class Sides:
     """Both sides of a request as they are now: filtered, with pseudo-columns, and how to write back.
 
-    A source that may change between reads (JDBC, plug-ins) is read once and pinned: signatures,
-    checks and rows then agree. Files and their queries are listed when the frame is made.
+    The database of a JDBC source computes signatures and sends only slices that move (``pushed``), or only
+    ids beyond the destination's. Where a request needs more of it (pseudo-columns, chunks, narrowing, partitions
+    by query, slices one by one), and for plug-ins, the source is read once, under the criteria and with the columns
+    asked for, and pinned: signatures, checks and rows then agree. Files and their queries are listed when
+    the frame is made.
     """
 
     def __init__(self, spark: SparkSession, request: SyncRequest, pinned: DataFrame | None = None):
         s, dest = request.strategy, request.dest
         self.table = SnapshotTable(spark, dest.path) if dest.path else None
-        src = load(spark, request.source) if pinned is None else pinned
-        if pinned is None and moving(request.source):
-            src = stage(src, "source")
-        self.pinned = src
         self.version = self.table.version() if self.table else None
         self.whole = self.table.read(self.version) if self.table and self.version is not None else load(spark, dest)
         self.stored = self.whole.columns
-        frames = []
-        for resource, df in ((request.source, src), (dest, self.whole)):
-            df = with_pseudo(df, {k: e for k, e in resource.pseudo.items() if k not in df.columns})
-            where = conjunction(resource.criteria)
-            frames.append((df.filter(where) if where is not None else df, where))
-        (self.src, _), (self.dst, self.where) = frames
-        self.others = None
+        whole = load(spark, request.source) if pinned is None else pinned
+        self.src, _ = self._asked(whole, request.source)
+        self.dst, self.where = self._asked(self.whole, dest)
+        self.others = self.pushed = None
+        if s.columns:
+            names = explicit(self.dst, [*s.columns, *s.ids, *s.partition.columns])
+            self.src = sync_projection(self.src, s.ids, [n for n in names if n.lower() in {c.lower() for c in self.src.columns}])
+        if pinned is None and moving(request.source):
+            if self._pushable(request):
+                self.pushed = self._pushed(request, whole)
+            if self.pushed is None and not (s.diff.new_id_only and not s.partition.columns):
+                self.src = stage(self.src, "source")
+        self.pinned = self.src if moving(request.source) else None
         if request.source.partition_sql:
             asked = stage(partition_values(spark, request.source, self.src, s.partition.columns), "asked")
             if dest.partition_sql:
@@ -485,15 +524,37 @@ class Sides:
             self.src = self.src.join(asked, s.partition.columns, "left_semi").select(*self.src.columns)
             self.others = self.dst.join(asked, s.partition.columns, "left_anti").select(*self.stored)
             self.dst = self.dst.join(asked, s.partition.columns, "left_semi").select(*self.dst.columns)
-        if s.columns:
-            names = explicit(self.dst, [*s.columns, *s.ids, *s.partition.columns])
-            self.src = sync_projection(self.src, s.ids, [n for n in names if n.lower() in {c.lower() for c in self.src.columns}])
+
+    @staticmethod
+    def _asked(df: DataFrame, resource) -> tuple[DataFrame, Column | None]:
+        """With its pseudo-columns, under its criteria; and those."""
+        df = with_pseudo(df, {k: e for k, e in resource.pseudo.items() if k not in df.columns})
+        where = conjunction(resource.criteria)
+        return (df.filter(where) if where is not None else df), where
+
+    def _pushed(self, request: SyncRequest, whole: DataFrame) -> Pushed | None:
+        """None if the database cannot compute the signature."""
+        s, source = request.strategy, request.source
+        held = Pushed(self.table.spark if self.table else whole.sparkSession, source, whole.select(*self.src.columns), source.criteria, s.diff.batch_size)
+        lower = {c.lower() for c in self.src.columns}
+        compared = self.dst.select(*[c for c in self.dst.columns if c.lower() in lower])
+        rule = (custom(s.diff), s.diff.count_only, s.diff.precision, s.diff.date_format)
+        cols = diff.pushed_columns(self.src, compared, s.ids, s.partition.columns, *rule)
+        return held if held.works(cols, s.partition.columns) else None
+
+    @staticmethod
+    def _pushable(request: SyncRequest) -> bool:
+        s, source = request.strategy, request.source
+        plain = source.format == "jdbc" and source.push_down and not (source.pseudo or source.partition_sql)
+        return plain and not (
+            s.force or s.diff.depth or s.diff.ranges or s.diff.hash or s.diff.new_id_only or s.chunk.size or s.partition.sync_mode == "individual"
+        )
 
     def write(self, change: Change, request: SyncRequest) -> None:
         """Commits a change: a snapshot's files, a transaction of a JDBC table, or a catalog table."""
         if self.table:
             if self.version is None or change.whole is not None:
-                self.table.commit(change.result(self.whole), expect=self.version)
+                self.table.commit(change.result(self.whole), expect=self.version, keys=request.strategy.ids)
             else:
                 self.table.change(change.drops, change.add, self.version)
         else:

@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from deltaloom.operators.projection import staging_name
 from deltaloom.sources.staging import stage
@@ -95,13 +96,76 @@ def write_change(whole: DataFrame, change, resource, transfer) -> None:
 
 
 def _change_table(whole: DataFrame, change, resource) -> None:
-    """A catalog table: rows to add are appended; else the result is staged, so that nothing is read while
-    it is overwritten, and a write that fails can be repeated from the stage."""
+    """A catalog table. Rows to add are appended. Else, of a partitioned table just the partitions are written that rows
+    leave or enter; any other managed table is built beside and takes the old one's name, and an external one is
+    overwritten from a stage. A write that fails leaves the rows as they were (an external table: the stage)."""
+    spark, table = whole.sparkSession, resource.table
     if change.whole is None and not change.drops:
         if change.add is not None:
-            stage(change.add, "add").select(*whole.columns).write.insertInto(resource.table)
+            stage(change.add, "add").select(*whole.columns).write.insertInto(table)
         return
-    stage(change.result(whole), "result").select(*whole.columns).write.insertInto(resource.table, overwrite=True)
+    parts = [c.name for c in spark.catalog.listColumns(table) if c.isPartition]
+    if parts and change.whole is None:
+        _overwrite_partitions(whole, change, table, parts)
+        return
+    result = stage(change.result(whole), "result").select(*whole.columns)
+    if spark.catalog.getTable(table).tableType == "MANAGED":
+        _swap(result, table)
+    else:
+        result.write.insertInto(table, overwrite=True)
+
+
+def _overwrite_partitions(whole: DataFrame, change, table: str, parts: list[str]) -> None:
+    spark = whole.sparkSession
+    names = [F.col(f"`{p}`") for p in parts]
+    touched = [] if change.add is None else [change.add.select(*names)]
+    for keys in change.drops:
+        on = [F.col(f"o.`{c}`").eqNullSafe(F.col(f"k.`{c}`")) for c in keys.columns]
+        touched.append(whole.alias("o").join(keys.alias("k"), on, "left_semi").select(*names))
+    held = touched[0]
+    for t in touched[1:]:
+        held = held.union(t)
+    held = stage(held.distinct(), "touched")
+    on = [F.col(f"o.`{p}`").eqNullSafe(F.col(f"t.`{p}`")) for p in parts]
+    inside = whole.alias("o").join(held.alias("t"), on, "left_semi")
+    result = stage(change.result(inside), "result").select(*whole.columns)
+    mode = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(mode)
+    spark.conf.set(mode, "dynamic")
+    try:
+        result.write.insertInto(table, overwrite=True)
+    finally:
+        spark.conf.set(mode, before)
+    # partitions without a row left are not written, and go
+    empty = held.alias("o").join(result.select(*names).distinct().alias("t"), on, "left_anti")
+    for r in empty.toLocalIterator():
+        spec = ", ".join(f"`{p}` = {_sql_literal(r[p])}" for p in parts)
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({spec})")
+
+
+def _sql_literal(value) -> str:
+    if value is None:
+        return "null"
+    return str(value) if isinstance(value, int | float) and not isinstance(value, bool) else "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _swap(result: DataFrame, table: str) -> None:
+    """Writes a table beside and gives it the name; until then readers see the old one."""
+    spark, run = result.sparkSession, uuid.uuid4().hex[:8]
+    new, old = f"{table}__new_{run}", f"{table}__old_{run}"
+    spark.sql(f"CREATE TABLE {new} LIKE {table}")
+    try:
+        result.write.insertInto(new)
+        spark.sql(f"ALTER TABLE {table} RENAME TO {old}")
+        try:
+            spark.sql(f"ALTER TABLE {new} RENAME TO {table}")
+        except Exception:
+            spark.sql(f"ALTER TABLE {old} RENAME TO {table}")
+            raise
+    except Exception:
+        spark.sql(f"DROP TABLE IF EXISTS {new}")
+        raise
+    spark.sql(f"DROP TABLE IF EXISTS {old}")
 
 
 def _dialect(spark: SparkSession, resource):

@@ -210,3 +210,75 @@ def test_locks_and_finished_jobs_are_forgotten(spark, tmp_path):
         engine.sync(r)
         engine.running[r.request_id()].result()
     assert not engine.locks._held and len(engine.running) == 1
+
+
+def sent(spark, before=frozenset()):
+    """Rows that left databases: the output of every JDBC scan of the executions not in ``before``."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    executions, total, seen = store.executionsList(), 0, set()
+    for k in range(executions.size()):
+        e = executions.apply(k).executionId()
+        seen.add(e)
+        if e in before:
+            continue
+        nodes = store.planGraph(e).allNodes()
+        for n in range(nodes.size()):
+            node = nodes.apply(n)
+            if not node.name().startswith("Scan JDBC"):
+                continue
+            values, metrics = store.executionMetrics(e), node.metrics()
+            for m in range(metrics.size()):
+                if metrics.apply(m).name() == "number of output rows" and values.contains(metrics.apply(m).accumulatorId()):
+                    total += int(values.apply(metrics.apply(m).accumulatorId()).replace(",", ""))
+    return total, seen
+
+
+@pytest.mark.parametrize("parts, batch", [(["kind"], 512), (["kind"], 1), (["kind", "half"], 3)])
+def test_jdbc_source_sends_only_slices_that_differ(spark, derby, tmp_path, parts, batch):
+    half = lambda df: df.withColumn("half", F.when(F.col("id") % 2 == 0, 7))
+    src = derby("SRC", half(frame(spark, range(1, 2001), kinds=20)))
+    table = SnapshotTable(spark, str(tmp_path / "dst"))
+    table.commit(half(frame(spark, [i for i in range(1, 2001) if i % 20 != 3], (47,), kinds=20)))
+    strategy = {"ids": ["id"], "partition": {"columns": parts}, "diff": {"batchSize": batch}}
+    _, before = sent(spark)
+    out = Engine(spark).sync(request(src, {"path": str(tmp_path / "dst")}, strategy=strategy))
+    assert out.status == "ok", out.error
+    # one partition of twenty is missing, another has a changed row
+    assert rows(table.read()) == rows(frame(spark, range(1, 2001), kinds=20))
+    assert out.transferred == 200
+    n, _ = sent(spark, before)
+    assert 200 <= n <= 200 + 3 * 2 * 20, n  # the slices, and signatures
+
+
+def test_jdbc_tail_criteria_and_columns(spark, derby, tmp_path):
+    src = derby("SRC", frame(spark, range(1, 1001), kinds=4))
+    table = SnapshotTable(spark, str(tmp_path / "dst"))
+    table.commit(frame(spark, range(1, 901), kinds=4))
+    strategy = {"ids": ["id"], "partition": {"columns": ["kind"]}}
+    _, before = sent(spark)
+    out = Engine(spark).sync(request(src | {"criteria": {"kind": [1, 2]}}, {"path": str(tmp_path / "dst"), "criteria": {"kind": [1, 2]}}, strategy=strategy))
+    assert out.status == "ok" and out.methods == {"insert": 2}, (out.error, out.methods)
+    n, before = sent(spark, before)
+    assert n <= 50 + 20, n
+    assert rows(table.read()) == rows(frame(spark, [i for i in range(1, 1001) if i <= 900 or i % 4 in (1, 2)], kinds=4))
+    # ids beyond the destination's greatest, by one maximum
+    table.commit(frame(spark, range(1, 901), kinds=4), expect=table.version())
+    out = Engine(spark).sync(request(src, {"path": str(tmp_path / "dst")}, strategy={"ids": ["id"], "diff": {"newIdOnly": True}}))
+    assert out.status == "ok" and sent(spark, before)[0] <= 100 and table.read().count() == 1000, out.error
+    # what the database cannot sum is read once instead
+    Resource(table="BIG", format="jdbc", options=src["options"])
+    loaders.save(frame(spark, range(1, 50)), Resource(table="BIG", format="jdbc", options={k: v for k, v in src["options"].items() if k != "createTableColumnTypes"}))
+    plain = {"table": "BIG", "format": "jdbc", "options": {k: v for k, v in src["options"].items() if k != "createTableColumnTypes"}}
+    table.commit(frame(spark, range(1, 40)), expect=table.version())
+    out = Engine(spark).sync(request(plain, {"path": str(tmp_path / "dst")}))
+    assert out.status == "ok" and rows(table.read()) == rows(frame(spark, range(1, 50))), out.error
+
+
+def test_a_source_that_changes_meanwhile_is_an_error(spark):
+    from deltaloom.sources.jdbc import MovedError, check_staged
+
+    plan = spark.createDataFrame([(4, 1, 4, None)], "src_cnt long, src_min long, src_max long, in_sync_id long")
+    check_staged(frame(spark, [1, 2, 3, 4]), plan, "id")
+    for ids in ([1, 2, 3], [1, 2, 3, 5]):
+        with pytest.raises(MovedError):
+            check_staged(frame(spark, ids), plan, "id")
