@@ -272,8 +272,10 @@ class SnapshotTable:
             return expect
         old = [f for g in groups for f in g]
         where = self.spark.createDataFrame([(f, k) for k, g in enumerate(groups) for f in g], "_name string, _bin long")
-        df = self._frame(manifest, old, F.regexp_extract(F.col("_metadata.file_path"), r"(d-[0-9a-f]{32}/.*)$", 1).alias("_file"))
-        df = df.join(F.broadcast(where) if len(old) <= MOST else where, F.col("_file") == F.col("_name")).drop("_file", "_name")
+        df = self._frame(manifest, old, F.regexp_extract(F.col("_metadata.file_path"), r"^.*/(d-[0-9a-f]{32}/.*)$", 1).alias("_file"))
+        df = df.join(F.broadcast(where) if len(old) <= MOST else where, F.col("_file") == F.col("_name"), "left")
+        unknown = F.raise_error(F.concat(F.lit("a file that no group has: "), "_file")).cast("long")
+        df = df.withColumn("_bin", F.coalesce("_bin", unknown)).drop("_file", "_name")
         df = df.repartitionByRange(len(groups), "_bin", *keys).sortWithinPartitions("_bin", *keys)
         made = self._stored(df, "_bin")
         files = [f for f in manifest["files"] if f not in set(old)] + made

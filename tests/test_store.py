@@ -65,8 +65,9 @@ def test_far_apart_changes_inserts_and_tails_keep_files_apart(spark, tmp_path):
     assert t.opened == set() and content(t) == sorted(want.items())
 
 
-def test_compaction_joins_small_neighbours(spark, tmp_path):
-    t = table(spark, tmp_path)
+@pytest.mark.parametrize("name", ["t", "d-" + "0" * 32])  # a path that looks like a file's folder
+def test_compaction_joins_small_neighbours(spark, tmp_path, name):
+    t = table(spark, tmp_path, name=name)
     for k in range(12):
         t.change([], frame(spark, [4000 + k]), t.version())
     many = len(t.manifest()["files"])
