@@ -52,6 +52,28 @@ def _scalar(value):
     return value
 
 
+_LITERAL = re.compile(r"\s*(?:(-?\d+(?:\.\d+)?)|'((?:[^']|'')*)')\s*(,|$)")
+
+
+def in_values(items: Iterable) -> list:
+    """The values of a list; an item in parentheses is a list of literals, numbers or quoted text, as it stands in SQL."""
+    out = []
+    for item in items:
+        text = item.strip() if isinstance(item, str) else ""
+        if not (text.startswith("(") and text.endswith(")")):
+            out.append(_scalar(item))
+            continue
+        at, inner = 0, text[1:-1]
+        while at < len(inner):
+            m = _LITERAL.match(inner, at)
+            if not m:
+                raise ValueError(f"not a list of literals: {item!r}")
+            number, quoted, _ = m.groups()
+            out.append(quoted.replace("''", "'") if number is None else float(number) if "." in number else int(number))
+            at = m.end()
+    return out
+
+
 def criterion(key: str | Column, value) -> Column:
     """The predicate ``key`` against ``value``.
 
@@ -83,7 +105,7 @@ def criterion(key: str | Column, value) -> Column:
                 "<=": col <= literal, ">=": col >= literal, "<>": col != literal, "<": col < literal, ">": col > literal,
             }[m["op"]]
         case list() | tuple() | set() | frozenset():
-            return col.isin([_scalar(v) for v in value])
+            return col.isin(in_values(value))
         case _:
             return col == _scalar(value)
 

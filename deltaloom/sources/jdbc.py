@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from deltaloom.functions.criteria import Between, GreaterOrEqual, GreaterThan, LessOrEqual, _RAW, _SAFE, _scalar, batches
+from deltaloom.functions.criteria import Between, GreaterOrEqual, GreaterThan, LessOrEqual, _RAW, _SAFE, _scalar, batches, in_values
 from deltaloom.functions.types import FRACTION, LARGE, WHOLE, DiffColumn
 from deltaloom.operators import diff
 from deltaloom.sources.staging import stage
@@ -77,7 +77,7 @@ class Pushed:
                     raise ValueError(f"not a comparison with a literal: {value!r}")
                 return f"{c} {m['op']} {m['value']}" if m["op"] else f"{c} IS {'NOT ' * bool(m['no'])}NULL"
             case list() | tuple() | set() | frozenset():
-                some = [self.literal(_scalar(v)) for v in value if v is not None]
+                some = [self.literal(v) for v in in_values(x for x in value if x is not None)]
                 tests = ([f"{c} IN ({', '.join(some)})"] if some else []) + ([f"{c} IS NULL"] if None in value else [])
                 return f"({' OR '.join(tests)})" if tests else "1 = 0"
             case _:

@@ -85,3 +85,17 @@ def test_other_functions_pass_through(spark):
     df = spark.createDataFrame([(1.0,), (3.0,)], "x double")
     assert df.agg(DiffColumn("AVG", "x").column()).first()[0] == 2.0
     assert df.agg(DiffColumn("MIN", "x").column()).first()[0] == 1.0
+
+
+def test_items_in_parentheses_are_lists_of_literals(spark):
+    import pytest
+
+    from deltaloom.functions.criteria import criterion
+
+    df = spark.createDataFrame([(k, f"it's {k}") for k in range(6)], "id long, name string")
+    ids = lambda where: sorted(r.id for r in df.filter(where).collect())
+    assert ids(criterion("id", ["(1, 2)", 4, "5"])) == [1, 2, 4, 5]
+    assert ids(criterion("name", ["('it''s 1', 'it''s 3')", "it's 0"])) == [0, 1, 3]
+    for bad in ("(select 1)", "(1 2)", "(1); drop table x --)"):
+        with pytest.raises(ValueError):
+            criterion("id", [bad])
