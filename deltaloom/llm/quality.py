@@ -163,16 +163,18 @@ def _vectors(batches):
         rows = [statistics(t) for t in raw]
         flat = pa.array(np.array(rows).reshape(-1), pa.float64())
         lists = pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * len(NAMES), flat)
-        yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["y", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), lists], ["doc_id", "tkey", "y", "x"])
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Trees:
-    """Trees from at most ``SAMPLE`` labelled documents that are not held out."""
+    """Trees from at most ``SAMPLE`` labelled documents that are not held out; repeated rows count once."""
     sample = labelled(narrow(docs, "doc_id", "text"), labels, "quality", SAMPLE)
     rows = (
-        sample.select("y", "text")
-        .mapInArrow(_vectors, "y int, x array<double>")
-        .limit(2 * SAMPLE)  # only repeated ids could exceed the sample
+        sample.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tkey"), "y", "text")
+        .mapInArrow(_vectors, "doc_id long, tkey long, y int, x array<double>")
+        .dropDuplicates(["doc_id", "tkey"])  # rows of one id and text have the same statistics and label
+        .orderBy(F.xxhash64("doc_id"), "doc_id", "tkey")
+        .limit(SAMPLE)
         .collect()
     )
     x = np.array([r["x"] for r in rows]).reshape(-1, len(NAMES))

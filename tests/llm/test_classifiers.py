@@ -156,3 +156,18 @@ def test_statistics_of_a_long_and_of_odd_texts():
         assert all(np.isfinite(Q.statistics(raw)))
     by = dict(zip(Q.NAMES, Q.statistics(b"aa bb aa bb\naa bb aa bb"), strict=True))
     assert by["distinct_words"] == pytest.approx(2 / 8, abs=0.2) and by["repeated_lines"] > 0 and by["upper"] == 0
+
+
+def test_repeated_ids_do_not_change_which_rows_are_learned(spark, monkeypatch):
+    """However rows are dealt over tasks, the trees are the same, and so they are where rows are repeated."""
+    import numpy as np
+
+    from deltaloom.llm import quality
+
+    monkeypatch.setattr(quality, "SAMPLE", 60)
+    rows = [(i % 90, f"text {i % 150} " + "word " * (i % 13)) for i in range(600)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(90)], "doc_id long, quality int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one = quality.fit(docs.coalesce(1), labels)
+    for other in (docs.repartition(7), docs.union(docs).repartition(5, "text")):
+        assert all(np.array_equal(a, b) for a, b in zip(vars(one).values(), vars(quality.fit(other, labels)).values(), strict=True))
