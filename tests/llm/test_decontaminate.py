@@ -101,3 +101,30 @@ def test_each_size_class_has_an_index():
     small = " ".join(f"a{i}" for i in range(12)).encode()
     assert [(t, own.ids[i]) for t, i, *_ in own.matches([small, b"x y"])] == [(0, 1)]
     assert max(looked) < 100  # the class of 200 words is never searched for texts of 12
+
+
+@pytest.mark.parametrize("setting, value", [("PART", 300), ("FILTER", 1 << 10)])
+def test_small_parts_and_full_filters_lose_nothing(spark, data, monkeypatch, setting, value):
+    """A block searched by many tasks, and a filter that lets nearly every text through."""
+    monkeypatch.setattr(D, setting, value)
+    monkeypatch.setattr(D, "BLOCK", 2000)
+    docs, items = data
+    df = spark.createDataFrame([(d, t, [1]) for d, t in docs], "doc_id long, text string, id array<int>")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = brute(docs, items)
+    got = D.contained_items(df, bench).collect()
+    assert sorted(str(tuple(r)) for r in got) == sorted(map(str, want))
+    dirty = {d for d, *_ in want}
+    kept = D.without_contaminated(df, bench)
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(d) for d, _ in docs if d not in dirty)
+
+
+def test_filter_sends_texts_to_the_blocks_of_their_items_only(spark):
+    items = [(i, " ".join(f"i{i}w{k}" for k in range(30))) for i in range(200)]
+    bench, n = D.blocks(spark.createDataFrame(items, "item_id long, text string").repartition(3))
+    assert n == 1
+    block = {r.item_id: r.item_id % 7 for r in bench.collect()}
+    bench = bench.drop("block").selectExpr("item_id", "text", "cast(item_id % 7 as int) as block")
+    own = D.bloom(bench, 7).value
+    texts = [f"before {t} after".encode() for _, t in items] + [b"x y z " * 400, b"", b"two words"]
+    assert own.routes(texts) == [(i, block[i]) for i, _ in items]
