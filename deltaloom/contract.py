@@ -55,6 +55,7 @@ class Diff:
 class Partition:
     columns: list[str] = field(default_factory=list)
     provider_sql: str = ""
+    check_values: bool = True  # refuse partitions whose texts spell the same value differently on the two sides
     threads: int = 2
     sync_mode: str = "batch"  # all slices in one commit; "individual": one commit each, tried three times
 

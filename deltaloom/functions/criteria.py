@@ -6,6 +6,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
+from datetime import date, timedelta
 from functools import reduce
 from operator import and_
 
@@ -31,6 +32,18 @@ class Between:
     high: int
 
 
+@dataclass(frozen=True)
+class Days:
+    """Dates or times from the beginning of the day ``first`` to the end of ``last``."""
+
+    first: date
+    last: date
+
+    @property
+    def end(self) -> date:
+        return self.last + timedelta(days=1)
+
+
 @dataclass(frozen=True)
 class LessOrEqual:
     value: int
@@ -85,6 +98,8 @@ def criterion(key: str | Column, value) -> Column:
     match value:
         case Between():
             return col.between(value.low, value.high)
+        case Days():
+            return (col >= F.lit(value.first)) & (col < F.lit(value.end))
         case LessOrEqual():
             return col <= value.value
         case GreaterThan():

@@ -210,6 +210,25 @@ def removed_partitions(src: DataFrame, dst: DataFrame, parts: Sequence[str]) ->
     return a.join(b, [F.col(f"`{p}`").eqNullSafe(F.col(f"_s_{p}")) for p in parts], "left_anti")
 
 
+def _canonical(value: Column) -> Column:
+    """The number or time that a text spells, else the text itself."""
+    text = F.trim(value)
+    return F.coalesce(text.try_cast("double").cast("string"), text.try_cast("timestamp").cast("string"), text)
+
+
+def misspelt(plan: DataFrame, parts: Sequence[str]) -> DataFrame:
+    """(src_<part>, dst_<part>, …) of partitions that only the source has and only the destination has, though their
+    texts spell the same numbers or times: compared as text, each would be inserted on one side and removed on the other.
+    """
+    texts = {f.name for f in plan.schema if f.name in parts and isinstance(f.dataType, T.StringType)}
+    a = plan.filter(F.col("method") == INSERT).select(*[F.col(f"`{p}`").alias(f"src_{p}") for p in parts])
+    b = plan.filter(F.col("method") == REMOVED).select(*[F.col(f"`{p}`").alias(f"dst_{p}") for p in parts])
+    if not texts:
+        return a.join(b, F.lit(False))
+    form = lambda side, p: _canonical(F.col(f"`{side}_{p}`")) if p in texts else F.col(f"`{side}_{p}`")
+    return a.join(b, [form("src", p).eqNullSafe(form("dst", p)) for p in parts])
+
+
 def label(method: Column, direct: Column | None = None) -> Column:
     """``direct`` for slices written straight to the destination, else the method."""
     return method if direct is None else F.when(direct, "direct").otherwise(method)

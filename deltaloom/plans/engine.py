@@ -9,6 +9,7 @@ from collections.abc import Iterator, Sequence
 from concurrent.futures import Future, ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
+from datetime import date
 from functools import reduce
 from operator import and_
 
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from deltaloom.contract import SyncRequest, SyncResponse
 from deltaloom.functions.compare import fitted
-from deltaloom.functions.criteria import conjunction
+from deltaloom.functions.criteria import Days, conjunction
 from deltaloom.functions.types import DiffColumn
 from deltaloom.operators import chunking, diff, merge, narrow
 from deltaloom.operators.projection import explicit, sync_projection, with_pseudo
@@ -25,6 +26,7 @@ from deltaloom.operators.ranges import RANGE, refined
 from deltaloom.operators.signature import id_consistency, single
 from deltaloom.plans.control import History, Jobs
 from deltaloom.plans.journal import Journal, key_of
+from deltaloom.plans.quality import over_dates
 from deltaloom.sources.jdbc import Pushed, check_staged
 from deltaloom.sources.lease import leased
 from deltaloom.sources.loaders import load, moving, partition_values, write_change
@@ -114,6 +116,7 @@ def synchronise(
     stored: Sequence[str] | None = None,
     writers: int = 0,
     pushed=None,
+    spelling: bool = True,
 ) -> SyncResult:
     """The destination after a sync of ``src`` into it, as a plan to be written and as a change.
 
@@ -125,7 +128,8 @@ def synchronise(
     or the table. ``bounds`` are chunks that were planned before. ``pushed`` answers signatures and slices of the
     source in its own database. Destination columns that the source lacks
     are not compared and keep their values. ``stored`` names the destination's own columns, if
-    ``dst`` has others (pseudo-columns). All slices are applied in one change, so a commit is atomic.
+    ``dst`` has others (pseudo-columns). Partitions that the two sides spell differently (``2020-1-5`` and
+    ``2020-01-05``) are an error unless ``spelling`` is off. All slices are applied in one change, so a commit is atomic.
     """
     parts, ids = list(parts), list(ids)
     own = [c for c in dst.columns if stored is None or c in stored]
@@ -182,6 +186,9 @@ def synchronise(
     by_method = plan.groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.sum("src_cnt").alias("s"), F.sum("dst_cnt").alias("d")).collect()
     methods = {r["method"]: r["n"] for r in by_method}
     small = sum(methods.values()) <= diff.SMALL_PLAN
+    if spelling and slices == parts and {diff.INSERT, diff.REMOVED} <= set(methods):
+        if bad := diff.misspelt(plan, parts).limit(3).collect():
+            raise ValueError(f"partition values that the sides spell differently: {'; '.join(map(str, bad))}")
     moving = plan.filter(F.col("method").isin(*MOVING))
     moved = _plan_join(a, moving, slices, small, "method", "in_sync_id")
     if len(ids) == 1:
@@ -428,6 +435,7 @@ class Engine:
             depth=s.diff.depth, new_id_only=s.diff.new_id_only, chunk_size=s.chunk.size, append_only=s.append_only,
             append_update_only=s.append_update_only, force=s.force, exact=s.diff.exact, hashed=s.diff.hash, ranges=s.diff.ranges, bounds=bounds,
             stored=sides.stored, writers=request.transfer.writers, pushed=sides.pushed if where is None else None,
+            spelling=s.partition.check_values,
         )
         response.source += made.source
         response.dest += made.dest
@@ -452,6 +460,20 @@ class Engine:
         with deadline(self.spark, request.dml_timeout):
             sides.write(change, request)
 
+    def sync_days(self, request: SyncRequest, column: str, first: date, last: date, step: int = 1) -> list[SyncResponse]:
+        """Syncs spans of ``step`` days of ``column`` one after another, each a job and a commit of its own, up to the
+        first that fails. Rows of other days stay as they are; spans that were done before are in sync when it is run again.
+        """
+        request = replace(request.init(), async_=False)
+        if column in request.source.criteria or column in request.dest.criteria:
+            raise ValueError(f"{column} has a criterion of its own")
+
+        def of(a: date, b: date) -> SyncRequest:
+            sides = [replace(r, criteria=r.criteria | {column: Days(a, b)}) for r in (request.source, request.dest)]
+            return clone(request, source=sides[0], dest=sides[1], id=f"{request.request_id()}:{a}:{b}")
+
+        return over_dates(self.sync, of, first, last, step)
+
     def wait(self, job_id: str) -> SyncResponse:
         return self.running.pop(job_id).result()
 

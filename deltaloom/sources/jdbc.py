@@ -14,12 +14,13 @@ against the plan: a source that moved meanwhile is an error, and the sync is tri
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from deltaloom.functions.criteria import Between, GreaterOrEqual, GreaterThan, LessOrEqual, _RAW, _SAFE, _scalar, batches, in_values
+from deltaloom.functions.criteria import Between, Days, GreaterOrEqual, GreaterThan, LessOrEqual, _RAW, _SAFE, _scalar, batches, in_values
 from deltaloom.functions.types import FRACTION, LARGE, WHOLE, DiffColumn
 from deltaloom.operators import diff
 from deltaloom.sources.staging import stage
@@ -64,6 +65,11 @@ class Pushed:
         match value:
             case Between():
                 return f"{c} BETWEEN {self.literal(value.low)} AND {self.literal(value.high)}"
+            case Days():
+                ends = [value.first, value.end]
+                if not isinstance(self.types.get(key.lower()), T.DateType):
+                    ends = [datetime(d.year, d.month, d.day) for d in ends]
+                return f"{c} >= {self.literal(ends[0])} AND {c} < {self.literal(ends[1])}"
             case LessOrEqual():
                 return f"{c} <= {self.literal(value.value)}"
             case GreaterThan():
