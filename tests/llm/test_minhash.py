@@ -91,6 +91,18 @@ def test_equals_all_pairs(spark, rows):
     assert got(minhash.near_duplicates(spark.createDataFrame(rows(), SCHEMA).repartition(3))) == brute(rows())
 
 
+def test_four_shingles_link_with_five(spark):
+    """4 of 5 is 0.8, the least sizes that link without being equal; 3 of 4 is less."""
+    rows = []
+    for k in range(40):
+        w = [f"s{k}x{j}" for j in range(9)]
+        rows += [" ".join(w[:n]) for n in (7, 8)] if k % 2 else [" ".join(w[:6]), " ".join(w[:7]), " ".join(w[1:9])]
+    rows = list(enumerate(rows))
+    expected = brute(rows)
+    assert sum(r[0] != r[2] for r in expected) == 20
+    assert got(minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3))) == expected
+
+
 def test_large_group_of_copies_around_the_threshold(spark):
     """Pairs of copies lie around 0.8, so a star around one of them does not hold the group together."""
     rng = random.Random(11)
