@@ -18,7 +18,11 @@ matches, eight entries at a time; a token finds the base spans beside it by bina
 mask is cut out of blocks of the text. So time and memory grow with the text, times the logarithm
 of its number of matches. Only texts with a digit or an @ are searched at all. Edges are counted
 before they are shuffled, so a phrase that a third of all texts share is a few rows of each map
-task. Hashes stand for patterns and instances.
+task. Hashes stand for patterns and instances. What is counted is far smaller than the texts, so it is
+written by a task for each core, or for each 4 MB of what it is made from where that is more, not by
+one for each shuffle partition: a file costs its executor processes where Hadoop's native library is
+missing. What was found is written before it is joined, so that its size is known: where it is
+small, no row of the base spans is shuffled.
 
 Edge cases: null text is empty (the digest is that of the empty string); a very long text is one
 row, like any other; of equally good kinds for a token the first listed holds; repeated rows of
@@ -33,7 +37,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deltaloom.llm._common import discard, materialise, narrow, table
+from deltaloom.llm._common import discard, input_bytes, materialise, narrow, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: The patterns as stated, made linear: possessive, and begun only where a match can begin.
@@ -309,16 +313,21 @@ def believed_instances(edges: DataFrame, trusted: DataFrame) -> DataFrame:
     )
 
 
+def _counted(df: DataFrame, source: DataFrame, label: str) -> DataFrame:
+    """``df``, counted from the files of ``source``, materialised by a task for each core, or each 4 MB of ``source``."""
+    return materialise(df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, input_bytes(source) >> 22)), label)
+
+
 def trusted_patterns(edges: DataFrame) -> DataFrame:
-    """(p, kind, score) of the patterns that are trusted once no further one becomes so."""
+    """(p, kind, score) of the patterns that are trusted once no further one becomes so; ``edges`` are files."""
     # a pattern with fewer different instances can never have enough that are believed
     enough = edges.groupBy("p").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") >= SEEDS).select("p")
-    live = materialise(edges.join(enough, "p", "left_semi"), "pii-graph")
-    trusted, known = materialise(scored(live, None), "pii-trusted"), 0
+    live = _counted(edges.join(enough, "p", "left_semi"), edges, "pii-graph")
+    trusted, known = _counted(scored(live, None), live, "pii-trusted"), 0
     while (now := trusted.count()) > known:
         known = now
-        believed = materialise(believed_instances(live, trusted), "pii-believed")
-        after = materialise(scored(live, believed), "pii-trusted")
+        believed = _counted(believed_instances(live, trusted), live, "pii-believed")
+        after = _counted(scored(live, believed), live, "pii-trusted")
         discard(trusted), discard(believed)
         trusted = after
     discard(live)
@@ -328,7 +337,7 @@ def trusted_patterns(edges: DataFrame) -> DataFrame:
 def extract(docs: DataFrame) -> DataFrame:
     """doc_id, tkey (a hash of the text), base and found spans: arrays of (k, s, e)."""
     spans = materialise(base_spans(docs), "pii-base")
-    edges = materialise(graph(spans), "pii-edges")
+    edges = _counted(graph(spans), spans, "pii-edges")
     trusted = trusted_patterns(edges)
     discard(edges)
     open_tokens = (
@@ -345,6 +354,8 @@ def extract(docs: DataFrame) -> DataFrame:
         .agg(F.sort_array(F.collect_set(F.struct("k", "s", "e"))).alias("found"))
         .withColumnsRenamed({"doc_id": "_doc", "tkey": "_tkey"})
     )
+    found = _counted(found, spans, "pii-found")
+    discard(trusted)
     return spans.join(
         found,
         F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("tkey") == F.col("_tkey")),
