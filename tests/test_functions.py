@@ -75,6 +75,21 @@ def test_similarity(spark):
     assert not ts.select(compare.similar(F.col("a"), F.col("b"), None, "yyyy-MM-dd HH")).first()[0]
 
 
+def test_fractions_round_as_databases_round_them(spark):
+    """Scaled doubles, not the doubles' texts, are rounded: 3.34 + 0.01 is 3.3499999999999996, whose tenfold is 33.5."""
+    import duckdb
+
+    pairs = [(k / 100, k / 100 + 0.01) for k in range(-2000, 2000)]
+    pairs += [(0.25, 0.349), (1e305, 2e305), (1e17, 1e17 + 64), (float("inf"), 1.0), (float("nan"), 1.0), (-0.04, 0.04)]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i long, a double, b double")
+    got = {r.i: r.same for r in df.select("i", compare.similar(F.col("a"), F.col("b"), 1).alias("same")).collect()}
+    con = duckdb.connect()
+    want = {i: con.execute("select round(?::double, 1) = round(?::double, 1)", [a, b]).fetchone()[0] for i, (a, b) in enumerate(pairs)}
+    assert got == want and not got[pairs.index((3.34, 3.34 + 0.01))]
+    exact = spark.sql("select 3.34bd a, 3.3499999999999996bd b").select(compare.similar(F.col("a"), F.col("b"), 1))
+    assert exact.first()[0]  # decimals are exact
+
+
 def test_alignment_is_lenient(spark):
     df = spark.createDataFrame([("7", "x", 1)], "N string, m string, extra int")
     like = spark.createDataFrame([], "n int, m long")
