@@ -113,6 +113,19 @@ def test_ranges_of_spread_ids(spark, tmp_path):
     assert out.status == "ok" and out.transferred <= 10 and sorted(map(tuple, table.read().collect())) == sorted(rows)
 
 
+def test_ranges_of_ids_in_clusters(spark, tmp_path):
+    """Ids in clusters far apart, each within one range of equal width: the ranges of both changes are cut again."""
+    rows = [(c * 10**12 + k, float(k), c % 2) for c in range(6) for k in range(700)] + [(1 << k, 0.5, 0) for k in range(45, 62)]
+    dst = frame(spark, [(i, x + (i in (3, 5 * 10**12 + 650)), n) for i, x, n in rows])
+    for more in ({}, {"partition": {"columns": ["n"]}}):
+        out, table = run(spark, tmp_path, frame(spark, rows), dst, diff={"ranges": 5}, **more)
+        assert out.status == "ok" and 2 <= out.transferred <= 2 * 4 * len(rows) / 32, (out.error, out.transferred, out.methods)
+        assert sorted(map(tuple, table.read().collect())) == sorted(rows)
+    # one id that differs is moved alone, however ids are spread
+    out, table = run(spark, tmp_path, frame(spark, rows), dst.filter("id <> 1 << 61").unionByName(frame(spark, [((1 << 61) + 1, 0.5, 0)])), diff={"ranges": 20})
+    assert out.status == "ok" and out.transferred <= 9 and sorted(map(tuple, table.read().collect())) == sorted(rows), (out.error, out.transferred)
+
+
 @pytest.mark.parametrize("n, size", [(1000, 64), (1000, 1000), (50_000, 2_000), (5, 2), (1, 1)])
 def test_sketched_chunks_are_of_even_size(spark, n, size):
     df = spark.range(n).select((F.col("id") * F.col("id") - 500).alias("id"))
