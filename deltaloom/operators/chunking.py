@@ -15,6 +15,8 @@ MOST = 100_000
 RANGE_BYTES = 256 << 20
 #: Bounds that one sketch gives.
 FAN = 1_000
+#: Ids that a coarse range's sketch gives for each of its chunks.
+GRID = 400
 
 
 def window(df: DataFrame, id_: str, size: int, offset: int | None = None) -> DataFrame:
@@ -77,7 +79,8 @@ def sketched(df: DataFrame, id_: str, size: int) -> DataFrame:
 
     Each map task holds a sketch of its ids, and sketches are all that is shuffled. A bound is off by at most
     a two-hundredth of a chunk, so sizes are within 1 %; tables of fewer ids than the sketch holds are cut exactly.
-    Beyond ``FAN`` chunks a second pass sketches each of ``FAN`` coarse ranges by itself. ``cnt`` is the size meant.
+    Beyond ``FAN`` chunks a second pass counts and sketches each of ``FAN`` coarse ranges by itself; where chunks begin
+    in a range follows from the rows before it, so what the first pass was off by is not passed on. ``cnt`` is the size meant.
     """
     spark = df.sparkSession
     ids = df.select(F.col(id_).cast("long").alias("id")).filter(F.col("id").isNotNull())
@@ -96,9 +99,13 @@ def sketched(df: DataFrame, id_: str, size: int) -> DataFrame:
     if coarse > 1:
         bounds = stage(spark.createDataFrame([(k, v) for k, v in enumerate(dict.fromkeys(los))], "chunk long, lo long"), "coarse")
         dealt = assign(ids, bounds, "id", "range")
-        shares = [(k * size + 0.5) / (coarse * size) for k in range(1, coarse)]
-        fine = F.concat(F.array(F.min("id")), F.percentile_approx("id", shares, 200 * coarse))
-        found = dealt.groupBy("range").agg(fine.alias("los")).select(F.explode("los").alias("lo")).distinct()
+        fine = GRID * coarse  # ids of a range, evenly apart: the nearest one to a bound and the sketch are off by 3 / (2 * GRID) of a chunk
+        shares = F.split(F.lit(",".join(str((j + 0.5) / fine) for j in range(fine))), ",").cast("array<double>")
+        held = stage(dealt.groupBy("range").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.percentile_approx("id", shares, fine).alias("grid")), "grids")
+        past = held.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("past"))  # ``FAN`` rows
+        starts = held.join(F.broadcast(past), "range").withColumns({"a": F.expr(f"(past + {size - 1}) div {size}"), "z": F.expr(f"(past + n - 1) div {size}")})
+        at = f"if(k * {size} = past, lo, element_at(grid, int((2 * (k * {size} - past) + 1) * {fine} div (2 * n)) + 1))"
+        found = starts.filter("a <= z").select(F.explode(F.expr(f"transform(sequence(a, z), k -> {at})")).alias("lo")).distinct()
         # no more rows than there are chunks
         numbered = found.repartitionByRange(max(1, chunks // MOST), "lo").sortWithinPartitions("lo").withColumn("at", F.monotonically_increasing_id())
         numbered = stage(numbered, "bounds")

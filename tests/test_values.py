@@ -145,6 +145,16 @@ def test_sketched_chunks_in_two_levels(spark, monkeypatch):
     assert max(sizes) <= 55 and got[0]["lo"] == 0
 
 
+@pytest.mark.parametrize("n, size", [(20_030, 200), (50_400, 400), (9_999, 100)])
+def test_chunks_of_two_levels_are_even_and_as_many_as_by_ranks(spark, monkeypatch, n, size):
+    monkeypatch.setattr(chunking, "FAN", 7)
+    df = spark.range(n).select(((F.col("id") * 7919) % n * 3).alias("id")).repartition(5)
+    got = chunking.sketched(df, "id", size).orderBy("chunk").collect()
+    assert [r["chunk"] for r in got] == list(range(-(-n // size))) and got[0]["lo"] == 0
+    sizes = [(b["lo"] - a["lo"]) // 3 for a, b in zip(got, got[1:], strict=False)]
+    assert all(abs(s - size) <= size // 100 for s in sizes), sizes
+
+
 def test_the_default_plan_of_chunks_shuffles_no_ids(spark):
     df = spark.range(10_000)
     plan = df.agg(F.percentile_approx("id", [0.5], 10_000))._jdf.queryExecution().executedPlan().toString()
